@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabtrust.llm import mixing, packing, secrets, urls
+from tabtrust.llm import media, mixing, packing, secrets, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), size=1024)
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(read(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
     "op6_url_filter": op6_url_filter,
+    "op7_media": op7_media,
     "op10_secrets": op10_secrets,
 }
 SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op6_url_filter": urls.SQL}
