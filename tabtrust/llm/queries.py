@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabtrust.llm import htmltext, media, mixing, neardup_vectors, ngram_join, packing, secrets, toxicity, urls
+from tabtrust.llm import htmltext, media, mixing, neardup_vectors, ngram_join, packing, secrets, substring, toxicity, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(read(spark, sf_dir, "documents"))
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(read(spark, sf_dir, "documents"), length=50)
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_vectors": op4_near_vectors,
     "op5_toxicity": op5_toxicity,
     "op7_media": op7_media,
+    "op8_substring": op8_substring,
     "op9_ngram_join": op9_ngram_join,
     "op10_secrets": op10_secrets,
 }

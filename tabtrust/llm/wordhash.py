@@ -71,7 +71,9 @@ def blocks(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 
 def sequences(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words from each word on, as long as there are n."""
-    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    if len(h) < n:
+        return np.empty(0, np.uint64)
+    out = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):
         out = out * ROLL + h[k : len(h) - n + 1 + k]
     return mix(out + np.uint64(n))
