@@ -126,10 +126,17 @@ def vin(c: Column) -> Column:
     return F.coalesce(up.rlike("^[A-HJ-NPR-Z0-9]{17}$") & (F.substring(up, 9, 1) == want), F.lit(False))
 
 
+#: The characters that Windows-1252 has where Latin-1 has control codes, in the order of those codes.
+WINDOWS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+CONTROLS = "".join(bytes(w, "cp1252").decode("latin-1") for w in WINDOWS)
+
+
 def repaired(c: Column) -> Column:
     """Text that was UTF-8 read as Windows-1252, read again; other text as it is."""
-    raw = F.encode(c, "windows-1252")
-    return F.when(c.rlike(MOJIBAKE) & F.is_valid_utf8(raw.cast("binary").cast("string")), F.decode(raw, "utf-8")).otherwise(c)
+    plain = F.translate(c, WINDOWS, CONTROLS)
+    single = c.rlike(MOJIBAKE) & plain.rlike("^[\\x{0}-\\x{ff}]*$")
+    raw = F.encode(F.when(single, plain), "iso-8859-1").cast("string")
+    return F.coalesce(F.when(F.is_valid_utf8(raw), raw), c)
 
 
 def band(value: Column, steps: tuple[tuple[float, str], ...], last: str, none: str) -> Column:

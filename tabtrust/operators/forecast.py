@@ -74,6 +74,8 @@ def target(df: DataFrame, column: str) -> DataFrame:
 
 def leakage(df: DataFrame, column: str, features: Sequence[str]) -> DataFrame:
     """(feature, correlation, leaks, ratio, high_cardinality, id_name) of features; correlations of one aggregate, 0 without variance."""
+    if not features:
+        return df.sparkSession.createDataFrame([], "feature string, correlation double, leaks boolean, ratio double, high_cardinality boolean, id_name boolean")
     by = kinds(df)
     y = number(col(column), by[column])
     xs = [number(col(c), by[c]) for c in features]

@@ -288,7 +288,7 @@ def _(spark, d):
 CARD = "lpad(CAST(o_orderkey * 7919 + o_custkey AS VARCHAR), 16, '4')"
 
 
-@query("sc10_luhn", f"""SELECT o_orderkey FROM (SELECT o_orderkey, list_sum(list_transform(range(0, 16), i -> CASE WHEN i % 2 = 0 THEN CASE WHEN CAST(c[i + 1] AS INTEGER) > 4 THEN CAST(c[i + 1] AS INTEGER) * 2 - 9 ELSE CAST(c[i + 1] AS INTEGER) * 2 END ELSE CAST(c[i + 1] AS INTEGER) END)) AS s FROM (SELECT o_orderkey, {CARD} AS c FROM orders)) WHERE s % 10 = 0""")
+@query("sc10_luhn", f"""SELECT o_orderkey FROM (SELECT o_orderkey, list_sum(list_transform(range(0, 16), lambda i: CASE WHEN i % 2 = 0 THEN CASE WHEN CAST(c[i + 1] AS INTEGER) > 4 THEN CAST(c[i + 1] AS INTEGER) * 2 - 9 ELSE CAST(c[i + 1] AS INTEGER) * 2 END ELSE CAST(c[i + 1] AS INTEGER) END)) AS s FROM (SELECT o_orderkey, {CARD} AS c FROM orders)) WHERE s % 10 = 0""")
 def _(spark, d):
     card = F.lpad((F.col("o_orderkey") * 7919 + F.col("o_custkey")).cast("string"), 16, "4")
     return read(spark, d, "orders").where(values.luhn(card)).select("o_orderkey")
@@ -489,7 +489,7 @@ def _(spark, d):
     import uuid
 
     path = f"{d}/events.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     name = f"completeness_{uuid.uuid4().hex}"
     q = streams.completeness(stream, "ts", "1 day", "1 hour").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()

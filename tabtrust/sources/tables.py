@@ -9,6 +9,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -220,8 +221,6 @@ def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> dict[
 
 
 def _sheet_names(column: str):
-    import pandas as pd
-
     def run(content: pd.Series) -> pd.Series:
         return content.map(lambda d: visible_sheets(bytes(d)))
 
@@ -229,8 +228,6 @@ def _sheet_names(column: str):
 
 
 def _sheet_cells(name: str):
-    import pandas as pd
-
     def run(content: pd.Series) -> pd.Series:
         return content.map(lambda d: list(sheet_rows(bytes(d), name)))
 
