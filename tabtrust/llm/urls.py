@@ -19,7 +19,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabtrust.llm.scratch import table
+from tabtrust.llm.scratch import small, table
 
 BLOCKS = 4096
 WORDS = 4
@@ -91,8 +91,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     # nearly all URLs of a hot host have the same hits: each distinct list of hits is joined once
     lists = rows.where(F.size("hits") > 0).groupBy("hits").agg(F.lit(1).alias("one")).select("hits", F.explode("hits").alias("hit"))
     best = lists.join(known, (F.col("hit.key") == F.col("key")) & (F.col("hit.n") == F.col("n"))).groupBy("hits").agg(F.max_by(F.struct("key", "verdict"), F.struct(F.length("key"), F.col("n"))).alias("best"))
+    # a hot host's rows share one list, so its lists are broadcast as far as they are few; else Spark splits the skewed join
+    best = table(best, "best")
     return (
-        rows.join(best, "hits", "left")
+        rows.join(small(best, best.count()), "hits", "left")
         .select(F.col("id").alias(id_col), "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
     )
 
