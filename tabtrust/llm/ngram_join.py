@@ -7,8 +7,10 @@ A document's set are its distinct word n-grams. Two documents link if |A & B| *
    documents), linked sets share one of their first |A| - ceil(t |A|) + 1 n-grams, so each such n-gram is a region.
    Regions with the same members are joined once.
 3. Most regions hold sets that share a passage and no more. Counts of a set's n-grams in 64 hash classes bound the
-   symmetric difference from below, and so the distance; only members of a pair that this bound lets through stay.
-   It is tested against the region's least member, and for what is left within windows of like sizes.
+   symmetric difference from below, and so the distance.
+   It is tested against the region's least member, which is compared exactly, and so connects most of a group; for
+   regions with members that are not connected yet it is tested within windows of like sizes, and only members of a
+   pair that it lets through stay.
 4. The rest joins exactly, by pivots. A set within the radius r of a pivot links with it. Sets of the pivot's cell
    can only link with sets of distance up to 2 r (the window, which is replicated to the cell); the others go on as a
    region of their own. Large regions are divided this way in rounds over the cluster, cells in blocks; smaller ones
@@ -157,23 +159,29 @@ def _may_link(num: int, den: int):
 
 
 def _suspects(num: int, den: int):
-    """Members of a pair that the bound lets through, of each window; sorted by size, only like sizes are tested."""
+    """(token, cid) of members of a pair that the bound lets through and that is not connected yet, of each window.
+
+    Members of a window's most frequent label are not tested with each other, and only like sizes are tested."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["token", "window", "size", "cid"], kind="stable")
         counts = np.frombuffer(b"".join(pdf["counts"]), "<u2").reshape(len(pdf), -1)
-        size, cid, head = pdf["size"].to_numpy(), pdf["cid"].to_numpy(), pdf[["token", "window"]].to_numpy()
+        size, cid, label, head = pdf["size"].to_numpy(), pdf["cid"].to_numpy(), pdf["label"].to_numpy(), pdf[["token", "window"]].to_numpy()
         starts = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]).any(1)])
         found = np.zeros(len(pdf), bool)
         for s, e in zip(starts, np.r_[starts[1:], len(pdf)], strict=True):
-            stop = np.searchsorted(size[s:e] * num, size[s:e] * den, side="right") + s  # sizes up to size * den / num
-            for i in range(s, e - 1):
-                if stop[i - s] > i + 1:
-                    hit = _bound_ok(counts[i], counts[i + 1 : stop[i - s]], size[i], size[i + 1 : stop[i - s]], num, den)
-                    if hit.any():
-                        found[i] = True
-                        found[i + 1 : stop[i - s]] |= hit
-        return pd.DataFrame({"cid": np.unique(cid[found])})
+            names, many = np.unique(label[s:e], return_counts=True)
+            if len(names) < 2:
+                continue
+            low, high = np.searchsorted(size[s:e] * den, size[s:e] * num) + s, np.searchsorted(size[s:e] * num, size[s:e] * den, side="right") + s
+            for i in (np.flatnonzero(label[s:e] != names[many.argmax()]) + s).tolist():
+                at = np.arange(low[i - s], high[i - s])
+                at = at[label[at] != label[i]]
+                hit = at[_bound_ok(counts[i], counts[at], size[i], size[at], num, den)]
+                if len(hit):
+                    found[i] = True
+                    found[hit] = True
+        return pdf.loc[found, ["token", "cid"]].drop_duplicates()
 
     return run
 
@@ -272,6 +280,13 @@ def _links(regions: DataFrame, grams: DataFrame, num: int, den: int, most: int)
         regions = table(outer.unionByName(core.select(block.alias("region"), "cid", F.lit(-1).cast("long").alias("label"))).unionByName(window.select(block.alias("region"), "cid", F.lit(-2).cast("long").alias("label"))), "regions")
 
 
+def _gram_table(docs: DataFrame, cids: DataFrame, groups: DataFrame, n: int) -> DataFrame:
+    """(cid, grams) of classes, built again from the text of one document of each."""
+    needed = table(cids.distinct().join(groups.select("cid", "least"), "cid"), "needed")
+    texts = docs.join(small(needed, needed.count()), F.col("doc_id").eqNullSafe(F.col("least"))).select("cid", "text")
+    return table(texts.mapInArrow(_whole(n), "cid long, grams binary").groupBy("cid").agg(F.first("grams").alias("grams")), "grams")
+
+
 def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", most: int = TASK_SETS) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
     plain = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
@@ -285,29 +300,30 @@ def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str
     regions = tokens.groupBy("token").agg(F.count("*").alias("members"), F.min("cid").alias("first"), F.bit_xor(F.xxhash64("cid")).alias("who")).where("members > 1")
     regions = table(regions.groupBy("members", "first", "who").agg(F.min("token").alias("token")).select("token", "first"), "tokens")
     places = table(tokens.join(regions, "token"), "places")
-    # against the least member, then windows of like sizes of what is left
+    # against the least member: what the bound lets through is compared exactly, and connects most of a group
     pair = places.select("cid", "first").where("cid != first").distinct()
     pair = pair.join(facts, "cid").join(facts.select(F.col("cid").alias("first"), F.col("size").alias("first_size"), F.col("counts").alias("first_counts")), "first")
     near = table(pair.select("cid", "first", _may_link(num, den)("counts", "first_counts", "size", "first_size").alias("ok")).where("ok").select("cid", "first"), "near")
-    left = places.join(near, ["cid", "first"], "left_anti").where("cid != first")
-    left = left.join(facts, "cid").withColumn("at", F.floor(F.log("size") / F.log(F.lit(den / num))).cast("int"))
+    grams = _gram_table(plain, near.select("cid").unionByName(near.select(F.col("first").alias("cid"))), groups, n)
+    met = near.join(grams, "cid").join(grams.select(F.col("cid").alias("first"), F.col("grams").alias("first_grams")), "first")
+    met = table(met.where(_distance(num, den)("grams", "first_grams") == 0).select(F.col("first").alias("a"), F.col("cid").alias("b")), "met")
+    # regions with members that are not connected yet, in windows of like sizes
+    label = components(met)
+    places = table(places.select("token", "cid").join(label, F.col("cid") == F.col("node"), "left").select("token", "cid", F.coalesce("component", "cid").alias("label")), "labels")
+    several = places.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("token")
+    left = places.join(several, "token", "left_semi").join(facts, "cid").withColumn("at", F.floor(F.log("size") / F.log(F.lit(den / num))).cast("int"))
     left = left.withColumn("window", F.explode(F.array("at", F.col("at") + 1)))
-    lonely = left.groupBy("token", "window").agg(F.count("*").alias("c")).where("c > 1").select("token", "window")
-    left = table(left.join(lonely, ["token", "window"]).select("token", "window", "cid", "size", "counts"), "windows")
+    mixed = left.groupBy("token", "window").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("token", "window")
+    left = table(left.join(mixed, ["token", "window"], "left_semi").select("token", "window", "cid", "label", "size", "counts"), "windows")
     tasks = max(1, -(-left.count() // 20_000))
-    more = left.withColumn("part", F.pmod(F.xxhash64("token", "window"), F.lit(tasks))).groupBy("part").applyInPandas(_suspects(num, den), "cid long")
-    suspects = table(near.select("cid").unionByName(near.select(F.col("first").alias("cid"))).unionByName(more).distinct(), "suspects")
-    # regions of suspects only, those with the same members once
-    places = places.select("token", "cid").join(suspects, "cid")
-    members = places.groupBy("token").agg(F.count("*").alias("members"), F.min("cid").alias("first"), F.bit_xor(F.xxhash64("cid")).alias("who")).where("members > 1")
+    more = left.withColumn("part", F.pmod(F.xxhash64("token", "window"), F.lit(tasks))).groupBy("part").applyInPandas(_suspects(num, den), "token long, cid long")
+    more = table(more.distinct(), "suspects")
+    # those with the same members once
+    members = more.groupBy("token").agg(F.count("*").alias("members"), F.min("cid").alias("first"), F.bit_xor(F.xxhash64("cid")).alias("who"))
     members = members.groupBy("members", "first", "who").agg(F.min("token").alias("token")).select("token")
-    places = table(places.join(members, "token").select(F.col("token").alias("region"), "cid", F.col("cid").alias("label")), "places")
-    # the sets of one document of each class that is left are built again from its text
-    needed = places.select("cid").distinct().join(groups.select("cid", "least"), "cid")
-    needed = table(needed, "needed")
-    texts = plain.join(small(needed, needed.count()), F.col("doc_id").eqNullSafe(F.col("least"))).select("cid", "text")
-    grams = table(texts.mapInArrow(_whole(n), "cid long, grams binary").groupBy("cid").agg(F.first("grams").alias("grams")), "grams")
-    links = _links(places, grams, num, den, most)
+    places = table(more.join(members, "token", "left_semi").join(places, ["token", "cid"]).select(F.col("token").alias("region"), "cid", "label"), "places")
+    grams = _gram_table(plain, places.select("cid"), groups, n)
+    links = [met, *_links(places, grams, num, den, most)]
     edges = links[0]
     for more in links[1:]:
         edges = edges.unionByName(more)
