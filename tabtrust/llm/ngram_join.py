@@ -109,7 +109,7 @@ def _prefix_size(size: int, num: int, den: int) -> int:
 def _describe(n: int, num: int, den: int, classes: np.ndarray):
     """(doc_id, size, two hashes of the set, counts by class, first n-grams) of every document."""
     mask = np.uint64((1 << SKETCH_BITS) - 1)
-    least = next(s for s in range(1, 10**6) if (s - 1) * den >= num * s)  # smaller sets link with equal ones only
+    least = next(s for s in range(1, 10**6) if s * den >= num * (s + 1))  # smaller sets link with equal ones only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
