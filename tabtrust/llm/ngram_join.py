@@ -107,7 +107,7 @@ def _prefix_size(size: int, num: int, den: int) -> int:
 
 
 def _describe(n: int, num: int, den: int, classes: np.ndarray):
-    """(doc_id, size, two hashes of the set, counts by class, first n-grams) of every document."""
+    """(key, doc_id, size, two hashes of the set, counts by class, first n-grams) of every document."""
     mask = np.uint64((1 << SKETCH_BITS) - 1)
     least = next(s for s in range(1, 10**6) if s * den >= num * (s + 1))  # smaller sets link with equal ones only
 
@@ -128,8 +128,8 @@ def _describe(n: int, num: int, den: int, classes: np.ndarray):
             offsets = np.r_[0, np.cumsum([len(x) for x in firsts])].astype(np.int32)
             flat = np.concatenate([*firsts, np.empty(0, np.int64)])
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(counts, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "size", "one", "two", "counts", "firsts"],
+                [batch["key"], batch["doc_id"], pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(counts, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                names=["key", "doc_id", "size", "one", "two", "counts", "firsts"],
             )
 
     return run
@@ -282,18 +282,18 @@ def _links(regions: DataFrame, grams: DataFrame, num: int, den: int, most: int)
 
 def _gram_table(docs: DataFrame, cids: DataFrame, groups: DataFrame, n: int) -> DataFrame:
     """(cid, grams) of classes, built again from the text of one document of each."""
-    needed = table(cids.distinct().join(groups.select("cid", "least"), "cid"), "needed")
-    texts = docs.join(small(needed, needed.count()), F.col("doc_id").eqNullSafe(F.col("least"))).select("cid", "text")
+    needed = table(cids.distinct().join(groups.select("cid", F.col("member.key").alias("at"), F.col("member.doc_id").alias("of")), "cid"), "needed")
+    texts = docs.join(small(needed, needed.count()), (F.col("key") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("cid", "text")
     return table(texts.mapInArrow(_whole(n), "cid long, grams binary").groupBy("cid").agg(F.first("grams").alias("grams")), "grams")
 
 
 def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", most: int = TASK_SETS) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
-    plain = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
-    classes = frequency_class(plain, n)
-    rows = table(plain.mapInArrow(_describe(n, num, den, classes), "doc_id long, size long, one long, two long, counts binary, firsts array<long>"), "sets")
+    plain = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    classes = frequency_class(plain.select("text"), n)
+    rows = table(plain.mapInArrow(_describe(n, num, den, classes), "key long, doc_id long, size long, one long, two long, counts binary, firsts array<long>"), "sets")
     # sets with equal sizes and two equal 64-bit hashes are equal sets; texts without words stay alone
-    groups = rows.where("size > 0").groupBy("size", "one", "two").agg(F.min("doc_id").alias("least"), F.first("counts").alias("counts"), F.first("firsts").alias("firsts"))
+    groups = rows.where("size > 0").groupBy("size", "one", "two").agg(F.min("doc_id").alias("least"), F.first(F.struct("key", "doc_id")).alias("member"), F.first("counts").alias("counts"), F.first("firsts").alias("firsts"))
     groups = table(groups.withColumn("cid", F.monotonically_increasing_id()), "classes")
     facts = groups.select("cid", "size", "counts")
     tokens = groups.select("cid", F.explode("firsts").alias("token"))
