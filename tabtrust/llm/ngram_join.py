@@ -10,7 +10,7 @@ A document's set are its distinct word n-grams. Two documents link if |A & B| *
    symmetric difference from below, and so the distance.
    It is tested against the region's least member, which is compared exactly, and so connects most of a group; for
    regions with members that are not connected yet it is tested within windows of like sizes, and only members of a
-   pair that it lets through stay.
+   pair that it lets through stay. What such pairs connect is one region from here on.
 4. The rest joins exactly, by pivots. A set within the radius r of a pivot links with it. Sets of the pivot's cell
    can only link with sets of distance up to 2 r (the window, which is replicated to the cell); the others go on as a
    region of their own. Large regions are divided this way in rounds over the cluster, cells in blocks; smaller ones
@@ -159,7 +159,7 @@ def _may_link(num: int, den: int):
 
 
 def _suspects(num: int, den: int):
-    """(token, cid) of members of a pair that the bound lets through and that is not connected yet, of each window.
+    """(cid, label, other label) of members of a pair that the bound lets through and that is not connected yet, of each window.
 
     Members of a window's most frequent label are not tested with each other, and only like sizes are tested."""
 
@@ -168,7 +168,7 @@ def _suspects(num: int, den: int):
         counts = np.frombuffer(b"".join(pdf["counts"]), "<u2").reshape(len(pdf), -1)
         size, cid, label, head = pdf["size"].to_numpy(), pdf["cid"].to_numpy(), pdf["label"].to_numpy(), pdf[["token", "window"]].to_numpy()
         starts = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]).any(1)])
-        found = np.zeros(len(pdf), bool)
+        found = [np.empty((0, 3), np.int64)]
         for s, e in zip(starts, np.r_[starts[1:], len(pdf)], strict=True):
             names, many = np.unique(label[s:e], return_counts=True)
             if len(names) < 2:
@@ -179,9 +179,12 @@ def _suspects(num: int, den: int):
                 at = at[label[at] != label[i]]
                 hit = at[_bound_ok(counts[i], counts[at], size[i], size[at], num, den)]
                 if len(hit):
-                    found[i] = True
-                    found[hit] = True
-        return pdf.loc[found, ["token", "cid"]].drop_duplicates()
+                    found.append(np.stack([cid[hit], label[hit], np.full(len(hit), label[i])], 1))
+                    others = np.unique(label[hit])
+                    found.append(np.stack([np.full(len(others), cid[i]), np.full(len(others), label[i]), others], 1))
+            if len(found) > 1000:
+                found = [np.unique(np.concatenate(found), axis=0)]
+        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["cid", "label", "other"])
 
     return run
 
@@ -316,12 +319,11 @@ def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str
     mixed = left.groupBy("token", "window").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("token", "window")
     left = table(left.join(mixed, ["token", "window"], "left_semi").select("token", "window", "cid", "label", "size", "counts"), "windows")
     tasks = max(1, -(-left.count() // 20_000))
-    more = left.withColumn("part", F.pmod(F.xxhash64("token", "window"), F.lit(tasks))).groupBy("part").applyInPandas(_suspects(num, den), "token long, cid long")
+    more = left.withColumn("part", F.pmod(F.xxhash64("token", "window"), F.lit(tasks))).groupBy("part").applyInPandas(_suspects(num, den), "cid long, label long, other long")
     more = table(more.distinct(), "suspects")
-    # those with the same members once
-    members = more.groupBy("token").agg(F.count("*").alias("members"), F.min("cid").alias("first"), F.bit_xor(F.xxhash64("cid")).alias("who"))
-    members = members.groupBy("members", "first", "who").agg(F.min("token").alias("token")).select("token")
-    places = table(more.join(members, "token", "left_semi").join(places, ["token", "cid"]).select(F.col("token").alias("region"), "cid", "label"), "places")
+    # what pairs connect is one region, so that a set goes to one region only, however many n-grams it shares
+    regions = components(more, "label", "other")
+    places = table(more.select("cid", "label").distinct().join(regions, F.col("label") == F.col("node")).select(F.col("component").alias("region"), "cid", "label"), "places")
     grams = _gram_table(plain, places.select("cid"), groups, n)
     links = [met, *_links(places, grams, num, den, most)]
     edges = links[0]
