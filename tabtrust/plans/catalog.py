@@ -509,3 +509,43 @@ def _(spark, d):
 @query("run_assess_customer_scores")
 def _(spark, d):
     return pipeline.assess(read(spark, d, "customer"), AS_OF).dimensions
+
+
+@query("ag28_value_counts", "SELECT trim(c_mktsegment) AS value, count(*) AS n FROM customer WHERE trim(c_mktsegment) <> '' GROUP BY 1")
+def _(spark, d):
+    return entities.values(read(spark, d, "customer"), "c_mktsegment")
+
+
+@query("sc11_vin", "SELECT count(*) FILTER (c_custkey % 3 = 0) AS valid_vins FROM customer")
+def _(spark, d):
+    number = F.when(F.col("c_custkey") % 3 == 0, F.lit("1m8gdm9axkp042788")).when(F.col("c_custkey") % 3 == 1, F.lit("1M8GDM9A1KP042788")).otherwise(F.lit("1M8GDM9AXKP04278"))
+    return pii.valid_vins(read(spark, d, "customer").select(number.alias("vin")), "vin")
+
+
+@query("sc9_cosine", "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), list_reverse(CAST(embedding AS DOUBLE[]))), 6) AS similarity FROM embeddings")
+def _(spark, d):
+    return read(spark, d, "embeddings").select("vec_id", F.round(values.cosine(F.col("embedding"), F.reverse("embedding")), 6).alias("similarity"))
+
+
+@query("sc2_loose_numbers", "SELECT kind = 'number' AS is_number, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total FROM (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'string' WHEN c_custkey % 11 = 0 THEN 'null' ELSE 'number' END AS kind, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 11 <> 0 THEN 1000000 + c_custkey END AS v FROM customer) GROUP BY 1")
+def _(spark, d):
+    number = values.loose_number(F.col("code"))
+    return _mixed(spark, d).select(number.alias("v")).groupBy(F.col("v").isNotNull().alias("is_number")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@query(
+    "sc19_bands",
+    f"""SELECT c_custkey, {severity_sql("s / 100")} AS severity, CASE WHEN s >= 90 THEN 'Excellent' WHEN s >= 75 THEN 'Good' WHEN s >= 55 THEN 'Fair' ELSE 'Poor' END AS rating,
+      CASE WHEN s >= 90 THEN 'Ready' WHEN s >= 75 THEN 'Ready with Minor Cleaning' WHEN s >= 55 THEN 'Ready with Moderate Cleaning' ELSE 'Not Recommended' END AS readiness FROM (SELECT c_custkey, c_acctbal / 100 AS s FROM customer)""",
+)
+def _(spark, d):
+    s = F.col("c_acctbal") / 100
+    return read(spark, d, "customer").select("c_custkey", values.severity(s / 100).alias("severity"), values.rating(s).alias("rating"), values.readiness(s).alias("readiness"))
+
+
+@query(
+    "sc20_frequency",
+    "SELECT CASE WHEN g <= 1.5 THEN 'daily' WHEN g BETWEEN 5 AND 9 THEN 'weekly' WHEN g BETWEEN 25 AND 35 THEN 'monthly' WHEN g BETWEEN 80 AND 100 THEN 'quarterly' WHEN g BETWEEN 350 AND 380 THEN 'yearly' ELSE 'irregular' END AS frequency, count(*) AS n FROM (SELECT l_quantity * l_linenumber AS g FROM lineitem) GROUP BY 1",
+)
+def _(spark, d):
+    return read(spark, d, "lineitem").groupBy(values.frequency(F.col("l_quantity") * F.col("l_linenumber")).alias("frequency")).agg(F.count("*").alias("n"))
