@@ -338,7 +338,7 @@ def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str
 
 
 def distinct(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs less those that are in a component with a smaller id. Rows that repeat the kept id stay once."""
+    """docs less those that are in a component with a smaller id. Rows with the same id stay or go together; those without an id stay."""
     gone = join(docs, n, num, den, id_col, text_col).where(quoted(id_col) != F.col("component_id")).select(quoted(id_col).alias("__gone")).distinct()
     gone = table(gone, "gone")
     return docs.join(small(gone, gone.count()), quoted(id_col) == F.col("__gone"), "left_anti")
