@@ -189,8 +189,8 @@ def _suspects(num: int, den: int):
     return run
 
 
-def connect(ids: np.ndarray, own: list[np.ndarray], label: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that span the components of a region. label: what is connected already."""
+def connect(ids: np.ndarray, own: list[np.ndarray], label: np.ndarray, num: int, den: int, outside: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that span the components of a region. label: what is connected already; outside: what meets the others of its kind elsewhere."""
     n, sizes = len(ids), np.array([len(x) for x in own])
     offsets = np.r_[0, np.cumsum(sizes)]
     values, codes = np.unique(np.concatenate(own), return_inverse=True)
@@ -199,6 +199,8 @@ def connect(ids: np.ndarray, own: list[np.ndarray], label: np.ndarray, num: int,
     pivots: list[np.ndarray] = []  # distances of all sets to the first few pivots
     for p in range(n):
         open_ = label != label[p]
+        if outside is not None and outside[p]:
+            open_ &= ~outside
         if not open_.any():
             continue
         open_ &= (np.minimum(sizes, sizes[p]) * den >= np.maximum(sizes, sizes[p]) * num)
@@ -232,7 +234,7 @@ def _join(num: int, den: int):
         for _, region in pdf.groupby("region", sort=True):
             region = region.sort_values("cid", kind="stable")
             own = [np.frombuffer(x, "<u8") for x in region["grams"]]
-            out += connect(region["cid"].to_numpy(), own, region["label"].to_numpy(), num, den)
+            out += connect(region["cid"].to_numpy(), own, region["label"].to_numpy(), num, den, region["outside"].to_numpy())
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -255,10 +257,10 @@ def _distance(num: int, den: int):
 
 def _links(regions: DataFrame, grams: DataFrame, num: int, den: int, most: int) -> list[DataFrame]:
     """regions (region, cid, label): links that span each region's components. Large ones are divided by pivots first."""
-    found, regions = [], table(regions, "regions")
+    found, regions = [], table(regions.withColumn("outside", F.lit(False)), "regions")
     while True:
-        size = regions.groupBy("region").agg(F.count("*").alias("members"), F.min("cid").alias("pivot"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-        large = table(size.where((F.col("members") > most) & (F.col("l1") != F.col("l0"))), "large")
+        size = regions.groupBy("region").agg(F.count("*").alias("members"), F.min("cid").alias("pivot"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("outside").alias("outside"))
+        large = table(size.where((F.col("members") > most) & (F.col("l1") != F.col("l0")) & ~F.col("outside")), "large")
         rest = regions if not (number := large.count()) else regions.join(small(large.select("region"), number), "region", "left_anti")
         tasks = max(1, -(-rest.count() // TASK_SETS))
         work = rest.join(grams, "cid").withColumn("part", F.pmod(F.xxhash64("region"), F.lit(tasks)))
@@ -268,19 +270,22 @@ def _links(regions: DataFrame, grams: DataFrame, num: int, den: int, most: int)
         # one pivot for each large region; each of its sets finds its distance
         pivots = large.select("region", "pivot").join(grams.withColumnRenamed("cid", "pivot").withColumnRenamed("grams", "pivot_grams"), "pivot")
         far = regions.join(grams, "cid").join(small(pivots, number, 2000), "region")
-        far = table(far.where("cid != pivot").select("region", "cid", "label", "pivot", _distance(num, den)("grams", "pivot_grams").alias("d")), "distances")
+        far = table(far.where("cid != pivot").select("region", "cid", "label", "outside", "pivot", _distance(num, den)("grams", "pivot_grams").alias("d")), "distances")
         found.append(far.where("d = 0").select(F.col("pivot").alias("a"), F.col("cid").alias("b")))
         cells = table(far.groupBy("region").agg(F.count_if(F.col("d") == 0).alias("core"), F.count_if(F.col("d") == 1).alias("window")), "cells")
         far = far.join(small(cells, number), "region")
-        outer = far.where("d > 0").select(F.xxhash64("region", F.lit("outer")).alias("region"), "cid", "label")
-        # blocks of the cell's core with blocks of its window; what links with the pivot is connected already
+        outer = far.where("d > 0").select(F.xxhash64("region", F.lit("outer")).alias("region"), "cid", "label", "outside")
+        # blocks of the cell's core with blocks of its window; what links with the pivot is connected already, and its label
+        # is that of this pivot only (no cid is negative), as a block that is divided again holds cores of several
         half = most // 2
         rows, cols = F.greatest(F.lit(1), F.ceil(F.col("core") / half)).cast("int"), F.greatest(F.lit(1), F.ceil(F.col("window") / half)).cast("int")
         block = F.xxhash64("region", F.col("i"), F.col("j"))
         core = far.where("d = 0 and window > 0").withColumn("i", F.pmod(F.xxhash64("cid"), rows).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), cols - 1)))
         window = far.where("d = 1 and core > 0").withColumn("j", F.pmod(F.xxhash64("cid"), cols).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), rows - 1)))
-        # sets of the window meet each other in the outer region
-        regions = table(outer.unionByName(core.select(block.alias("region"), "cid", F.lit(-1).cast("long").alias("label"))).unionByName(window.select(block.alias("region"), "cid", F.lit(-2).cast("long").alias("label"))), "regions")
+        # sets of the window meet each other in the outer region; they are not connected, so each keeps its label
+        core = core.select(block.alias("region"), "cid", (-1 - F.col("pivot")).alias("label"), F.lit(False).alias("outside"))
+        window = window.select(block.alias("region"), "cid", "label", F.lit(True).alias("outside"))
+        regions = table(outer.unionByName(core).unionByName(window), "regions")
 
 
 def _gram_table(docs: DataFrame, cids: DataFrame, groups: DataFrame, n: int) -> DataFrame:
