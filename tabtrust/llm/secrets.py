@@ -40,7 +40,7 @@ NAMES = {
 }
 THRESHOLD = 1.0
 LEX = re.compile(
-    r"""(?P<line>\n|;|\#[^\n]*|//[^\n]*)|(?P<string>"(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}')|(?P<name>[A-Za-z_][A-Za-z0-9_.-]*(?:\[["'][A-Za-z0-9_.-]+["']\])?)|(?P<op>:=|=>|==|!=|<=|>=|[=:])|(?P<plus>\+|\.\.)|(?P<space>[ \t\r]+)|(?P<other>.)"""
+    r"""(?P<line>\n|;|\#[^\n]*|//[^\n]*)|(?P<string>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')|(?P<name>[A-Za-z_][A-Za-z0-9_.-]*(?:\[["'][A-Za-z0-9_.-]+["']\])?)|(?P<op>:=|=>|==|!=|<=|>=|[=:])|(?P<plus>\+|\.\.)|(?P<space>[ \t\r]+)|(?P<other>.)"""
 )
 BARE = re.compile(r"[^\s,;#\"'<>(){}\[\]]+")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -82,8 +82,11 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
 
 
 def _line(text: str, at: int, stop: int) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    name, target, value, joined = "", "", [], False
+    name, target, value, joined, unclosed = "", "", [], False, ""
     while at < stop:
+        if text[at] in unclosed:
+            at += 1
+            continue
         m = LEX.match(text, at, stop)
         kind, word, end = m.lastgroup, m.group(), m.end()
         if kind == "op" and word in (":=", "=", ":", "=>") and name and not (target and value and not joined and word == ":"):
@@ -111,6 +114,9 @@ def _line(text: str, at: int, stop: int) -> Iterator[tuple[str, list[tuple[str,
                     yield target, value
                     target, value = "", []
                 name = word
+        elif kind == "other" and word in "\"'":
+            # no later one of the line closes either, as this search ran over all of them as escaped ones
+            unclosed += word
         elif kind == "plus":
             joined = bool(target and value)
         elif kind == "line" or (kind == "other" and word in ",)}{(&|"):
@@ -130,15 +136,28 @@ def _skip(text: str, at: int, stop: int) -> int:
 
 def literals(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
     """Spans of literals whose score reaches the threshold."""
-    values: dict[str, frozenset[tuple[int, int]]] = {}
-    reached: dict[tuple[int, int], set[str]] = {}
+    # a value is a node of its own literals and the nodes of the constants in it; nodes are shared, so all are linear in the text
+    nodes: list[tuple[list[tuple[int, int]], list[int]]] = []
+    best: list[str] = []
+    values: dict[str, int] = {}
     for name, parts in pairs(text):
-        spans = frozenset().union(*[values.get(w, frozenset()) if s < 0 else frozenset([(s, e)]) for w, s, e in parts])
-        if spans and len(spans) <= 16:
-            values[name] = spans
-            for span in spans:
-                reached.setdefault(span, set()).add(name)
-    return sorted((s, e, "literal") for (s, e), names in reached.items() if score(names, text[s:e]) >= threshold)
+        own = [(s, e) for w, s, e in parts if s >= 0]
+        used = [values[w] for w, s, _ in parts if s < 0 and w in values]
+        if own or used:
+            values[name] = len(nodes)
+            nodes.append((own, used))
+            best.append(name)
+    # names reach what their value is made of: later nodes hold earlier ones only
+    weight = [sensitivity(n) for n in best]
+    reached: dict[tuple[int, int], tuple[float, str]] = {}
+    for i in range(len(nodes) - 1, -1, -1):
+        own, used = nodes[i]
+        for k in used:
+            if weight[i] > weight[k]:
+                weight[k], best[k] = weight[i], best[i]
+        for span in own:
+            reached[span] = max(reached.get(span, (-1.0, "")), (weight[i], best[i]))
+    return sorted((s, e, "literal") for (s, e), (_, name) in reached.items() if score({name}, text[s:e]) >= threshold)
 
 
 def base(text: str) -> list[tuple[int, int, str]]:

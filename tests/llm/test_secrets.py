@@ -56,3 +56,19 @@ def test_odd_rows(spark):
     assert sorted(r["n_assign"] for r in secrets.digest(docs).collect()) == [0, 0, 0, 0, 0, 1, 1]
     assert secrets.redact(docs).columns == docs.columns and secrets.redact(docs).count() == len(rows)
     assert secrets.digest(docs.where("false")).collect() == []
+
+
+def test_values_of_many_literals():
+    parts = [f"qX9vR2mL8p{i:02d}" for i in range(40)]
+    joined = " + ".join(f'"{p}"' for p in parts)
+    for text in (f"client_credential = {joined}\n", f"k = {joined}\nclient_credential = k\n", "".join(f'{"k" * (i + 1)} = "{p}"\n' for i, p in enumerate(parts)) + "client_credential = " + " + ".join("k" * (i + 1) for i in range(40))):
+        assert [text[s:e] for s, e, _ in secrets.spans(text)] == parts
+    grown = "".join(f'x = x + "qX9vR2mL{i:05d}"\n' for i in range(20_000)) + "credential = x\n"
+    assert len(secrets.spans(grown.replace("x = x + ", "x = ", 1))) == 20_000
+
+
+def test_long_literals():
+    value = "qX9vR2mL8pT4" * 1000
+    for text in (f'private_key_auth = "{value}"\n', f"credentials: '{value}'\n"):
+        assert [(text[s:e], k) for s, e, k in secrets.spans(text)] == [(value, "literal")]
+    assert secrets.spans('x = ' + '"\\' * 200_001 + "\n" + "y = '\\" + "\\\"" * 200_000) == []
