@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabtrust.functions.values import col, cosine, normal, ratio, ratio_sql
+from tabtrust.functions.values import col, cosine, normal, ratio, ratio_sql, safe_normal
 from tabtrust.operators.checks import _row
 
 MAX_VALUES = 500
@@ -16,6 +16,8 @@ THRESHOLD = 90.0
 AUTO, REVIEW = 0.85, 0.75
 VECTOR_AUTO, VECTOR_REVIEW = 0.78, 0.70
 CANDIDATES = 25
+#: Values with fewer candidates in their block are compared with all canonicals, which stand in so many parts.
+MIN_BLOCK, PARTS = 3, 32
 
 
 def frequent_values(df: DataFrame, columns: Sequence[str], most: int = MAX_VALUES) -> DataFrame:
@@ -77,14 +79,27 @@ def lookup(own: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def blocked_candidates(own: DataFrame, canonicals: DataFrame, most: int = CANDIDATES) -> DataFrame:
-    """Tier 2 pairs (value, canonical, similarity): equal first letter and neighbouring length classes, the best `most` of each value.
+    """Tier 2 pairs (value, canonical, similarity), the best `most` of each value.
 
-    Blocks are joined by equality on (first letter, length class), each canonical standing in three classes.
+    All canonicals, where there are at most `most`; else those of equal first letter and neighbouring length class, both of
+    normal forms; a value with fewer than MIN_BLOCK of these, or without a letter, is compared with all. Blocks are joined by
+    equality on (first letter, length class), each canonical standing in three classes; all canonicals, by equality on their part.
     """
-    place = lambda c: F.floor(F.length(c) / 4)
-    right = canonicals.select("canonical", F.lower(F.substring("canonical", 1, 1)).alias("f"), F.explode(F.array(*[place("canonical") + d for d in (-1, 0, 1)])).alias("b"))
-    left = own.select("value", F.lower(F.substring("value", 1, 1)).alias("f"), place("value").alias("b"))
-    pairs = left.join(right, ["f", "b"]).select("value", "canonical", (ratio_sql("value", "canonical") / 100).alias("similarity"))
+    first = lambda c: F.substring(c, 1, 1).alias("f")
+    place = lambda c: F.when(F.length(c) <= 3, 0).when(F.length(c) <= 6, 1).when(F.length(c) <= 12, 2).otherwise(3)
+    pairs, rest = None, own.select("value")
+    if canonicals.limit(most + 1).count() > most:
+        plain = safe_normal()
+        left = own.withColumn("p", plain("value")).select("value", first("p"), place("p").alias("b"))
+        right = canonicals.withColumn("p", plain("canonical")).select("canonical", first("p"), F.explode(F.array(*[place("p") + d for d in (-1, 0, 1)])).alias("b"))
+        # a canonical without a letter stands in the blocks of all letters
+        blank = right.where("f = ''").drop("f")
+        lettered, blanks = right.where("f <> ''").groupBy("f", "b").agg(F.count("*").alias("m")), blank.groupBy("b").agg(F.count("*").alias("o"))
+        left = left.join(lettered, ["f", "b"], "left").join(blanks, "b", "left").withColumn("many", (F.col("f") != "") & (F.coalesce("m", F.lit(0)) + F.coalesce("o", F.lit(0)) >= MIN_BLOCK))
+        near, rest = left.where("many"), left.where("not many").select("value")
+        pairs = near.join(right.where("f <> ''"), ["f", "b"]).select("value", "canonical").unionByName(near.join(blank, "b").select("value", "canonical"))
+    every = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).join(canonicals.select("canonical", F.pmod(F.xxhash64("canonical"), F.lit(PARTS)).cast("int").alias("part")), "part").select("value", "canonical")
+    pairs = (every if pairs is None else pairs.unionByName(every)).select("value", "canonical", (ratio_sql("value", "canonical") / 100).alias("similarity"))
     best = Window.partitionBy("value").orderBy(F.desc("similarity"), "canonical")
     return pairs.withColumn("k", F.row_number().over(best)).where(F.col("k") <= most).drop("k")
 

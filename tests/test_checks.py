@@ -104,6 +104,20 @@ def test_entities(spark):
     assert {r["original"]: r["canonical"] for r in only(entities.mapping(words, ["c"]))} == {"Karachi": "Karachi", "karachi": "Karachi", "Karachii": "Karachi", "Multan": "Multan"}
 
 
+@pytest.mark.parametrize("others", [0, 40])
+def test_candidates(spark, others):
+    """Few canonicals: all are compared; many: the block, or all where it holds fewer than three."""
+    long = "Grand Central Company of Rail and Sea"
+    listed = ["Karachi", "Lahore", long, *[f"m{i:02d} place" for i in range(others)], *[f"g{x} {'holdings' * 3}" for x in ("abc" if others else "")]]
+    names = spark.createDataFrame([(n, n) for n in listed], "name string, canonical string")
+    own = spark.createDataFrame([("Xarachi", 1), (long[:-12], 2), ("Zzz", 1)], "value string, n long")
+    got = {r["value"]: (r["canonical"], r["decision"]) for r in only(entities.resolve(own, names))}
+    assert got == {"Xarachi": ("Karachi", "auto"), long[:-12]: (long, "review"), "Zzz": (None, "no_match")}
+    pairs = only(entities.blocked_candidates(own, names.select("canonical")))
+    assert len([r for r in pairs if r["value"] == "Zzz"]) == min(25, len(listed))
+    assert len([r for r in pairs if r["value"] == long[:-12]]) == (4 if others else 3)
+
+
 def test_readiness(spark):
     start = datetime.date(2022, 1, 1)
     days = lambda n: spark.createDataFrame([(start + datetime.timedelta(i), float(i % 17 + 1)) for i in range(n)], "d date, y double")
