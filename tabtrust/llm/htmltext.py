@@ -2,7 +2,8 @@
 
 A page is parsed into a tree (end tags that HTML lets out are implied, and unclosed elements end with the page).
 Elements that are no text of the article by their tag, role, class or id are dropped: menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, reader comments. Of every node the composite density is
+sidebars, notices, adverts, forms, scripts, styles, reader comments; but by class or id alone none that holds an
+article or main, or most of the text. Of every node the composite density is
 computed: characters per tag, lowered by the share of characters and tags in links. The node with the largest sum
 of its children's densities is the core; the least density on its path to the body is the threshold. From the core
 the selection climbs to the `article` or `main` around it or, without one, as long as a sibling has text that
@@ -28,16 +29,22 @@ from tabtrust.llm.scratch import quoted
 
 TOKEN = re.compile(r"""<(?:!--(?:.*?-->|.*)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>)""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-RAW = frozenset("script style textarea title noscript template iframe svg math object xmp noembed noframes select".split())
+#: What HTML itself reads as text up to the end tag.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Dropped where their own end tag comes; without it they end with what is around them, and hide nothing.
+CLOSED = frozenset("svg noscript template".split())
+OPTIONS = frozenset("select option optgroup".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
 #: Tags of no article text; a header is kept where it holds the article's own heading.
-DROPPED = frozenset("head nav footer aside form button input label fieldset menu dialog search canvas audio video".split())
+DROPPED = frozenset("head nav footer aside form button input label fieldset menu dialog search canvas audio video select option optgroup datalist annotation annotation-xml".split())
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead topbar toolbar comment comments disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup login pagination pager widget widgets skip copyright disclaimer tags search header".split()
 )
+#: A class or id that starts with one of these names a thing beside the article, however long, and no layout.
+BESIDE = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promotion comment comments disqus reply replies respond related recommended recommendations newsletter".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 KEPT = frozenset("html body article main".split())
 HEADINGS = frozenset("h1 h2 h3".split())
@@ -47,30 +54,52 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("chars", "density", "dropped", "heading", "kids", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
+    __slots__ = ("beside", "chars", "density", "dropped", "heading", "kids", "link_chars", "link_tags", "named", "parent", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool | None):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.kids: list[Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
-        self.heading = False
+        self.heading = self.named = self.beside = False
 
 
-def _named(tag: str, attributes: str) -> bool:
+def _named(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is hidden or dropped by its role, whether a word of its class or id is in NAMES, and whether a first one is in BESIDE."""
+    named = beside = False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
         if name == "role":
             if value.lower() in ROLES:
-                return True
+                return True, named, beside
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, named, beside
         elif name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        elif name in ("class", "id") and any(p.lower() in NAMES for p in PART.findall(value)):
-            return True
-    return False
+                return True, named, beside
+        elif name in ("class", "id"):
+            for token in value.split():
+                words = [p.lower() for p in PART.findall(token)]
+                named |= any(w in NAMES for w in words)
+                beside |= words[:1] != [] and words[0] in BESIDE
+    return False, named, beside
+
+
+def _drop(nodes: list[Node], items: list[tuple[Node, str | None]]) -> None:
+    """Pass on what is dropped by tag, role or style, and drop what is named, but holds no article or main and not most of the text."""
+    size, holds = dict.fromkeys(map(id, nodes), 0), dict.fromkeys(map(id, nodes), False)
+    for node, text in items:
+        if text is not None:
+            size[id(node)] += len(" ".join(text.split()))
+    for n in reversed(nodes[1:]):
+        if not n.dropped:
+            size[id(n.parent)] += size[id(n)]
+            holds[id(n.parent)] |= holds[id(n)] or n.tag == "main" or (n.tag == "article" and not n.beside)
+    for n in nodes[1:]:
+        if n.parent.dropped:
+            n.dropped, n.heading = True, False
+        elif n.named and not holds[id(n)] and (n.beside or 2 * size[id(n)] <= size[id(nodes[0])]):
+            n.dropped = True
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
@@ -80,7 +109,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
     at, size = 0, len(page)
 
     def close(to: int) -> None:
-        if any(n.tag in BLOCK for n in stack[to:]):
+        if any(n.tag in BLOCK for n in stack[to:]) and not (stack[to].dropped and stack[to].tag in CLOSED):
             items.append((stack[to].parent, None))
         del stack[to:]
 
@@ -98,9 +127,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
         if m.group(1):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
+                    stack[i].dropped = stack[i].dropped or tag in CLOSED or None
                     close(i)
                     break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
+                if tag not in BLOCK and stack[i].tag in (KEPT if tag in CLOSED else BLOCK):
                     break
             continue
         if tag in RAW:
@@ -113,8 +143,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
             items.append((stack[-1], " "))
             continue
         if tag in BLOCK:
+            at_option = len(stack)
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in BLOCK:
+                    break
+                if stack[i].tag in OPTIONS and tag != "hr":
+                    at_option = i
+            close(at_option)
             mine, border = ENDS.get(tag, ({"p"}, set()))
             for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in CLOSED:
+                    break
                 if stack[i].tag in mine or (stack[i].tag == "p"):
                     close(i)
                     if "p" not in mine:
@@ -126,17 +165,18 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
             continue
         parent = stack[-1]
         node = Node(tag, parent, None)
-        if parent.dropped:
-            node.dropped = True
-        elif tag in DROPPED:
-            node.dropped = True
-        elif tag == "header" or (tag not in KEPT and _named(tag, m.group(3))) or (tag == "article" and _named(tag, m.group(3)) and any(n.tag == "article" for n in stack)):
+        hidden, named, node.beside = _named(m.group(3))
+        nested = tag == "article" and any(n.tag == "article" for n in stack)
+        node.named = named and (tag not in KEPT or nested)
+        if tag in DROPPED or tag == "header" or (hidden and (tag not in KEPT or nested)):
             node.dropped = True
+        if tag not in DROPPED and (node.dropped or node.named):
             node.heading = tag == "header" or "header" in m.group(3).lower()
         parent.kids.append(node)
         nodes.append(node)
         if not m.group(3).endswith("/") or tag in BLOCK:
             stack.append(node)
+    _drop(nodes, items)
     return nodes, items
 
 
@@ -217,7 +257,7 @@ def main_text(page: str) -> str:
     blocks, now = [], []
     for node, text in items:
         if text is None:
-            if now:
+            if now and not node.dropped:
                 blocks.append("".join(now))
                 now = []
         elif inside[id(node)]:

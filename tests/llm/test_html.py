@@ -39,3 +39,23 @@ def test_pages(tables):
     rows = htmltext.extract(tables("pages")).collect()
     assert len(rows) == tables("pages").count() and all(r["n_chars"] == len(r["text"]) for r in rows)
     assert sum(r["n_chars"] > 0 for r in rows) >= 0.8 * len(rows)
+
+
+ARTICLE = "<article><h1>Title</h1><p>First words of a paragraph.</p><p>Second words of it.</p></article>"
+TEXT = "Title\n\nFirst words of a paragraph.\n\nSecond words of it."
+
+
+def test_unclosed_elements_hide_nothing():
+    for start in ("<svg viewBox='0 0 1 1'/>", "<math/>", "<div><select><option>a</div>", "<select><option>a<option>b", "<object data=x>", "<div><noscript></div>", "<noscript>", "<template>", "<svg><path/>"):
+        assert htmltext.main_text(f"<body>{start}{ARTICLE}<p><select><option>o</select><noscript>n</noscript><svg><text>s</text></svg></p>") == TEXT, start
+    inside = "<article><p>Let <math><mi>x</mi><annotation>x_0</annotation></math> be <object data=x>the fallback</object> here<svg><title>i</title><text>s</text></svg><noscript><p>n</noscript>.</p></article>"
+    assert htmltext.main_text(inside) == "Let x be the fallback here."
+
+
+def test_names_around_the_article():
+    for around in ('<div class="layout has-sidebar">', '<div class="with-comments">', '<div id="search-layout"><div class="related-wrap">'):
+        assert htmltext.main_text(f"<body>{around}{ARTICLE}<div class=comments><article class=comment>Great, thanks.</article></div></div>") == TEXT
+        assert htmltext.main_text(f"<body>{around}{ARTICLE.replace('article>', 'main>')}</div>") == TEXT
+    body = "<p>" + "Many words of a long text. " * 20 + "</p>"
+    assert htmltext.main_text(f'<body><div class="layout has-sidebar">{body * 3}<div class="sidebar">Menu of links</div></div>').count("Many") == 60
+    assert "Great" not in htmltext.main_text(f"<body>{body}<div class=comments>{'<p>Great, thanks a lot.</p>' * 90}</div>")
