@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabtrust.functions.values import absent, col, moment, number, rounded
@@ -50,9 +50,24 @@ def numeric_share(df: DataFrame) -> DataFrame:
 
 
 def heads(df: DataFrame, size: int = SAMPLE) -> dict[str, list[str]]:
-    """The first values of each column as text; the sample of `size` rows is part of the rule, and bounded."""
-    rows = df.select(*[col(c).cast("string").alias(f"c{i}") for i, c in enumerate(kinds(df))]).limit(size).collect()
-    return {c: [r[i] for r in rows if r[i] is not None] for i, c in enumerate(kinds(df))}
+    """The first `size` values of each column as text, by partition and row; the sample is part of the rule, and bounded.
+
+    Columns without nulls have theirs in the first rows; those of the others are ranked by row id, with partial top-k.
+    """
+    by = kinds(df)
+    text = [F.when(~absent(col(c), k), col(c).cast("string")) for c, k in by.items()]
+    rows = df.select(*[t.alias(f"c{i}") for i, t in enumerate(text)]).limit(size).collect()
+    out = {c: [r[i] for r in rows if r[i] is not None] for i, c in enumerate(by)}
+    sparse = {i: c for i, c in enumerate(by) if len(out[c]) < len(rows) == size}
+    if sparse:
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), text[i].alias("v")) for i in sparse])
+        cells = df.select(F.monotonically_increasing_id().alias("row"), F.explode(cells).alias("x")).select("row", "x.*").where("v is not null")
+        first = cells.withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy("row"))).where(F.col("k") <= size)
+        for c in sparse.values():
+            out[c] = []
+        for r in first.orderBy("i", "k").collect():  # `size` rows a column
+            out[sparse[r["i"]]].append(r["v"])
+    return out
 
 
 def _phone_like(values: list[str]) -> bool:
@@ -120,12 +135,12 @@ def classify(df: DataFrame) -> list[dict]:
     facts = {r["column"]: r.asDict() for r in profile(df).collect()}  # one row a column
     shares = numeric_share(df).first()
     texts = [c for c, k in by.items() if k == "string"]
-    sample = df.limit(SAMPLE).agg(F.count("*").alias("all"), *[F.struct(F.count(moment(col(c))).alias("d"), F.count(col(c)).alias("t")).alias(f"d{i}") for i, c in enumerate(texts)]).first()
+    sample = df.sparkSession.createDataFrame([(c, v) for c in texts for v in values[c]], "column string, value string")
+    dates = {r["column"]: r["d"] / r["t"] for r in sample.groupBy("column").agg(F.count(moment(F.col("value"))).alias("d"), F.count("*").alias("t")).collect()}
     out = []
     for i, (c, k) in enumerate(by.items()):
         f = facts.get(c) or {"column": c, "rows": 0, "non_null": 0, "distinct": 0, "ratio": 0.0, "top_n": 0, "top_ratio": 0.0}
-        dates = sample[f"d{texts.index(c)}"] if c in texts else None
-        own = role(c, k, f, values[c], shares[f"n{i}"] / max(1, shares[f"t{i}"]), dates["d"] / max(1, dates["t"]) if dates else 0.0)
+        own = role(c, k, f, values[c], shares[f"n{i}"] / max(1, shares[f"t{i}"]), dates.get(c, 0.0))
         legacy = LEGACY.get(own, own)
         score, unique = evidence(c, f, legacy)
         out.append({**f, "role": own, "legacy_role": legacy, "uniqueness_confidence": uniqueness_confidence(c, k, f, own), "evidence": round(score, 4), "expected_unique": unique, "importance": "high" if own in ("primary_key", "business_key", "identifier") else "medium" if own in ("measurement", "financial", "date") else "low", "sensitivity": "high" if own in ("pii", "contact") else "low"})

@@ -66,6 +66,18 @@ def test_classes(spark):
     assert [r["legacy_role"] for r in classify.classify(df)] == ["identifier", "identifier", "measurement", "pii", "pii", "categorical", "date", "free_text"]
 
 
+def test_classes_of_late_columns(spark):
+    """The sample are the first values that are there, not those of the first rows."""
+    late = lambda i, v: v if i >= 300 else None
+    rows = [(i, late(i, f"2024-01-{i % 28 + 1:02d}"), late(i, f"u{i}@x.com"), late(i, 3001234567.0 + i) if i % 2 else float("nan")) for i in range(700)]
+    df = spark.createDataFrame(rows, "line int, shipped string, email_address string, m double").repartition(3, "line").sortWithinPartitions("line")
+    found = {r["column"]: r["role"] for r in classify.classify(df)}
+    assert (found["shipped"], found["email_address"]) == ("date", "pii")
+    values, kept = classify.heads(df), df.collect()
+    assert values["shipped"] == [r["shipped"] for r in kept if r["shipped"]][:200]
+    assert [float(v) for v in values["m"]] == [r["m"] for r in kept if r["m"] is not None and r["m"] == r["m"]][:200]
+
+
 @pytest.mark.parametrize(
     ("text", "kind", "masked"),
     [("write john.doe@gmail.com now", "EMAIL", "write j***@gmail.com now"), ("35202-1234567-1", "CNIC", "*****-*******-1"), ("0300-1234567", "MOBILE", "****-***4567"), ("4111 1111 1111 1111", "CARD", "**** **** **** 1111"), ("ssn 123-45-6789", "SSN", "ssn [SSN]"), ("host 10.0.0.7", "IP_ADDRESS", "host x.x.x.7"), ("GB29NWBK60161331926819", "IBAN", "GB****************6819")],
