@@ -3,19 +3,20 @@
 A document's set are its distinct word n-grams. Two documents link if |A & B| * den >= num * |A | B|.
 
 1. Documents with equal sets become one class, by partial aggregation.
-2. First partition: in one order of all n-grams (frequent ones last, by a count sketch of fixed size over all
-   documents), linked sets share one of their first |A| - ceil(t |A|) + 1 n-grams, so each such n-gram is a region.
-   Regions with the same members are joined once.
-3. Most regions hold sets that share a passage and no more. Counts of a set's n-grams in 64 hash classes bound the
-   symmetric difference from below, and so the distance.
-   It is tested against the region's least member, which is compared exactly, and so connects most of a group; for
-   regions with members that are not connected yet it is tested within windows of like sizes, and only members of a
-   pair that it lets through stay. What such pairs connect is one region from here on.
-4. The rest joins exactly, by pivots. A set within the radius r of a pivot links with it. Sets of the pivot's cell
-   can only link with sets of distance up to 2 r (the window, which is replicated to the cell); the others go on as a
-   region of their own. Large regions are divided this way in rounds over the cluster, cells in blocks; smaller ones
-   in a task, where the distances to the first pivots exclude pairs by the triangle inequality, and sets that are
-   connected already are not compared.
+2. Pivots of the whole table. Unrelated texts are at distance 1 from each other and from any pivot, so pivots drawn
+   at random would have every set on all their bisectors. In one order of all n-grams (frequent ones last, by a count
+   sketch of fixed size over all documents), linked sets share one of their first |A| - ceil(t |A|) + 1 n-grams. Of all
+   sets with such an n-gram one is the pivot (the least by a hash, the same order for all n-grams, so that a group of
+   near copies has few pivots), and the cell of a pivot are all sets that it was drawn for. Two linked sets meet in a cell.
+3. Counts of a set's n-grams in 64 to 1024 hash classes are a map into an L1 space that never lengthens a symmetric difference.
+   Within a cell, sets that this bound doesn't tell apart are connected to one region; a set whose cells hold no such
+   partner leaves. Cells of more than TILE sets are tested in tiles.
+4. Regions join by the Jaccard distance. One with more than `most` sets, or too many n-grams, is divided: PIVOTS of its
+   sets are drawn, each set finds its exact distance to all of them, goes to the Voronoi cell of the nearest, and is
+   replicated to the cell of each pivot that is not further than that by twice the radius (the triangle inequality lets
+   no linked set lie beyond). Cells are divided again while they halve; a cell that doesn't (its sets are as far from
+   each other as from the pivots) is joined in blocks. Sets within the radius of a cell's pivot are connected by it, and
+   not compared with each other. Smaller regions are joined in a task, where distances to the first pivots exclude pairs.
 5. Links span the components, which `components` closes.
 
 Defined results: null and empty texts have no n-gram and link with nothing; with fewer words than n, the whole
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,11 +40,22 @@ from tabtrust.llm import wordhash
 from tabtrust.llm.components import components
 from tabtrust.llm.scratch import quoted, small, table
 
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 SLICES = 64
-CLASSES = 64
-#: Sets that one task joins at once, about, and the most in one region of a task.
-TASK_SETS = 4000
+#: Hash classes in which a set's n-grams are counted: so many for sets of at least so many n-grams.
+CLASSES = ((0, 64), (400, 256), (1600, 1024))
+#: Sets of a cell that one task tests at once.
+TILE = 2048
+#: Rows of cells, and n-grams of regions, that a task has, about.
+TASK_ROWS = 20_000
+TASK_GRAMS = 1_500_000
+#: The most sets, and n-grams, of a region that one task joins.
+LEAF_SETS = 1000
+LEAF_GRAMS = 2_000_000
+#: Pivots of a region that is divided; with up to so many bytes they are broadcast, else dealt by region and salt.
+PIVOTS = 16
+PIVOT_BYTES = 32 << 20
+SALTS = 16
 
 
 def sets(texts: list[bytes], n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -72,34 +84,48 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _sketch(n: int):
+    """Counts by cell of a task's n-grams, up to 255 each, in SLICES rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts, waiting, size = np.zeros(1 << SKETCH_BITS, np.uint8), [], 0
+
+        def add() -> None:
+            if waiting:
+                cells, many = np.unique(np.concatenate(waiting), return_counts=True)
+                counts[cells] = np.minimum(counts[cells] + many, 255)
+                waiting.clear()
+
         for batch in batches:
             for _, own in sets(_texts(batch), n):
-                np.add.at(counts, own & np.uint64((1 << SKETCH_BITS) - 1), 1)
+                waiting.append((own & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.uint32))
+                size += len(own)
+                if size > 1 << 20:
+                    add()
+                    size = 0
+        add()
         used = [(i, x) for i, x in enumerate(np.split(counts, SLICES)) if x.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in used], pa.int32()), pa.array([x.astype("<u4").tobytes() for _, x in used], pa.binary())], names=["slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in used], pa.int32()), pa.array([x.tobytes() for _, x in used], pa.binary())], names=["slice", "counts"])
 
     return run
 
 
 def _add(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros((1 << SKETCH_BITS) // SLICES, np.int64)
+    total = np.zeros((1 << SKETCH_BITS) // SLICES, np.uint32)
     for x in pdf["counts"]:
-        total += np.frombuffer(x, "<u4")
-    return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
+        total += np.frombuffer(x, np.uint8)
+    return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [total.astype("<u4").tobytes()]})
 
 
 def frequency_class(docs: DataFrame, n: int) -> np.ndarray:
-    """For each cell of the sketch (1 MB in all): 0, or how often its count doubles twice the mean's."""
-    # many documents of a task share one sketch, so tables of small files take no more than this many
+    """For each cell of the sketch (4 MB in all): 0, or by how many half doublings its count is above what chance gives the median cell."""
     parts = docs.mapInArrow(_sketch(n), "slice int, counts binary")
     rows = parts.groupBy("slice").applyInPandas(_add, "slice int, counts binary").collect()  # SLICES rows
-    counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES))
+    counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.float32)
     for r in rows:
         counts[r["slice"]] = np.frombuffer(r["counts"], "<u4")
-    counts = counts.ravel()
-    return np.clip(np.floor(np.log2(np.maximum(1.0, counts / (2 * max(1.0, counts.mean()))))), 0, 60).astype(np.uint8)
+    middle = float(np.median(counts))
+    above = (counts.ravel() - middle) / (4 * middle**0.5 + 1)
+    return np.clip(np.floor(2 * np.log2(np.maximum(0.5, above))) + 1, 0, 60).astype(np.uint8)
 
 
 def _prefix_size(size: int, num: int, den: int) -> int:
@@ -119,7 +145,7 @@ def _describe(n: int, num: int, den: int, classes: np.ndarray):
                 mixed = wordhash.mix(own + np.uint64(0x1234567))
                 one.append(int(own.sum(dtype=np.uint64).astype(np.int64)) if len(own) else 0)
                 two.append(int(np.bitwise_xor.reduce(mixed).astype(np.int64)) if len(own) else 0)
-                counts.append(np.minimum(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=CLASSES), 65535).astype("<u2").tobytes())
+                counts.append(by_class(own).tobytes())
                 if len(own) < least:
                     firsts.append(np.empty(0, np.int64))
                     continue
@@ -144,84 +170,120 @@ def _whole(n: int):
     return run
 
 
-def _bound_ok(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether sets of these sizes and class counts can link: their difference is at most (sa + sb) (den - num) / (den + num)."""
-    difference = np.abs(a.astype(np.int32) - b.astype(np.int32)).sum(-1)
-    return difference * (den + num) <= (sa + sb) * (den - num)
-
-
-def _may_link(num: int, den: int):
-    def run(a: pd.Series, b: pd.Series, sa: pd.Series, sb: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(c), "<u2").reshape(len(c), -1) for c in (a, b))
-        return pd.Series(_bound_ok(x, y, sa.to_numpy(), sb.to_numpy(), num, den))
-
-    return F.pandas_udf(run, T.BooleanType())
-
-
-def _suspects(num: int, den: int):
-    """(cid, label, other label) of members of a pair that the bound lets through and that is not connected yet, of each window.
-
-    Members of a window's most frequent label are not tested with each other, and only like sizes are tested."""
+def by_class(own: np.ndarray) -> np.ndarray:
+    """Number of n-grams, up to 255, in classes by the first bits of their hash."""
+    classes = max(k for least, k in CLASSES if len(own) >= least)
+    return np.minimum(np.bincount((own >> np.uint64(65 - classes.bit_length())).astype(np.int64), minlength=classes), 255).astype(np.uint8)
+
+
+class Signatures:
+    """Class counts of sets: rows in tables by number of classes; sets of different numbers are compared in the classes of the smaller."""
+
+    def __init__(self, counts: list[bytes]):
+        width, self.row, self.folded = np.array([len(x) for x in counts]), np.zeros(len(counts), np.int64), {}
+        for k in np.unique(width).tolist():
+            at = np.flatnonzero(width == k)
+            self.row[at] = np.arange(len(at))
+            self.folded[k, k] = np.frombuffer(b"".join(counts[i] for i in at.tolist()), np.uint8).reshape(len(at), k).astype(np.int16)
+        self.width = width
+
+    def _table(self, width: int, k: int) -> np.ndarray:
+        if (width, k) not in self.folded:
+            whole = self.folded[width, width]
+            self.folded[width, k] = whole.reshape(len(whole), k, -1).sum(2, dtype=np.int16)
+        return self.folded[width, k]
+
+    def near(self, a: np.ndarray, b: np.ndarray, size: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Whether sets a can link with sets b: their difference is at most the sum of sizes * (den - num) / (den + num)."""
+        difference, one, two = np.zeros(len(a), np.int64), self.width[a], self.width[b]
+        for pair in np.unique(one * 65536 + two).tolist():
+            v, w = divmod(pair, 65536)
+            k, some = min(v, w), np.flatnonzero((one == v) & (two == w))
+            for at in np.split(some, range(1 << 16, len(some), 1 << 16)):
+                x, y = self._table(v, k)[self.row[a[at]]], self._table(w, k)[self.row[b[at]]]
+                if v != w:  # classes that were cut at 255 are cut again when added up
+                    x, y = np.minimum(x, 255), np.minimum(y, 255)
+                difference[at] = np.abs(x - y).sum(1, dtype=np.int64)
+        return difference * (den + num) <= (size[a] + size[b]) * (den - num)
+
+
+def alike(size: np.ndarray, own: Signatures, first: int, side: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Component of each set of a tile (from `first` on, sorted by size) in the graph of pairs that can link. Sides other than 0 are tested with the other side."""
+    n = len(side)
+    label, mine = np.arange(n), size[first : first + n]
+    if n <= 24:
+        a, b = np.triu_indices(n, 1)
+        ok = (mine[a] * den >= mine[b] * num) & ((side[a] == 0) | (side[a] != side[b]))
+        a, b = a[ok], b[ok]
+        ok = own.near(a + first, b + first, size, num, den)
+        for i, j in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+        return label
+    high = np.searchsorted(mine * num, mine * den, side="right")
+    for i in range(n - 1):
+        at = np.arange(i + 1, high[i])
+        at = at[(label[at] != label[i]) & ((side[i] == 0) | (side[at] != side[i]))]
+        if len(at):
+            hit = at[own.near(np.full(len(at), i + first), at + first, size, num, den)]
+            if len(hit):
+                label[np.isin(label, label[hit])] = label[i]
+    return label
+
+
+def _test_cells(num: int, den: int):
+    """(a, b): forests that span the sets of a cell that can link."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["token", "window", "size", "cid"], kind="stable")
-        counts = np.frombuffer(b"".join(pdf["counts"]), "<u2").reshape(len(pdf), -1)
-        size, cid, label, head = pdf["size"].to_numpy(), pdf["cid"].to_numpy(), pdf["label"].to_numpy(), pdf[["token", "window"]].to_numpy()
+        pdf = pdf.sort_values(["pivot", "ta", "tb", "size", "cid"], kind="stable")
+        own = Signatures(pdf["counts"].tolist())
+        size, cid, head = pdf["size"].to_numpy(), pdf["cid"].to_numpy(), pdf[["pivot", "ta", "tb"]].to_numpy()
+        side = np.where(head[:, 1] == head[:, 2], 0, pdf["own"].to_numpy() + 1)
         starts = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]).any(1)])
-        found = [np.empty((0, 3), np.int64)]
-        for s, e in zip(starts, np.r_[starts[1:], len(pdf)], strict=True):
-            names, many = np.unique(label[s:e], return_counts=True)
-            if len(names) < 2:
-                continue
-            low, high = np.searchsorted(size[s:e] * den, size[s:e] * num) + s, np.searchsorted(size[s:e] * num, size[s:e] * den, side="right") + s
-            for i in (np.flatnonzero(label[s:e] != names[many.argmax()]) + s).tolist():
-                at = np.arange(low[i - s], high[i - s])
-                at = at[label[at] != label[i]]
-                hit = at[_bound_ok(counts[i], counts[at], size[i], size[at], num, den)]
-                if len(hit):
-                    found.append(np.stack([cid[hit], label[hit], np.full(len(hit), label[i])], 1))
-                    others = np.unique(label[hit])
-                    found.append(np.stack([np.full(len(others), cid[i]), np.full(len(others), label[i]), others], 1))
-            if len(found) > 1000:
-                found = [np.unique(np.concatenate(found), axis=0)]
-        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["cid", "label", "other"])
+        out = [np.empty((0, 2), np.int64)]
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(pdf)], strict=True):
+            label = alike(size, own, s, side[s:e], num, den)
+            at = np.flatnonzero(label != np.arange(e - s))
+            if len(at):
+                out.append(np.stack([cid[s + at], cid[s + label[at]]], 1))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
     return run
 
 
-def connect(ids: np.ndarray, own: list[np.ndarray], label: np.ndarray, num: int, den: int, outside: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that span the components of a region. label: what is connected already; outside: what meets the others of its kind elsewhere."""
+def connect(ids: np.ndarray, own: list[np.ndarray], label: np.ndarray, home: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that span the components of a region, each of sets with different labels, at least one of them at home, and of sides that meet."""
     n, sizes = len(ids), np.array([len(x) for x in own])
-    offsets = np.r_[0, np.cumsum(sizes)]
+    offsets, counts = np.r_[0, np.cumsum(sizes)], Signatures([by_class(x).tobytes() for x in own])
     values, codes = np.unique(np.concatenate(own), return_inverse=True)
     label, out, member = label.copy(), [], np.zeros(len(values), bool)
     radius = 1 - num / den + 1e-9
     pivots: list[np.ndarray] = []  # distances of all sets to the first few pivots
-    for p in range(n):
-        open_ = label != label[p]
-        if outside is not None and outside[p]:
-            open_ &= ~outside
-        if not open_.any():
-            continue
-        open_ &= (np.minimum(sizes, sizes[p]) * den >= np.maximum(sizes, sizes[p]) * num)
+    for p in range(n - 1):
+        rest = slice(p + 1, n)
+        open_ = (label[rest] != label[p]) & (home[rest] | home[p]) & ((side[p] == 0) | (side[rest] != side[p]))
+        open_ &= (np.minimum(sizes[rest], sizes[p]) * den >= np.maximum(sizes[rest], sizes[p]) * num)
         for d in pivots:
-            open_ &= np.abs(d - d[p]) <= radius
-        at = np.flatnonzero(open_)
-        first = len(pivots) < 6
+            open_ &= np.abs(d[rest] - d[p]) <= radius
+        at = np.flatnonzero(open_) + p + 1
         if not len(at):
             continue
-        if first or len(at) > n // 4:
+        first = n > 50 and len(pivots) < 6
+        if first:
             at, part, cut = np.arange(n), codes, offsets[:-1]
         else:
+            at = at[counts.near(np.full(len(at), p), at, sizes, num, den)]
+            if not len(at):
+                continue
             part, cut = np.concatenate([codes[offsets[i] : offsets[i + 1]] for i in at]), np.r_[0, np.cumsum(sizes[at])[:-1]]
         mine = codes[offsets[p] : offsets[p + 1]]
         member[mine] = True
-        shared = np.add.reduceat(member[part].astype(np.int64), cut)
+        shared = np.add.reduceat(member[part], cut, dtype=np.int64)
         member[mine] = False
         union = sizes[at] + sizes[p] - shared
         if first:
             pivots.append(1 - shared / union)
-        for i in at[(shared * den >= num * union) & (label[at] != label[p])]:
+        for i in at[(shared * den >= num * union) & (label[at] != label[p])].tolist():
             if label[i] != label[p]:
                 out.append((int(ids[p]), int(ids[i])))
                 label[label == label[i]] = label[p]
@@ -234,58 +296,83 @@ def _join(num: int, den: int):
         for _, region in pdf.groupby("region", sort=True):
             region = region.sort_values("cid", kind="stable")
             own = [np.frombuffer(x, "<u8") for x in region["grams"]]
-            out += connect(region["cid"].to_numpy(), own, region["label"].to_numpy(), num, den, region["outside"].to_numpy())
+            out += connect(region["cid"].to_numpy(), own, region["label"].to_numpy(), region["home"].to_numpy(), region["side"].to_numpy(), num, den)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _distance(num: int, den: int):
-    """0: links; 1: in the window of twice the radius; 2: beyond."""
+def voronoi(own: np.ndarray, pivots: list[np.ndarray], num: int, den: int) -> tuple[int, list[int], list[bool]]:
+    """(nearest pivot, pivots whose cells a set goes to, whether it links with each of these)."""
+    shared = np.array([len(np.intersect1d(own, p, assume_unique=True)) for p in pivots])
+    union = np.array([len(p) for p in pivots]) + len(own) - shared
+    distance = 1 - shared / union
+    at = np.flatnonzero(distance <= distance.min() + 2 * (1 - num / den) + 1e-9)
+    return int(distance.argmin()), at.tolist(), (shared[at] * den >= num * union[at]).tolist()
+
+
+CELLS = T.ArrayType(T.StructType([T.StructField("pivot", T.LongType()), T.StructField("home", T.BooleanType()), T.StructField("linked", T.BooleanType())]))
 
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+
+def _divide(num: int, den: int):
+    def run(grams: pd.Series, cids: pd.Series, bodies: pd.Series) -> pd.Series:
         out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            union = len(x) + len(y) - shared
-            out.append(0 if shared * den >= num * union else 1 if shared * den >= (2 * num - den) * union else 2)
-        return pd.Series(out, dtype="int32")
+        for own, names, pivots in zip(grams, cids, bodies, strict=True):
+            nearest, at, linked = voronoi(np.frombuffer(own, "<u8"), [np.frombuffer(p, "<u8") for p in pivots], num, den)
+            out.append([{"pivot": int(names[i]), "home": i == nearest, "linked": k} for i, k in zip(at, linked, strict=True)])
+        return pd.Series(out)
+
+    return F.pandas_udf(run, CELLS)
+
 
-    return F.pandas_udf(run, T.IntegerType())
+def _leaves(regions: DataFrame, grams: DataFrame, num: int, den: int) -> DataFrame:
+    work = regions.join(grams, "cid")
+    tasks = max(1, -(-(work.agg(F.sum(F.length("grams"))).first()[0] or 0) // (8 * TASK_GRAMS)))
+    work = work.withColumn("part", F.pmod(F.xxhash64("region"), F.lit(int(tasks))))
+    return table(work.groupBy("part").applyInPandas(_join(num, den), "a long, b long"), "links")
 
 
-def _links(regions: DataFrame, grams: DataFrame, num: int, den: int, most: int) -> list[DataFrame]:
-    """regions (region, cid, label): links that span each region's components. Large ones are divided by pivots first."""
-    found, regions = [], table(regions.withColumn("outside", F.lit(False)), "regions")
+def _links(regions: DataFrame, grams: DataFrame, num: int, den: int, most: int, most_grams: int = LEAF_GRAMS) -> list[DataFrame]:
+    """regions (region, cid): links that span each region's components."""
+    fresh = {"label": F.col("cid"), "home": F.lit(True), "side": F.lit(0), "before": F.lit(2**62)}
+    found, regions, level = [], table(regions.select("region", "cid").withColumns(fresh), "regions"), 0
     while True:
-        size = regions.groupBy("region").agg(F.count("*").alias("members"), F.min("cid").alias("pivot"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("outside").alias("outside"))
-        large = table(size.where((F.col("members") > most) & (F.col("l1") != F.col("l0")) & ~F.col("outside")), "large")
-        rest = regions if not (number := large.count()) else regions.join(small(large.select("region"), number), "region", "left_anti")
-        tasks = max(1, -(-rest.count() // TASK_SETS))
-        work = rest.join(grams, "cid").withColumn("part", F.pmod(F.xxhash64("region"), F.lit(tasks)))
-        found.append(table(work.groupBy("part").applyInPandas(_join(num, den), "a long, b long"), "links"))
+        sizes = regions.join(grams.select("cid", (F.length("grams") / 8).cast("long").alias("n")), "cid").groupBy("region")
+        sizes = sizes.agg(F.count("*").alias("members"), F.sum("n").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.bool_or("home").alias("home"), F.min("before").alias("before"))
+        large = table(sizes.where((F.col("before") > 0) & ((F.col("members") > most) | (F.col("n") > most_grams)) & (F.col("members") > 2)), "large")
+        number = large.count()
+        rest = regions.join(small(large.select("region"), number), "region", "left_anti") if number else regions
+        found.append(_leaves(rest, grams, num, den))
         if not number:
             return found
-        # one pivot for each large region; each of its sets finds its distance
-        pivots = large.select("region", "pivot").join(grams.withColumnRenamed("cid", "pivot").withColumnRenamed("grams", "pivot_grams"), "pivot")
-        far = regions.join(grams, "cid").join(small(pivots, number, 2000), "region")
-        far = table(far.where("cid != pivot").select("region", "cid", "label", "outside", "pivot", _distance(num, den)("grams", "pivot_grams").alias("d")), "distances")
-        found.append(far.where("d = 0").select(F.col("pivot").alias("a"), F.col("cid").alias("b")))
-        cells = table(far.groupBy("region").agg(F.count_if(F.col("d") == 0).alias("core"), F.count_if(F.col("d") == 1).alias("window")), "cells")
-        far = far.join(small(cells, number), "region")
-        outer = far.where("d > 0").select(F.xxhash64("region", F.lit("outer")).alias("region"), "cid", "label", "outside")
-        # blocks of the cell's core with blocks of its window; what links with the pivot is connected already, and its label
-        # is that of this pivot only (no cid is negative), as a block that is divided again holds cores of several
-        half = most // 2
-        rows, cols = F.greatest(F.lit(1), F.ceil(F.col("core") / half)).cast("int"), F.greatest(F.lit(1), F.ceil(F.col("window") / half)).cast("int")
-        block = F.xxhash64("region", F.col("i"), F.col("j"))
-        core = far.where("d = 0 and window > 0").withColumn("i", F.pmod(F.xxhash64("cid"), rows).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), cols - 1)))
-        window = far.where("d = 1 and core > 0").withColumn("j", F.pmod(F.xxhash64("cid"), cols).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), rows - 1)))
-        # sets of the window meet each other in the outer region; they are not connected, so each keeps its label
-        core = core.select(block.alias("region"), "cid", (-1 - F.col("pivot")).alias("label"), F.lit(False).alias("outside"))
-        window = window.select(block.alias("region"), "cid", "label", F.lit(True).alias("outside"))
-        regions = table(outer.unionByName(core).unionByName(window), "regions")
+        large = large.where((F.col("l0") != F.col("l1")) & F.col("home"))
+        rows = regions.drop("before").join(small(large.select("region", "members", "n", "before"), number), "region")
+        halved = F.col("members") * 2 <= F.col("before")
+        # each region's pivots: about four times as many are drawn by hash, and the first of them taken
+        drawn = rows.where(halved & (F.pmod(F.xxhash64("cid", F.lit(level)), F.col("members")) < 4 * PIVOTS)).groupBy("region").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("cid", F.lit(level)).alias("h"), "cid"))), 1, PIVOTS).alias("p"))
+        drawn = drawn.select("region", F.explode("p.cid").alias("cid")).join(grams, "cid")
+        pivots = table(drawn.groupBy("region").agg(F.collect_list(F.struct("cid", "grams")).alias("p")).select("region", F.col("p.cid").alias("cids"), F.col("p.grams").alias("bodies")), "pivots")
+        size = pivots.agg(F.sum(F.aggregate("bodies", F.lit(0).cast("long"), lambda s, x: s + F.length(x)))).first()[0] or 0
+        far = rows.where(halved).drop("side").join(grams, "cid")
+        if size <= PIVOT_BYTES:
+            far = far.join(F.broadcast(pivots), "region")
+        else:
+            salted = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            far = far.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int")).join(salted, ["region", "salt"])
+        far = table(far.select("region", "cid", "label", "members", F.explode(_divide(num, den)("grams", "cids", "bodies")).alias("x")).select("region", "cid", "label", "members", "x.*"), "cells")
+        found.append(far.where("linked and cid != pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")))
+        cells = far.select(F.xxhash64("region", "pivot").alias("region"), "cid", F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("label")).alias("label"), "home", F.lit(0).alias("side"), F.col("members").alias("before"))
+        # blocks: each with each other, and with itself
+        count = F.greatest(F.lit(2), F.ceil(F.col("members") * 2 / most), F.ceil(F.col("n") * 2 / most_grams)).cast("int")
+        own = F.pmod(F.xxhash64("cid"), count).cast("int")
+        tiles = rows.where(~halved).withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), count - 1))})
+        tiles = tiles.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "cid", "label", "home", _side("own", "other", "side").alias("side"), F.lit(0).cast("long").alias("before"))
+        regions, level = table(cells.unionByName(tiles), "regions"), level + 1
+
+
+def _side(own: str, other: str, before: str) -> Column:
+    """In the tile of two blocks, sets meet those of the other block only."""
+    return F.when(F.col(own) == F.col(other), F.col(before)).when(F.col(own) < F.col(other), 1).otherwise(2)
 
 
 def _gram_table(docs: DataFrame, cids: DataFrame, groups: DataFrame, n: int) -> DataFrame:
@@ -295,7 +382,22 @@ def _gram_table(docs: DataFrame, cids: DataFrame, groups: DataFrame, n: int) ->
     return table(texts.mapInArrow(_whole(n), "cid long, grams binary").groupBy("cid").agg(F.first("grams").alias("grams")), "grams")
 
 
-def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", most: int = TASK_SETS) -> DataFrame:
+def _cells(groups: DataFrame, tile: int) -> DataFrame:
+    """(pivot, cid, ta, tb, own): the sets of each pivot's cell, large ones in tiles of blocks."""
+    order = F.struct(F.xxhash64("cid").alias("h"), "cid")
+    tokens = groups.select("cid", F.explode("firsts").alias("token"))
+    regions = tokens.groupBy("token").agg(F.count("*").alias("members"), F.min(order).alias("least")).where("members > 1")
+    regions = table(regions.select("token", F.col("least.cid").alias("pivot")), "tokens")
+    cells = table(tokens.join(regions, "token").select("pivot", "cid").distinct(), "cells")
+    size = cells.groupBy("pivot").agg(F.count("*").alias("members"))
+    large = table(size.where(F.col("members") > tile), "large")
+    cells = cells.join(small(large, large.count()), "pivot", "left")
+    blocks = F.coalesce(F.ceil(F.col("members") * 2 / tile), F.lit(1)).cast("int")
+    cells = cells.withColumns({"own": F.pmod(F.xxhash64("cid"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    return cells.select("pivot", "cid", F.least("own", "other").alias("ta"), F.greatest("own", "other").alias("tb"), (F.col("own") > F.col("other")).cast("int").alias("own"))
+
+
+def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", most: int = LEAF_SETS, tile: int = TILE) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
     plain = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     classes = frequency_class(plain.select("text"), n)
@@ -303,37 +405,15 @@ def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str
     # sets with equal sizes and two equal 64-bit hashes are equal sets; texts without words stay alone
     groups = rows.where("size > 0").groupBy("size", "one", "two").agg(F.min("doc_id").alias("least"), F.first(F.struct("key", "doc_id")).alias("member"), F.first("counts").alias("counts"), F.first("firsts").alias("firsts"))
     groups = table(groups.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    facts = groups.select("cid", "size", "counts")
-    tokens = groups.select("cid", F.explode("firsts").alias("token"))
-    regions = tokens.groupBy("token").agg(F.count("*").alias("members"), F.min("cid").alias("first"), F.bit_xor(F.xxhash64("cid")).alias("who")).where("members > 1")
-    regions = table(regions.groupBy("members", "first", "who").agg(F.min("token").alias("token")).select("token", "first"), "tokens")
-    places = table(tokens.join(regions, "token"), "places")
-    # against the least member: what the bound lets through is compared exactly, and connects most of a group
-    pair = places.select("cid", "first").where("cid != first").distinct()
-    pair = pair.join(facts, "cid").join(facts.select(F.col("cid").alias("first"), F.col("size").alias("first_size"), F.col("counts").alias("first_counts")), "first")
-    near = table(pair.select("cid", "first", _may_link(num, den)("counts", "first_counts", "size", "first_size").alias("ok")).where("ok").select("cid", "first"), "near")
-    grams = _gram_table(plain, near.select("cid").unionByName(near.select(F.col("first").alias("cid"))), groups, n)
-    met = near.join(grams, "cid").join(grams.select(F.col("cid").alias("first"), F.col("grams").alias("first_grams")), "first")
-    met = table(met.where(_distance(num, den)("grams", "first_grams") == 0).select(F.col("first").alias("a"), F.col("cid").alias("b")), "met")
-    # regions with members that are not connected yet, in windows of like sizes
-    label = components(met)
-    places = table(places.select("token", "cid").join(label, F.col("cid") == F.col("node"), "left").select("token", "cid", F.coalesce("component", "cid").alias("label")), "labels")
-    several = places.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("token")
-    left = places.join(several, "token", "left_semi").join(facts, "cid").withColumn("at", F.floor(F.log("size") / F.log(F.lit(den / num))).cast("int"))
-    left = left.withColumn("window", F.explode(F.array("at", F.col("at") + 1)))
-    mixed = left.groupBy("token", "window").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("token", "window")
-    left = table(left.join(mixed, ["token", "window"], "left_semi").select("token", "window", "cid", "label", "size", "counts"), "windows")
-    tasks = max(1, -(-left.count() // 20_000))
-    more = left.withColumn("part", F.pmod(F.xxhash64("token", "window"), F.lit(tasks))).groupBy("part").applyInPandas(_suspects(num, den), "cid long, label long, other long")
-    more = table(more.distinct(), "suspects")
-    # what pairs connect is one region, so that a set goes to one region only, however many n-grams it shares
-    regions = components(more, "label", "other")
-    places = table(more.select("cid", "label").distinct().join(regions, F.col("label") == F.col("node")).select(F.col("component").alias("region"), "cid", "label"), "places")
-    grams = _gram_table(plain, places.select("cid"), groups, n)
-    links = [met, *_links(places, grams, num, den, most)]
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
+    cells = _cells(groups, tile)
+    tasks = max(1, -(-cells.count() // TASK_ROWS))
+    cells = cells.join(groups.select("cid", "size", "counts"), "cid").withColumn("part", F.pmod(F.xxhash64("pivot", "ta", "tb"), F.lit(tasks)))
+    regions = components(cells.groupBy("part").applyInPandas(_test_cells(num, den), "a long, b long")).select(F.col("component").alias("region"), F.col("node").alias("cid"))
+    regions = table(regions, "regions")
+    grams = _gram_table(plain, regions.select("cid"), groups, n)
+    edges = None
+    for found in _links(regions, grams, num, den, most):
+        edges = found if edges is None else edges.unionByName(found)
     member = components(edges)
     member = groups.select("cid", "least").join(member, F.col("cid") == F.col("node")).select("cid", "component", "least")
     member = member.join(member.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("cid", "component_id")
