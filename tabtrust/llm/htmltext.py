@@ -6,8 +6,9 @@ sidebars, notices, adverts, forms, scripts, styles, reader comments; but by clas
 article or main, or most of the text. Of every node the composite density is
 computed: characters per tag, lowered by the share of characters and tags in links. The node with the largest sum
 of its children's densities is the core; the least density on its path to the body is the threshold. From the core
-the selection climbs to the `article` or `main` around it or, without one, as long as a sibling has text that
-reaches the threshold. What it covers is returned whole.
+the selection climbs as long as a sibling has text that reaches the threshold. Tags are a prior only: an `article` or
+`main` is never climbed out of, and one of which the selection holds a third of the text is taken whole. What the
+selection covers is returned whole.
 
 Defined results: null or empty html, and pages without any text left, give an empty text. Character references are
 decoded; white space inside a block becomes one space; blocks are joined by two newlines. Pages are read whole, in
@@ -16,6 +17,7 @@ time linear in their length. Extra columns are not read. An empty table gives an
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -25,9 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabtrust.llm.scratch import quoted
+from tabtrust.llm.scratch import light, quoted, trimmed
 
-TOKEN = re.compile(r"""<(?:!--(?:.*?-->|.*)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>)""", re.S)
+START = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
+#: A quote that no other one closes before a space, slash or the end of the tag is a character like others.
+TOKEN = re.compile(r"""<(?:!--(?:.*?-->|.*)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"(?=[\s/>])|'[^']*'(?=[\s/>])|["'])*+)>)""", re.S)
+#: After a tag that doesn't end so, quotes are characters like others for the rest of the page.
+LOOSE = re.compile(r"<(?:!--(?:.*?-->|.*)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: What HTML itself reads as text up to the end tag.
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
@@ -47,6 +53,7 @@ NAMES = frozenset(
 BESIDE = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promotion comment comments disqus reply replies respond related recommended recommendations newsletter".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 KEPT = frozenset("html body article main".split())
+WHOLE = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3".split())
 #: An open element that the start of another one ends, and where the search for it stops.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -107,31 +114,57 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
     root = Node("html", None, None)
     nodes, items, stack = [root], [], [root]
     at, size = 0, len(page)
+    # places in the stack by tag and by group of tags, each ascending: no search walks over the stack
+    where: dict[str, list[int]] = {}
+    blocks, options, closed, kept = [0], [-1], [-1], [0]
+    groups = ((BLOCK, blocks), (OPTIONS, options), (CLOSED, closed), (KEPT, kept))
+
+    def place(tag: str) -> int:
+        own = where.get(tag)
+        return own[-1] if own else -1
+
+    def opened(node: Node) -> None:
+        where.setdefault(node.tag, []).append(len(stack))
+        for tags, places in groups:
+            if node.tag in tags:
+                places.append(len(stack))
+        stack.append(node)
 
     def close(to: int) -> None:
-        if any(n.tag in BLOCK for n in stack[to:]) and not (stack[to].dropped and stack[to].tag in CLOSED):
+        if to >= len(stack):
+            return
+        if blocks[-1] >= to and not (stack[to].dropped and stack[to].tag in CLOSED):
             items.append((stack[to].parent, None))
-        del stack[to:]
-
+        while len(stack) > to:
+            tag = stack.pop().tag
+            where[tag].pop()
+            for tags, places in groups:
+                if tag in tags:
+                    places.pop()
+
+    token = TOKEN
     while at < size:
-        m = TOKEN.search(page, at)
-        stop = m.start() if m else size
+        start = START.search(page, at)
+        stop = start.start() if start else size
         if stop > at:
             items.append((stack[-1], page[at:stop]))
+        if not start:
+            break
+        m = token.match(page, stop)
         if not m:
+            token = LOOSE
+            m = token.match(page, stop)
+        if not m:  # the page ends within a tag
             break
         at = m.end()
         if m.group(2) is None:
             continue
         tag = m.group(2).lower()
         if m.group(1):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    stack[i].dropped = stack[i].dropped or tag in CLOSED or None
-                    close(i)
-                    break
-                if tag not in BLOCK and stack[i].tag in (KEPT if tag in CLOSED else BLOCK):
-                    break
+            i = place(tag)
+            if i > 0 and (tag in BLOCK or i > (kept if tag in CLOSED else blocks)[-1]):
+                stack[i].dropped = stack[i].dropped or tag in CLOSED or None
+                close(i)
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -143,30 +176,23 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
             items.append((stack[-1], " "))
             continue
         if tag in BLOCK:
-            at_option = len(stack)
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in BLOCK:
-                    break
-                if stack[i].tag in OPTIONS and tag != "hr":
-                    at_option = i
-            close(at_option)
-            mine, border = ENDS.get(tag, ({"p"}, set()))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in CLOSED:
-                    break
-                if stack[i].tag in mine or (stack[i].tag == "p"):
+            if tag != "hr":
+                close(options[bisect.bisect(options, blocks[-1])] if options[-1] > blocks[-1] else len(stack))
+            if tag in ENDS:
+                mine, border = ENDS[tag]
+                i = max(place("p"), *map(place, mine))
+                if i > max(closed[-1], *map(place, border)):
                     close(i)
-                    if "p" not in mine:
-                        break
-                elif stack[i].tag in border or (stack[i].tag in BLOCK and mine == {"p"}):
-                    break
+            else:
+                while place("p") > 0 and place("p") == blocks[-1] > closed[-1]:
+                    close(blocks[-1])
             items.append((stack[-1], None))
         if tag in VOID:
             continue
         parent = stack[-1]
         node = Node(tag, parent, None)
         hidden, named, node.beside = _named(m.group(3))
-        nested = tag == "article" and any(n.tag == "article" for n in stack)
+        nested = tag == "article" and place("article") > 0
         node.named = named and (tag not in KEPT or nested)
         if tag in DROPPED or tag == "header" or (hidden and (tag not in KEPT or nested)):
             node.dropped = True
@@ -175,7 +201,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
         parent.kids.append(node)
         nodes.append(node)
         if not m.group(3).endswith("/") or tag in BLOCK:
-            stack.append(node)
+            opened(node)
     _drop(nodes, items)
     return nodes, items
 
@@ -229,21 +255,17 @@ def select(nodes: list[Node]) -> Node:
         path.append(top)
         top = top.parent
     threshold = min(n.density for n in path)
-    whole = [n for n in path if n.tag in ("article", "main")]
-    if whole:
-        return whole[-1]
-    below = [n for n in nodes if n.tag in ("article", "main") and not n.dropped and n.chars > body.chars / 2]
-    if core is body and below:
-        return below[0]
     at = core
-    while at is not body and at.parent is not None:
+    while at is not body and at.tag not in WHOLE:
         others = [k for k in at.parent.kids if k is not at and not k.dropped and k.chars]
-        if at.parent is body and not any(k.density >= threshold for k in others):
-            break
-        if others and not any(k.density >= threshold for k in others):
+        if (others or at.parent is body) and not any(k.density >= threshold for k in others):
             break
         at = at.parent
-    return at
+    around = [n for n in path if n.tag in WHOLE and 3 * at.chars >= n.chars]
+    if around and at.chars <= around[-1].chars:
+        return around[-1]
+    inside = [n for n in nodes if n.tag in WHOLE and not n.dropped and 2 * n.chars > body.chars]
+    return inside[0] if at is body and inside else at
 
 
 def main_text(page: str) -> str:
@@ -274,6 +296,7 @@ RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_c
 
 
 @F.pandas_udf(RESULT)
+@trimmed
 def _extract(pages: pd.Series) -> pd.DataFrame:
     texts = [main_text(p or "") for p in pages]
     return pd.DataFrame({"text": texts, "n_chars": [len(t) for t in texts]})
@@ -281,4 +304,4 @@ def _extract(pages: pd.Series) -> pd.DataFrame:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and its number of code points, of every page."""
-    return pages.select(quoted(id_col).alias("page_id"), quoted(url_col).alias("url"), _extract(quoted(html_col)).alias("x")).select("page_id", "url", "x.*")
+    return light(pages).select(quoted(id_col).alias("page_id"), quoted(url_col).alias("url"), _extract(quoted(html_col)).alias("x")).select("page_id", "url", "x.*")

@@ -1,5 +1,10 @@
 """Main text of hand-made pages, and of all pages of the table."""
 
+import random
+import time
+
+import pytest
+
 from tabtrust.llm import htmltext
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
@@ -59,3 +64,77 @@ def test_names_around_the_article():
     body = "<p>" + "Many words of a long text. " * 20 + "</p>"
     assert htmltext.main_text(f'<body><div class="layout has-sidebar">{body * 3}<div class="sidebar">Menu of links</div></div>').count("Many") == 60
     assert "Great" not in htmltext.main_text(f"<body>{body}<div class=comments>{'<p>Great, thanks a lot.</p>' * 90}</div>")
+
+
+def test_quotes_that_do_not_pair():
+    assert htmltext.main_text('<body><p title="x>First words.</p><p class="b">Second words.</p>') == "First words.\n\nSecond words."
+    assert htmltext.main_text("<body><p title='a > b' data-x=\"<b>\">First words.</p><p title=it's>Second words.</p>") == "First words.\n\nSecond words."
+
+
+@pytest.mark.parametrize("page", ["<b>" * 40_000 + "</i>" * 40_000, "<p x=\"'>" * 40_000, "<i><div>" + "<b>" * 40_000 + "</i>" * 40_000, "<b>" * 40_000 + "<hr>" * 40_000, "<b>" * 40_000 + "<p>x" * 40_000, "<ul>" + "<b>" * 40_000 + "<li>" * 40_000, "<span>" * 40_000 + "<td>" * 40_000, "<p title=\"" * 40_000, "<x a=\">\" " * 40_000, "a < b " * 40_000])
+def test_linear(page):
+    began = time.process_time()
+    htmltext.main_text(page)
+    assert time.process_time() - began < 8
+
+
+def plain_select(nodes):
+    """The same choice by definition, every sum taken over the subtree itself."""
+    live = [n for n in nodes if not n.dropped]
+
+    def below(n):
+        return [n, *(x for k in n.kids if not k.dropped for x in below(k))]
+
+    def density(n):
+        tree = below(n)
+        chars, tags = sum(x.own for x in tree), max(1, len(tree) - 1)
+        links = [x for x in tree if any(y.tag == "a" for y in chain(x, n))]
+        link_chars, link_tags = sum(x.own for x in links), sum(x.tag == "a" for x in tree)
+        if not chars:
+            return 0.0
+        body = below(nodes[0])
+        share = sum(x.own for x in body if any(y.tag == "a" for y in chain(x, nodes[0]))) / max(1, sum(x.own for x in body))
+        base = htmltext.math.log(chars / max(1, chars - link_chars) * link_chars + share * chars + htmltext.math.e)
+        return chars / tags * htmltext.math.log(max(1.0, chars / max(1, link_chars) * tags / max(1, link_tags)) + 1) / base
+
+    def chain(x, top):
+        out = [x]
+        while x is not top:
+            x = x.parent
+            out.append(x)
+        return out
+
+    found = {id(n): density(n) for n in live}
+    sums = {id(n): sum(found[id(k)] for k in n.kids if not k.dropped) for n in live}
+    return found, max(live, key=lambda n: sums[id(n)]), sums
+
+
+def test_density_by_definition():
+    """Pages without article or main: densities, sums and the core are those of the definition, and the text is found."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 9)))
+    for _ in range(40):
+        links = lambda n: "".join(f"<li><a href=x>{word()}</a>" for _ in range(n))
+        paragraphs = [" ".join(word() for _ in range(rng.randint(25, 90))) + "." for _ in range(rng.randint(3, 9))]
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        page = f"<body><div class=a><ul>{links(rng.randint(3, 12))}</ul></div><div class=b><div class=c>{body}</div><div class=d><ul>{links(rng.randint(5, 20))}</ul></div></div></body>"
+        nodes, items = htmltext.parse(page)
+        own = dict.fromkeys(map(id, nodes), 0)
+        for node, text in items:
+            if text is not None:
+                own[id(node)] += len(" ".join(text.split()))
+        htmltext.densities(nodes, items)
+        plain = [Plain(n) for n in nodes]
+        twin = dict(zip(map(id, nodes), plain, strict=True))
+        for p, n in zip(plain, nodes, strict=True):
+            p.own, p.parent, p.kids = own[id(n)], twin.get(id(n.parent)), [twin[id(k)] for k in n.kids]
+        found, core, sums = plain_select(plain)
+        for p, n in zip(plain, nodes, strict=True):
+            assert n.density == pytest.approx(found[id(p)]) and n.sum == pytest.approx(sums[id(p)])
+        assert twin[id(max(nodes, key=lambda n: n.sum))] is core
+        assert htmltext.main_text(page).split("\n\n") == paragraphs
+
+
+class Plain:
+    def __init__(self, node):
+        self.tag, self.dropped = node.tag, node.dropped
