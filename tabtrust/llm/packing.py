@@ -1,10 +1,10 @@
 """Packing by first-fit decreasing over a tournament tree of bin capacities, in randomised groups of documents.
 
 Documents are tokenised in Arrow batches. Whole sequences are cut from a document as pieces of their own; what is left
-of it (under one sequence) is packed. Groups are drawn by a hash of the document, so that each holds about
-`group_docs` documents whatever their order or source, and are packed independently: memory and time of a task depend
-on the group's size alone, a hot source is spread over all groups, and a lost executor repeats its groups with the
-same result.
+of it (under one sequence) is packed. Groups are drawn by a hash of the document and of its place in the task, and the
+draw is written with the pieces, so that each holds about `group_docs` documents whatever their order or source, also
+where one row is repeated often. They are packed independently: memory and time of a task depend on the group's size
+alone, a hot source is spread over all groups, and a lost executor repeats its groups with the same result.
 
 Ids are those of the `tokenizers` file. They are computed with `tiktoken` from the same vocabulary, which gives the
 same ids several times faster (the tests compare both); texts with a special token's string go through `tokenizers`.
@@ -18,17 +18,18 @@ from __future__ import annotations
 
 import array
 import functools
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabtrust.llm.scratch import quoted, table
+from tabtrust.llm.scratch import light, quoted, table, trimmed
 
 SIZE = 1024
 GROUP_DOCS = 2048
@@ -89,13 +90,15 @@ def token_ids(text: str) -> list[int]:
 
 
 def _pieces(size: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, places = TaskContext.get().partitionId() << 40, itertools.count()
         for batch in batches:
             cols: tuple[list, ...] = ([], [], [], [], [], [])
             for doc_id, salt, text in zip(batch["doc_id"].to_pylist(), batch["salt"].to_pylist(), batch["text"], strict=True):
                 ids = array.array("I", token_ids(text.as_py() or ""))
                 ids.append(0)
-                n, raw = len(ids), memoryview(np.asarray(ids, "<u4")).cast("B")
+                n, raw, salt = len(ids), memoryview(np.asarray(ids, "<u4")).cast("B"), salt ^ (task + next(places))
                 for start in range(0, n, size):
                     stop = min(n, start + size)
                     for col, value in zip(cols, (doc_id, salt, start, stop - start, zlib.crc32(raw[4 * start : 4 * stop]), n), strict=True):
@@ -106,13 +109,14 @@ def _pieces(size: int):
 
 
 def _pack(size: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    @trimmed
+    def run(group: pa.Table) -> pa.Table:
         # ties are broken by content, so that a repeated task gives the same sequences
-        pdf = pdf.sort_values(["doc_id", "salt", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
-        bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), size)
-        pdf["sequence_id"], pdf["offset"] = (pdf["grp"].to_numpy() << 32) + bins, offsets
-        pdf["doc_id"] = pdf["doc_id"].astype("Int64")
-        return pdf[[c.split()[0] for c in PIECES.split(", ")]]
+        group = group.sort_by([(c, "ascending") for c in ("doc_id", "salt", "start", "ids_crc32")])
+        bins, offsets = first_fit_decreasing(group["length"].to_numpy(), size)
+        out = {"sequence_id": pa.array((group["grp"].to_numpy() << 32) + bins), "offset": pa.array(offsets)}
+        names = [c.split()[0] for c in PIECES.split(", ")]
+        return pa.table([out.get(c, group[c] if c in group.column_names else None) for c in names], names=names)
 
     return run
 
@@ -122,12 +126,12 @@ def pack(docs: DataFrame, size: int = SIZE, group_docs: int = GROUP_DOCS, seed:
 
     Pieces of one document are in one group. Sequences are up to `size` tokens; shorter ones are padded by the reader.
     """
-    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.xxhash64(F.lit(seed), quoted(id_col), F.length(quoted(text_col)), F.substring(quoted(text_col), 1, 64)).alias("salt"), quoted(text_col).cast("string").alias("text"))
+    rows = light(docs).select(quoted(id_col).cast("long").alias("doc_id"), F.xxhash64(F.lit(seed), quoted(id_col), F.length(quoted(text_col)), F.substring(quoted(text_col), 1, 64)).alias("salt"), quoted(text_col).cast("string").alias("text"))
     pieces = table(rows.mapInArrow(_pieces(size), "doc_id long, salt long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
     groups = max(1, -(-pieces.where("start = 0").count() // group_docs))
     full = pieces.where(F.col("length") == size)
-    rest = pieces.where(F.col("length") < size).withColumn("grp", F.pmod("salt", F.lit(groups)))
-    packed = rest.groupBy("grp").applyInPandas(_pack(size), PIECES)
+    rest = pieces.where(F.col("length") < size).withColumn("grp", F.pmod(F.xxhash64("salt"), F.lit(groups)))
+    packed = rest.groupBy("grp").applyInArrow(_pack(size), PIECES)
     # a whole sequence needs no packing; negative numbers tell those sequences from packed ones
     alone = full.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(alone)

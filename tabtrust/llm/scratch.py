@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tables of at most so many rows, whose width is fixed, are broadcast; larger ones take a shuffled join.
 BROADCAST_ROWS = 200_000
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def folder(spark: SparkSession) -> str:
@@ -31,6 +37,43 @@ def table(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def light(df: DataFrame) -> DataFrame:
+    """df; its session hands whole texts to Python in batches of at most BATCH_ROWS rows and BATCH_BYTES bytes from now on,
+    as far as it has Spark's own bounds, which are made for short rows."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
+def give_back() -> None:
+    """Memory that a Python worker has freed goes back to the system; workers wait for their next task for long."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function of a Python worker, of batches or of a column or group, that gives memory back at its end."""
+
+    @functools.wraps(run)
+    def lazy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    @functools.wraps(run)
+    def whole(values):
+        try:
+            return run(values)
+        finally:
+            give_back()
+
+    return lazy if inspect.isgeneratorfunction(run) else whole
+
+
 def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows (fixed width) are at most limit; else df, for a shuffled join."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df

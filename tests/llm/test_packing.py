@@ -74,3 +74,18 @@ def test_odd_rows(spark):
     check(rows, packing.pack(docs).collect())
     assert len(packing.pack(docs.unionByName(docs)).collect()) == 2 * len(packing.pack(docs).collect())
     assert packing.pack(docs.where("false")).collect() == []
+
+
+def test_large_ids_beside_null(spark):
+    rows = [(None, "a"), (2**53 + 1, "b"), (2**53 + 3, "c d"), (-(2**63), "e")]
+    check(rows, packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_repeated_rows_are_spread(spark):
+    """A row that is repeated often is not one group."""
+    docs = spark.range(5000).selectExpr("cast(7 as long) as doc_id", "'same words here' as text")
+    out = packing.pack(docs, group_docs=500).collect()
+    groups = {}
+    for r in out:
+        groups[r["sequence_id"] >> 32] = groups.get(r["sequence_id"] >> 32, 0) + 1
+    assert len(out) == 5000 and len(groups) == 10 and max(groups.values()) < 1000
