@@ -1,7 +1,8 @@
 """Near-duplicate vectors by Euclidean p-stable hashing and exact cosine checks.
 
-Equal vectors are first taken together as one class with a count. Of each normalised class vector, k projections on
-Gaussian directions, shifted and quantised by width w, are the key in each of L tables. k and L follow from the
+Equal vectors are first taken together as one class with a count. Vectors of each length are a space of their own.
+Of each normalised class vector, k projections on Gaussian directions, shifted and quantised by width w, are the key in
+each of L tables. k and L follow from the
 number of vectors and the recall wanted at the threshold. Vectors that share a bucket are compared exactly, in double
 precision: a pair is judged in the first table in which it meets, so links are counted once. Buckets of equal members
 in several tables are compared in the first of them only. A bucket is compared in tiles of at most `tile` by `tile`
@@ -9,24 +10,26 @@ vectors, which other tasks can hold; what leaves a tile is one row a vector (its
 vector that it reaches), not pairs. A bucket of n different vectors takes n * n / 2 comparisons.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are
-components of their own; so do vectors of another length than the most frequent one's. Rows that repeat a vec_id are
-separate vectors; a null vec_id is kept, and counts as no id of a component. Extra columns are not read. An empty
+components of their own; vectors of different lengths don't link. Components of any size have their cosine, as they
+are scaled by the largest before they are squared. Rows that repeat a vec_id are separate vectors; a null vec_id is kept, and counts as no id of a component. Extra columns are not read. An empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabtrust.llm.components import components
-from tabtrust.llm.scratch import quoted, table
+from tabtrust.llm.scratch import light, quoted, table, trimmed
 
 WIDTH = 2.4
 TILE = 1024
@@ -48,27 +51,40 @@ def parameters(n: int, threshold: float, recall: float = 0.99, strangers: float
     return k, max(1, math.ceil(math.log(1 - recall) / math.log(1 - near**k)))
 
 
-def _keys(dim: int, k: int, tables: int, seed: int):
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, by their largest component first, so that no square leaves the range of doubles."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@functools.lru_cache(2)
+def projections(dim: int, k: int, tables: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directions, shifts and the factors of a bucket's key."""
+    rng = np.random.default_rng((seed, dim))
+    return rng.standard_normal((dim, tables * k)), rng.uniform(0, WIDTH, tables * k), rng.integers(1, 2**63, k, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _keys(k: int, tables: int, seed: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(seed)
-        lines, shift = rng.standard_normal((dim, tables * k)), rng.uniform(0, WIDTH, tables * k)
-        mix = rng.integers(1, 2**63, k, np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch["vector"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            cell = np.floor((x @ lines + shift) / WIDTH).astype(np.int64).astype(np.uint64).reshape(-1, tables, k)
-            key = (cell * mix).sum(2, dtype=np.uint64)
-            key ^= key >> np.uint64(29)
-            key *= np.uint64(0xBF58476D1CE4E5B9)
-            sign = (key >> np.uint64(32)).astype("<i4")
-            yield pa.RecordBatch.from_arrays([batch["cid"], batch["n"], pa.array([v.tobytes() for v in x], pa.binary()), pa.array([s.tobytes() for s in sign], pa.binary()), pa.array(list(sign), pa.list_(pa.int32()))], names=["cid", "n", "unit", "sign", "keys"])
+            dims = pc.list_value_length(batch["vector"]).to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims).tolist():
+                lines, shift, mix = projections(dim, k, tables, seed)
+                rows = batch.filter(pa.array(dims == dim))
+                x = unit(rows["vector"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim))
+                cell = np.floor((x @ lines + shift) / WIDTH).astype(np.int64).astype(np.uint64).reshape(-1, tables, k)
+                key = (cell * mix).sum(2, dtype=np.uint64)
+                key ^= key >> np.uint64(29)
+                key *= np.uint64(0xBF58476D1CE4E5B9)
+                sign = (key >> np.uint64(32)).astype("<i4")
+                yield pa.RecordBatch.from_arrays([rows["cid"], pa.array(np.full(len(x), dim, np.int32)), rows["n"], pa.array([v.tobytes() for v in x], pa.binary()), pa.array([s.tobytes() for s in sign], pa.binary()), pa.array(list(sign), pa.list_(pa.int32()))], names=["cid", "dim", "n", "unit", "sign", "keys"])
 
     return run
 
 
 def _compare(threshold: float):
+    @trimmed
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "key", "ta", "tb", "cid"], kind="stable")
         x = np.frombuffer(b"".join(pdf["unit"]), float).reshape(len(pdf), -1)
@@ -112,33 +128,31 @@ def _compare(threshold: float):
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.99, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
-    plain = vectors.select(quoted(id_col).alias("vec_id"), quoted(vector_col).cast("array<double>").alias("vector"))
+    plain = light(vectors).select(quoted(id_col).alias("vec_id"), quoted(vector_col).cast("array<double>").alias("vector"))
     good = F.coalesce((F.size("vector") > 0) & ~F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("vector", lambda v: v != 0), F.lit(False))
     # -0.0 and 0.0 are one value in a group's key
     flagged = plain.select("vec_id", F.when(good, F.transform("vector", lambda v: v + F.lit(0.0))).alias("vector"))
     classes = flagged.where("vector is not null").groupBy("vector").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
     classes = table(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     alone = flagged.withColumns({"n_links": F.lit(0).cast("long"), "component_id": F.col("vec_id")})
-    shape = classes.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "d").limit(1).collect()  # one row
-    if not shape:
+    count = classes.count()
+    if not count:
         return _result(alone, id_col)
-    dim, count = shape[0]
     k, tables = parameters(count, threshold, recall)
-    rows = classes.where(F.size("vector") == dim)
     # Spark hands out at most 10,000 rows a batch, of a bounded number of components
-    hashed = table(rows.select("cid", "n", "vector").mapInArrow(_keys(dim, k, tables, seed), "cid long, n long, unit binary, sign binary, keys array<int>"), "hashed")
-    places = hashed.select("cid", F.posexplode("keys").alias("t", "key"))
+    hashed = table(classes.select("cid", "n", "vector").mapInArrow(_keys(k, tables, seed), "cid long, dim int, n long, unit binary, sign binary, keys array<int>"), "hashed")
+    places = hashed.select("cid", "dim", F.posexplode("keys").alias("t", "key"))
     # of buckets with the same members only the first counts: their pairs met there
-    buckets = places.groupBy("t", "key").agg(F.count("*").alias("size"), F.min("cid").alias("first"), F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("sum")).where("size > 1")
-    buckets = table(buckets.groupBy("size", "first", "sum").agg(F.min(F.struct("t", "key")).alias("b")).select("b.t", "b.key", "size"), "buckets")
+    buckets = places.groupBy("dim", "t", "key").agg(F.count("*").alias("size"), F.min("cid").alias("first"), F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("sum")).where("size > 1")
+    buckets = table(buckets.groupBy("dim", "size", "first", "sum").agg(F.min(F.struct("t", "key")).alias("b")).select("dim", "b.t", "b.key", "size"), "buckets")
     parts = F.greatest(F.lit(1), F.ceil(F.col("size") / tile)).cast("int")
-    used = places.join(buckets, ["t", "key"]).withColumn("own", F.pmod(F.xxhash64("cid"), parts).cast("int"))
+    used = places.join(buckets, ["dim", "t", "key"]).withColumn("own", F.pmod(F.xxhash64("cid"), parts).cast("int"))
     used = used.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    used = used.select("cid", "t", "key", "own", F.least("own", "other").alias("ta"), F.greatest("own", "other").alias("tb"))
+    used = used.select("cid", "dim", "t", "key", "own", F.least("own", "other").alias("ta"), F.greatest("own", "other").alias("tb"))
     used = table(used, "places")
     groups = max(1, -(-used.count() // TASK_ROWS))
     found = used.join(hashed.select("cid", "n", "unit", "sign"), "cid").withColumn("part", F.pmod(F.xxhash64("t", "key", "ta", "tb"), F.lit(groups)))
-    found = table(found.groupBy("part").applyInPandas(_compare(threshold), "cid long, links long, root long"), "links")
+    found = table(found.groupBy("dim", "part").applyInPandas(_compare(threshold), "cid long, links long, root long"), "links")
     linked = found.groupBy("cid").agg(F.sum("links").alias("links"))
     member = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     # ids of components are the least vec_id, whatever the class ids

@@ -55,3 +55,10 @@ def test_odd_rows(spark):
     out = sorted(((r[0], r[1], r[2], r[3]) for r in neardup_vectors.near_duplicates(docs).collect()), key=str)
     assert out == sorted([(1, 2, 1, True), (2, 2, 1, False), *[(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 11)], (9, 2, 9, True), (10, 2, 9, False), (10, 2, 9, False), (None, 2, 1, True)], key=str)
     assert neardup_vectors.near_duplicates(docs.where("false")).collect() == []
+
+
+def test_lengths_and_magnitudes(spark):
+    """Vectors of every length are hashed, and components may be as large or small as doubles are."""
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1e200, 1e200, 1e200]), (4, [2e200, 2e200, 2.1e200]), (5, [5e-324, 5e-324, 5e-324]), (6, [1e-300, -1e-300, 1e-300]), *((10 + i, [float(i == j) for j in range(4)]) for i in range(4)), (20, [3.0]), (21, [4.0]), (22, [-3.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (0, 6), **{10 + i: (0, 10 + i) for i in range(4)}, 20: (1, 20), 21: (1, 20), 22: (0, 22)}
