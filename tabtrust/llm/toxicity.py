@@ -21,14 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabtrust.llm.scratch import quoted
+from tabtrust.llm.scratch import light, quoted, trimmed
 
-#: Labelled documents that a model is fitted on, at most: those with the least hashes of their id.
+#: Labelled documents that a model is fitted on, at most: those with the least hashes of their id, as far as their
+#: texts have so many characters in all (a text that doesn't fit is left out of the sample).
 SAMPLE_DOCS = 6000
+SAMPLE_CHARS = 32_000_000
+#: Tasks that take the sample's features.
+FIT_TASKS = 8
 BITS = 20
 #: Least chi-square of a feature that the model can use (one degree of freedom, 1 in 2000 by chance).
 CHI_SQUARE = 12.0
@@ -76,6 +80,7 @@ def held_out(doc_id: Column) -> Column:
 BAG = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("features", T.BinaryType()), T.StructField("sizes", T.BinaryType())])
 
 
+@trimmed
 def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
@@ -127,15 +132,20 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 120, rat
     return Model(float(bias), dict(zip(names[used].tolist(), w[used].tolist(), strict=True)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from the labelled documents that are not held out, at most sample_docs of them.
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """A model from the labelled documents that are not held out, at most sample_docs of them with sample_chars characters.
 
-    The sample's ids (a fixed number) are broadcast; what reaches the driver are its hashed features.
+    The sample's ids (a fixed number) are broadcast; what reaches the driver are its hashed features. Of rows that repeat
+    an id, the text with the least hash counts.
     """
     known = labels.where(quoted(label_col).isNotNull() & ~held_out(quoted(id_col))).groupBy(quoted(id_col).alias("key")).agg(F.max(quoted(label_col)).cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("key"), "key").limit(sample_docs)
-    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("key")).select("toxic", "text")
-    bags = rows.mapInPandas(_bags, BAG).toArrow()
+    rows = light(docs).select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("key"))
+    rows = rows.groupBy("key").agg(F.min_by(F.struct("toxic", "text"), F.xxhash64("text")).alias("x")).select("key", "x.*")
+    sizes = Window.orderBy(F.xxhash64("key"), "key").rowsBetween(Window.unboundedPreceding, 0)  # of sample_docs rows at most
+    size = F.coalesce(F.length("text"), F.lit(0))
+    rows = rows.where(size <= sample_chars).withColumn("sum", F.sum(size).over(sizes)).where(F.col("sum") <= sample_chars).select("toxic", "text")
+    bags = rows.repartition(FIT_TASKS).mapInPandas(_bags, BAG).toArrow()
     return train(sorted(((y.as_py(), np.frombuffer(f.as_py(), "<i4"), np.frombuffer(s.as_py(), "<i4")) for y, f, s in zip(*bags.columns, strict=True)), key=lambda b: (b[0], len(b[1]), b[1].tobytes())))
 
 
@@ -144,6 +154,7 @@ def sentence_logits(text: str, model: Model, memo: _Words) -> list[float]:
 
 
 def _scores(model: Model):
+    @trimmed
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo = _Words(model)
         for texts in batches:
@@ -159,7 +170,7 @@ def _scores(model: Model):
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     value = _scores(model)(quoted(text_col))
-    out = docs.select(quoted(id_col).alias("doc_id"), held_out(quoted(id_col)).alias("held_out"), value.alias("score"))
+    out = light(docs).select(quoted(id_col).alias("doc_id"), held_out(quoted(id_col)).alias("held_out"), value.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -169,6 +180,7 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 def locate(model: Model, threshold: float = 0.5):
     """A function of a text column: the sentences (code points) whose own score reaches the threshold."""
 
+    @trimmed
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo = _Words(model)
         for texts in batches:
@@ -188,4 +200,4 @@ def locate(model: Model, threshold: float = 0.5):
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents that the model doesn't reject, with their own columns."""
-    return docs.where(_scores(model)(quoted(text_col)) < threshold)
+    return light(docs).where(_scores(model)(quoted(text_col)) < threshold)

@@ -44,3 +44,15 @@ def test_odd_rows(spark):
     assert toxicity.score(docs.where("false"), model).collect() == []
     unlabelled = toxicity.fit(docs, labels.where("false"))
     assert {r["score"] for r in toxicity.score(docs, unlabelled).collect()} == {0.0}
+
+
+def test_sample_is_bounded(spark):
+    """Rows that repeat an id count once, and texts beyond the sample's characters are left out."""
+    rows = [(i, "you are a vile wretch." if i % 3 == 0 else "the rain fell on the hill.") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    once = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    often = toxicity.fit(spark.createDataFrame(rows * 30, "doc_id long, text string"), labels)
+    assert once.weights == often.weights and once.bias == often.bias
+    long = toxicity.fit(spark.createDataFrame([(d, t if d else "x" * 10_000) for d, t in rows], "doc_id long, text string"), labels, sample_chars=5000)
+    assert long.constant is None
+    assert toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, sample_chars=30).constant is not None
