@@ -19,7 +19,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabtrust.llm.scratch import small, table
+from tabtrust.llm.scratch import quoted, small, table
 
 BLOCKS = 4096
 WORDS = 4
@@ -84,8 +84,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     known = table(known, "rules")
     # a URL is at most a few thousand characters long, and so has the rules' paths few lengths
     lengths = known.agg(F.array_sort(F.collect_set(F.length("key") - F.col("n"))).alias("x")).scalar()
-    bits = bloom(known).scalar()
-    rows = pages.select(quoted_id(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.monotonically_increasing_id().alias("row"))
+    bits = table(bloom(known), "bloom").scalar()  # one row, read by both passes over the pages
+    rows = pages.select(quoted(id_col).alias("id"), host_of(quoted(url_col)).alias("host"), path_of(quoted(url_col)).alias("path"))
     hits = F.filter(candidates(F.col("host"), F.col("path"), F.col("lengths")), lambda c: may_contain(F.col("bits"), c["key"]))
     rows = rows.withColumns({"lengths": lengths, "bits": bits}).select("id", "host", "path", hits.alias("hits"))
     # nearly all URLs of a hot host have the same hits: each distinct list of hits is joined once
@@ -99,10 +99,6 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     )
 
 
-def quoted_id(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 SQL = r"""
 WITH rules(h, p, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
