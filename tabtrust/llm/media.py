@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabtrust.llm import webp
-from tabtrust.llm.scratch import quoted
+from tabtrust.llm.scratch import light, quoted, trimmed
 
 UNIT = 64
 
@@ -76,6 +76,7 @@ DIGEST = T.StructType(
 
 
 @F.pandas_udf(DIGEST)
+@trimmed
 def _digest(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for text in texts:
@@ -88,4 +89,4 @@ def _digest(texts: pd.Series) -> pd.DataFrame:
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store every text, read the stored bytes back, and describe both."""
-    return docs.select(quoted(id_col).alias("doc_id"), _digest(quoted(text_col)).alias("x")).select("doc_id", "x.*")
+    return light(docs).select(quoted(id_col).alias("doc_id"), _digest(quoted(text_col)).alias("x")).select("doc_id", "x.*")

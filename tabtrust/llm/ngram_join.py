@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from tabtrust.llm import wordhash
 from tabtrust.llm.components import components
-from tabtrust.llm.scratch import quoted, small, table
+from tabtrust.llm.scratch import light, quoted, small, table, trimmed
 
 SKETCH_BITS = 22
 SLICES = 64
@@ -86,6 +86,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 def _sketch(n: int):
     """Counts by cell of a task's n-grams, up to 255 each, in SLICES rows."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, waiting, size = np.zeros(1 << SKETCH_BITS, np.uint8), [], 0
 
@@ -137,6 +138,7 @@ def _describe(n: int, num: int, den: int, classes: np.ndarray):
     mask = np.uint64((1 << SKETCH_BITS) - 1)
     least = next(s for s in range(1, 10**6) if s * den >= num * (s + 1))  # smaller sets link with equal ones only
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, one, two, counts, firsts = [], [], [], [], []
@@ -162,6 +164,7 @@ def _describe(n: int, num: int, den: int, classes: np.ndarray):
 
 
 def _whole(n: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [x.astype("<u8").tobytes() for _, x in sets(_texts(batch), n)]
@@ -234,6 +237,7 @@ def alike(size: np.ndarray, own: Signatures, first: int, side: np.ndarray, num:
 def _test_cells(num: int, den: int):
     """(a, b): forests that span the sets of a cell that can link."""
 
+    @trimmed
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["pivot", "ta", "tb", "size", "cid"], kind="stable")
         own = Signatures(pdf["counts"].tolist())
@@ -291,6 +295,7 @@ def connect(ids: np.ndarray, own: list[np.ndarray], label: np.ndarray, home: np.
 
 
 def _join(num: int, den: int):
+    @trimmed
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, region in pdf.groupby("region", sort=True):
@@ -399,7 +404,7 @@ def _cells(groups: DataFrame, tile: int) -> DataFrame:
 
 def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", most: int = LEAF_SETS, tile: int = TILE) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
-    plain = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    plain = light(docs).select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     classes = frequency_class(plain.select("text"), n)
     rows = table(plain.mapInArrow(_describe(n, num, den, classes), "key long, doc_id long, size long, one long, two long, counts binary, firsts array<long>"), "sets")
     # sets with equal sizes and two equal 64-bit hashes are equal sets; texts without words stay alone

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabtrust.llm.scratch import quoted
+from tabtrust.llm.scratch import light, quoted, trimmed
 
 #: The three base patterns and the least lengths of what they find.
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -74,7 +74,7 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
     """(target name, parts of its value); a part is (text, start, end), a name where start is -1."""
     at = 0
     while m := PAIR.search(text, at):
-        start = max(text.rfind("\n", 0, m.start()), text.rfind(";", 0, m.start()), at - 1) + 1
+        start = max(text.rfind("\n", at, m.start()), text.rfind(";", at, m.start()), at - 1) + 1
         stop = text.find("\n", m.start())
         stop = len(text) if stop < 0 else stop
         yield from _line(text, start, stop)
@@ -194,19 +194,21 @@ def redacted(text: str, mask: str = "[{}]") -> str:
 
 
 @F.pandas_udf(T.StringType())
+@trimmed
 def _redact(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else redacted(t))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the secrets in their text replaced by [kind]; all rows and other columns stay."""
-    return docs.withColumn(text_col, _redact(quoted(text_col)))
+    return light(docs).withColumn(text_col, _redact(quoted(text_col)))
 
 
 DIGEST = T.StructType([T.StructField(n, T.LongType() if n.startswith("n_") else T.StringType()) for n in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])
 
 
 @F.pandas_udf(DIGEST)
+@trimmed
 def _digest(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for text in texts:
@@ -220,4 +222,4 @@ def _digest(texts: pd.Series) -> pd.DataFrame:
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, counts of the base kinds, the digest of their spans, and all spans as kind:start:end."""
     found: Column = _digest(quoted(text_col))
-    return docs.select(quoted(id_col).alias("doc_id"), found.alias("x")).select("doc_id", "x.*")
+    return light(docs).select(quoted(id_col).alias("doc_id"), found.alias("x")).select("doc_id", "x.*")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabtrust.llm import wordhash
-from tabtrust.llm.scratch import quoted, small, table
+from tabtrust.llm.scratch import light, quoted, small, table, trimmed
 
 SHARD_CONTEXTS = 2000
 NEVER = 2**63 - 1
@@ -140,6 +140,7 @@ def _describe(length: int):
     """(doc_id, n_words, two hashes of the words, digest of all words, minimizers) of every document."""
     half = length // 2
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _texts(batch["text"])
@@ -169,6 +170,7 @@ def _regions(length: int):
     half = length // 2
     after = length - half
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts, sizes, words = [], [], []
@@ -193,6 +195,7 @@ def _pieces(words: bytes, sizes: list[int]) -> list[np.ndarray]:
 
 
 def _grams(half: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, doc, sizes, words in zip(batch["key"].to_pylist(), batch["doc_id"].to_pylist(), batch["sizes"].to_pylist(), batch["words"].to_pylist(), strict=True):
@@ -207,6 +210,7 @@ def _contexts(length: int):
     half = length // 2
     windows = length - half + 1
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
@@ -239,6 +243,7 @@ def _contexts(length: int):
 
 
 def _shard(length: int):
+    @trimmed
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["minimizer", "context"], kind="stable")
         automaton, bodies = Automaton(), [np.frombuffer(w, "<u8").tolist() for w in pdf["words"]]
@@ -291,6 +296,7 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept st
 
 
 def _result(length: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
@@ -317,7 +323,7 @@ def _judged(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFra
 def removed(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the kept words) and spans (removed, in words) of every row;
     the last two are null for rows that lose nothing."""
-    plain = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
+    plain = light(docs).select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     plain = plain.withColumn("key", F.xxhash64("doc_id", "text"))
     rows, whole, left = _judged(plain, length)
     windows = table(passages(plain, left, length), "windows")

@@ -31,7 +31,7 @@ def near_copies(seed, n):
 @pytest.mark.parametrize("most", [4, 4000])
 def test_all_pairs(spark, n, num, most):
     rows = near_copies(n, 150)
-    out = ngram_join.join(spark.createDataFrame(rows, DOCS), n, num, 100, most=most)
+    out = ngram_join.join(spark.createDataFrame(rows, DOCS), n, num, 100, most=most, tile=2 * most)
     assert out.columns == ["doc_id", "n_shingles", "component_id"]
     assert sorted(map(tuple, out.collect()), key=str) == brute.ngram_join(rows, n, num, 100)
 
@@ -73,3 +73,44 @@ def test_star_of_window_sets(spark):
     links = {tuple(r) for found in ngram_join._links(regions, grams, 80, 100, 4) for r in found.collect()}
     assert all(100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]}) for a, b in links)
     assert set(brute.roots(len(sets), links)) == {0}
+
+
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100)])
+def test_linked_sets_meet_in_a_cell(num, den):
+    """Of two linked sets at least one is at home in a cell that the other goes to."""
+    rng = np.random.default_rng(num)
+    base = rng.choice(10**9, 40, replace=False).astype(np.uint64)
+    sets = []
+    for _ in range(60):
+        own = base.copy()
+        own[rng.choice(40, rng.integers(0, 8), replace=False)] = rng.choice(10**9, 1)[0]
+        sets.append(np.unique(own))
+    pivots = [sets[i] for i in rng.choice(60, 7, replace=False)]
+    places = [ngram_join.voronoi(x, pivots, num, den) for x in sets]
+    linked = 0
+    for i in range(60):
+        for j in range(i):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if shared * den >= num * (len(sets[i]) + len(sets[j]) - shared):
+                linked += 1
+                assert places[i][0] in places[j][1] and places[j][0] in places[i][1]
+    assert linked > 50 and all(home in at for home, at, _ in places)
+
+
+def test_class_counts_never_part_linked_sets():
+    """The bound lets every linked pair through, whatever the sizes and numbers of classes."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in (8, 60, 390, 395, 410, 1590, 1610, 5000, 70_000):
+        own = rng.integers(0, 2**64, size, np.uint64)
+        for gone in (0, 1, size // 20, size // 12):
+            sets.append(np.unique(np.r_[own[gone:], rng.integers(0, 2**64, gone // 2, np.uint64)]))
+    size, counts = np.array(list(map(len, sets))), ngram_join.Signatures([ngram_join.by_class(x).tobytes() for x in sets])
+    a, b = np.triu_indices(len(sets), 1)
+    near, links = counts.near(a, b, size, 90, 100), 0
+    for i, j, ok in zip(a.tolist(), b.tolist(), near.tolist(), strict=True):
+        shared = len(np.intersect1d(sets[i], sets[j]))
+        linked = shared * 100 >= 90 * (size[i] + size[j] - shared)
+        links += linked
+        assert ok or not linked
+    assert links >= 20 and near.sum() < 60
