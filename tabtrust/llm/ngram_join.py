@@ -14,9 +14,10 @@ A document's set are its distinct word n-grams. Two documents link if |A & B| *
 4. Regions join by the Jaccard distance. One with more than `most` sets, or too many n-grams, is divided: PIVOTS of its
    sets are drawn, each set finds its exact distance to all of them, goes to the Voronoi cell of the nearest, and is
    replicated to the cell of each pivot that is not further than that by twice the radius (the triangle inequality lets
-   no linked set lie beyond). Cells are divided again while they halve; a cell that doesn't (its sets are as far from
-   each other as from the pivots) is joined in blocks. Sets within the radius of a cell's pivot are connected by it, and
-   not compared with each other. Smaller regions are joined in a task, where distances to the first pivots exclude pairs.
+   no linked set lie beyond). Cells are divided again while they halve; where they don't, or the windows hold nearly all
+   (sets are as far from each other as from the pivots, as copies of one text are), the region is joined in blocks. Sets
+   within the radius of a pivot are connected by it, and not compared with each other: the largest such part of a region
+   meets only the sets outside it. Smaller regions are joined in a task, where distances to the first pivots exclude pairs.
 5. Links span the components, which `components` closes.
 
 Defined results: null and empty texts have no n-gram and link with nothing; with fewer words than n, the whole
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +57,8 @@ LEAF_GRAMS = 2_000_000
 PIVOTS = 16
 PIVOT_BYTES = 32 << 20
 SALTS = 16
+#: Cells that hold a set more often than this, on the average, don't part their region.
+WINDOWS = 3
 
 
 def sets(texts: list[bytes], n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -350,34 +353,57 @@ def _links(regions: DataFrame, grams: DataFrame, num: int, den: int, most: int,
         found.append(_leaves(rest, grams, num, den))
         if not number:
             return found
-        large = large.where((F.col("l0") != F.col("l1")) & F.col("home"))
-        rows = regions.drop("before").join(small(large.select("region", "members", "n", "before"), number), "region")
-        halved = F.col("members") * 2 <= F.col("before")
-        # each region's pivots: about four times as many are drawn by hash, and the first of them taken
-        drawn = rows.where(halved & (F.pmod(F.xxhash64("cid", F.lit(level)), F.col("members")) < 4 * PIVOTS)).groupBy("region").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("cid", F.lit(level)).alias("h"), "cid"))), 1, PIVOTS).alias("p"))
-        drawn = drawn.select("region", F.explode("p.cid").alias("cid")).join(grams, "cid")
-        pivots = table(drawn.groupBy("region").agg(F.collect_list(F.struct("cid", "grams")).alias("p")).select("region", F.col("p.cid").alias("cids"), F.col("p.grams").alias("bodies")), "pivots")
-        size = pivots.agg(F.sum(F.aggregate("bodies", F.lit(0).cast("long"), lambda s, x: s + F.length(x)))).first()[0] or 0
-        far = rows.where(halved).drop("side").join(grams, "cid")
-        if size <= PIVOT_BYTES:
-            far = far.join(F.broadcast(pivots), "region")
-        else:
-            salted = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            far = far.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int")).join(salted, ["region", "salt"])
-        far = table(far.select("region", "cid", "label", "members", F.explode(_divide(num, den)("grams", "cids", "bodies")).alias("x")).select("region", "cid", "label", "members", "x.*"), "cells")
-        found.append(far.where("linked and cid != pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")))
-        cells = far.select(F.xxhash64("region", "pivot").alias("region"), "cid", F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("label")).alias("label"), "home", F.lit(0).alias("side"), F.col("members").alias("before"))
-        # blocks: each with each other, and with itself
-        count = F.greatest(F.lit(2), F.ceil(F.col("members") * 2 / most), F.ceil(F.col("n") * 2 / most_grams)).cast("int")
-        own = F.pmod(F.xxhash64("cid"), count).cast("int")
-        tiles = rows.where(~halved).withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), count - 1))})
-        tiles = tiles.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "cid", "label", "home", _side("own", "other", "side").alias("side"), F.lit(0).cast("long").alias("before"))
-        regions, level = table(cells.unionByName(tiles), "regions"), level + 1
-
-
-def _side(own: str, other: str, before: str) -> Column:
-    """In the tile of two blocks, sets meet those of the other block only."""
-    return F.when(F.col(own) == F.col(other), F.col(before)).when(F.col(own) < F.col(other), 1).otherwise(2)
+        large = large.where((F.col("l0") != F.col("l1")) & F.col("home")).withColumn("halved", F.col("members") * 2 <= F.col("before"))
+        rows = regions.select("region", "cid", "label", "home").join(small(large.select("region", "members", "n", "halved"), number), "region")
+        far = _distances(rows.where("halved").drop("halved"), grams, num, den, level)
+        found.append(far.select("cid", F.explode("cells").alias("x")).where("x.linked and cid != x.pivot").select(F.col("x.pivot").alias("a"), F.col("cid").alias("b")))
+        # cells are used where they hold each set WINDOWS times at most, on the average; else the pivots have only connected sets
+        worth = table(far.groupBy("region").agg((F.sum(F.size("cells")) <= WINDOWS * F.count("*")).alias("worth")), "worth")
+        far = far.join(small(worth, number), "region")
+        cells = far.where("worth").select("region", "cid", "label", "members", F.explode("cells").alias("x")).select("region", "cid", "label", "members", "x.*")
+        cells = cells.select(F.xxhash64("region", "pivot").alias("region"), "cid", F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("label")).alias("label"), "home", F.lit(0).alias("side"), F.col("members").alias("before"))
+        left = far.where("not worth").select("region", "cid", "linked", "home", "members", "n").withColumnRenamed("linked", "label")
+        left = left.unionByName(rows.where("not halved").drop("halved"))
+        regions, level = table(cells.unionByName(_blocks(left, most, most_grams, number)), "regions"), level + 1
+
+
+def _distances(rows: DataFrame, grams: DataFrame, num: int, den: int, level: int) -> DataFrame:
+    """rows with the cells that a set goes to, and `linked`: the pivot it is connected by, of several the one that connects most, else its label."""
+    # each region's pivots: about four times as many are drawn by hash, and the first of them taken
+    h = F.xxhash64("cid", F.lit(level))
+    drawn = rows.where(F.pmod(h, F.col("members")) < 4 * PIVOTS).groupBy("region").agg(F.slice(F.array_sort(F.collect_list(F.struct(h.alias("h"), "cid"))), 1, PIVOTS).alias("p"))
+    drawn = drawn.select("region", F.explode("p.cid").alias("cid")).join(grams, "cid")
+    pivots = table(drawn.groupBy("region").agg(F.collect_list(F.struct("cid", "grams")).alias("p")).select("region", F.col("p.cid").alias("cids"), F.col("p.grams").alias("bodies")), "pivots")
+    size, number = pivots.agg(F.sum(F.aggregate("bodies", F.lit(0).cast("long"), lambda s, x: s + F.length(x))), F.count("*")).first()
+    far = rows.join(grams, "cid")
+    if (size or 0) <= PIVOT_BYTES:
+        far = far.join(F.broadcast(pivots), "region")
+    else:
+        salted = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        far = far.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int")).join(salted, ["region", "salt"])
+    far = table(far.select("region", "cid", "label", "home", "members", "n", _divide(num, den)("grams", "cids", "bodies").alias("cells")), "distances")
+    by_pivot = far.select("region", F.explode("cells").alias("x")).where("x.linked").groupBy("region", "x.pivot").agg(F.count("*").alias("c"))
+    degree = by_pivot.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("pivot", "c"))).alias("degree"))  # PIVOTS entries a region
+    linked = F.filter("cells", lambda x: x["linked"])
+    best = F.array_max(F.transform(linked, lambda x: F.struct(F.element_at("degree", x["pivot"]).alias("c"), x["pivot"].alias("pivot"))))
+    return far.join(small(degree, number), "region", "left").withColumn("linked", F.coalesce(best["pivot"], F.col("label"))).drop("degree")
+
+
+def _blocks(rows: DataFrame, most: int, most_grams: int, number: int) -> DataFrame:
+    """Regions that a task joins, of blocks of sets: those of a region's most frequent label, which are connected, meet the others only."""
+    labels = rows.groupBy("region", "label").agg(F.count("*").alias("c"))
+    labels = labels.groupBy("region").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("core"), F.sum("c").alias("all"))
+    rows = rows.join(small(table(labels, "labels"), number), "region")
+    room = F.greatest(F.lit(1), F.least(F.lit(most / 2), F.lit(most_grams / 2) * F.col("members") / F.col("n")).cast("long"))
+    others, cores = F.ceil((F.col("all") - F.col("core")) / room).cast("int"), F.ceil(F.col("core") / room).cast("int")
+    is_core = F.col("label") == F.col("main")
+    own = F.pmod(F.xxhash64("cid"), F.greatest(F.lit(1), F.when(is_core, cores).otherwise(others))).cast("int")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    # blocks of others are 0, 1, ...; those of the core are -1, -2, ...
+    met = F.when(is_core, upto(others)).otherwise(F.concat(upto(others), F.transform(upto(cores), lambda j: -1 - j)))
+    rows = rows.withColumn("own", F.when(is_core, -1 - own).otherwise(own)).withColumn("other", F.explode(met))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return rows.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "cid", "label", "home", side.alias("side"), F.lit(0).cast("long").alias("before"))
 
 
 def _gram_table(docs: DataFrame, cids: DataFrame, groups: DataFrame, n: int) -> DataFrame:
