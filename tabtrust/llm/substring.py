@@ -7,13 +7,13 @@ A window is `length` consecutive words; a word goes if a window over it also sta
    same one. Where a minimizer occurs in several documents, all half-windows around it are counted over the
    documents. Runs of repeated half-windows are the passages that can repeat.
 3. The windows of a passage with one minimizer are a context. Equal contexts are taken together by partial aggregation,
-   with their least id; so a passage in a third of all documents is one row. Contexts of one minimizer are in one
-   reference shard; a shard holds about `SHARD_CONTEXTS` of them, and their number is bounded by the ways in which
-   repeated text goes on around a half-window, not by the number of documents.
-4. The task of a shard builds one suffix automaton of its contexts, each state with the least id in which it ends, and
-   streams the contexts through it. The matching statistic is cut at `length`: the state that then holds is the one
-   of the window, and its id says which documents lose it. The shard's answers go to the documents by a join.
-   A context that is the only one of its minimizer is its own reference.
+   with their least id; so a passage in a third of all documents is one row. These are the reference. Its shards hold
+   about SHARD_WORDS words: contexts of one minimizer are in one shard, unless they alone are more than a shard.
+4. A suffix automaton is built of each shard, each state with the least id in which it ends. Automata of at most
+   BROADCAST_BYTES in all are broadcast, and contexts stream through that of their minimizer's shard, or shards; beyond
+   that size, each is built in the task to which its shard's contexts are dealt, as the reference grows with the
+   documents. The matching statistic is cut at `length`: the state
+   that then holds is the one of the window, and its id says which documents lose it.
 
 Words are compared by 64-bit hashes. Defined results: null and empty texts have no words. A null doc_id is never
 smaller nor larger than any other, so such rows keep everything and take nothing. Rows that repeat a doc_id don't
@@ -23,6 +23,8 @@ remove each other's words. Texts may be of any length. Extra columns are not rea
 from __future__ import annotations
 
 import hashlib
+import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,13 @@ from pyspark.sql import functions as F
 from tabtrust.llm import wordhash
 from tabtrust.llm.scratch import light, quoted, small, table, trimmed
 
-SHARD_CONTEXTS = 2000
+#: Words of a shard of the reference, about.
+SHARD_WORDS = 50_000
+#: Automata are broadcast up to so many bytes in all; WORD_BYTES is what one word takes, about.
+BROADCAST_BYTES = 48 << 20
+WORD_BYTES = 60
+#: Broadcast automata that a task holds at once, ready to use.
+HELD = 4
 NEVER = 2**63 - 1
 
 
@@ -105,6 +113,15 @@ class Automaton:
             up = self.link[state]
             self.low[up] = min(self.low[up], self.low[state])
 
+    def dump(self) -> bytes:
+        return pickle.dumps((self.next, self.link, self.size, self.low), pickle.HIGHEST_PROTOCOL)
+
+    @classmethod
+    def load(cls, data: bytes) -> Automaton:
+        out = cls()
+        out.next, out.link, out.size, out.low = pickle.loads(data)
+        return out
+
     def owners(self, words: list[int], length: int) -> list[int]:
         """Least owner of each window, NEVER where it doesn't occur: matching statistics cut at `length`."""
         out, state, have = [], 0, 0
@@ -242,20 +259,92 @@ def _contexts(length: int):
     return run
 
 
-def _shard(length: int):
+def _automaton(words: pd.Series, lows: pd.Series) -> Automaton:
+    automaton = Automaton()
+    for body, low in zip(words, lows.tolist(), strict=True):
+        automaton.add(np.frombuffer(body, "<u8").tolist(), low)
+    automaton.close()
+    return automaton
+
+
+@trimmed
+def _build(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The automaton of a shard."""
+    pdf = pdf.sort_values(["minimizer", "context"], kind="stable")
+    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "automaton": [_automaton(pdf["words"], pdf["low"]).dump()]})
+
+
+def _stream(shared, length: int):
+    """Contexts through broadcast automata, those of a shard one after the other where batches hold several."""
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Automaton] = {}
+        for batch in batches:
+            batch, lows = batch.take(pa.array(np.argsort(batch["shard"].to_numpy(), kind="stable"))), []
+            for shard, body in zip(batch["shard"].to_pylist(), batch["words"], strict=True):
+                if shard not in held:
+                    if len(held) >= HELD:
+                        held.clear()
+                    held[shard] = Automaton.load(shared.value[shard])
+                lows.append(held[shard].owners(np.frombuffer(body.as_py(), "<u8").tolist(), length))
+            yield pa.RecordBatch.from_arrays([batch["minimizer"], batch["context"], pa.array(lows, pa.list_(pa.int64()))], names=["minimizer", "context", "lows"])
+
+    return run
+
+
+def _meet(length: int):
+    """Contexts through the automaton of a shard that is built beside them."""
+
     @trimmed
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["minimizer", "context"], kind="stable")
-        automaton, bodies = Automaton(), [np.frombuffer(w, "<u8").tolist() for w in pdf["words"]]
-        for body, low in zip(bodies, pdf["low"].tolist(), strict=True):
-            automaton.add(body, low)
-        automaton.close()
-        return pd.DataFrame({"minimizer": pdf["minimizer"], "context": pdf["context"], "lows": [automaton.owners(b, length) for b in bodies]})
+        own, visit = pdf[pdf["builds"]], pdf[pdf["streams"]]
+        automaton = _automaton(own["words"], own["low"])
+        return pd.DataFrame({"minimizer": visit["minimizer"], "context": visit["context"], "lows": [automaton.owners(np.frombuffer(w, "<u8").tolist(), length) for w in visit["words"]]})
 
     return run
 
 
-def passages(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+def _places(reference: DataFrame, words: float, shard_words: int) -> DataFrame:
+    """reference with shard, chunk, builds, streams and parts. A minimizer with more words than a shard has several parts, each a
+    shard, and as many chunks: every chunk of its contexts streams through every part."""
+    shards = max(1, math.ceil(words / shard_words))
+    size = reference.groupBy("minimizer").agg(F.sum(F.length("words") / 8).alias("w")).where(F.col("w") > shard_words)
+    size = table(size.select("minimizer", F.ceil(F.col("w") / shard_words).cast("int").alias("parts")), "split")
+    rows = reference.join(small(size, size.count()), "minimizer", "left").withColumn("own", F.pmod(F.xxhash64("context"), F.col("parts")).cast("int"))
+    place = lambda part, chunk, builds, streams: F.struct(part.alias("part"), chunk.alias("chunk"), builds.alias("builds"), streams.alias("streams"))
+    own, yes, no = F.col("own"), F.lit(True), F.lit(False)
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    built = F.transform(every, lambda k: place(own, k, yes, k == own))
+    visited = F.transform(F.filter(every, lambda k: k != own), lambda k: place(k, own, no, yes))
+    alone = F.array(place(F.lit(0), F.lit(0), yes, yes))
+    rows = rows.withColumn("x", F.explode(F.when(F.col("parts").isNull(), alone).otherwise(F.concat(built, visited)))).select("*", "x.*")
+    shard = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("minimizer"), F.lit(shards))).otherwise(F.xxhash64("minimizer", "part"))
+    return rows.select("minimizer", "context", "low", "words", "parts", shard.alias("shard"), "chunk", "builds", "streams")
+
+
+def judged(reference: DataFrame, length: int, shard_words: int = SHARD_WORDS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """reference (minimizer, context, low, words): (minimizer, context, lows), the least id that has each window of a context."""
+    words = float(reference.agg(F.sum(F.length("words") / 8)).first()[0] or 0)
+    places, result, size = _places(reference, words, shard_words), "minimizer long, context long, lows array<long>", most + 1
+    if WORD_BYTES * words <= most:
+        automata = table(places.where("builds and chunk = 0").groupBy("shard").applyInPandas(_build, "shard long, automaton binary"), "automata")
+        size = automata.agg(F.sum(F.length("automaton"))).first()[0] or 0
+    if size <= most:
+        shared = reference.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["automaton"]) for r in automata.collect()})  # `most` bytes
+        found = places.where("streams").select("minimizer", "context", "words", "shard").mapInArrow(_stream(shared, length), result)
+    else:
+        found = places.groupBy("shard", "chunk").applyInPandas(_meet(length), result)
+    split = places.where("parts is not null").select(F.col("minimizer").alias("m")).distinct()
+    split = table(split, "several")
+    found = table(found.join(small(split, split.count()), F.col("minimizer") == F.col("m"), "left"), "streamed")
+    several = found.where("m is not null").groupBy("minimizer", "context").agg(F.collect_list("lows").alias("all"))  # one for each part
+    least = F.aggregate(F.slice("all", 2, 1 << 30), F.col("all")[0], lambda a, b: F.zip_with(a, b, lambda x, y: F.least(x, y)))
+    return found.where("m is null").drop("m").unionByName(several.select("minimizer", "context", least.alias("lows")))
+
+
+def passages(docs: DataFrame, rows: DataFrame, length: int, shard_words: int, most: int) -> DataFrame:
     """Of the documents `rows` (key, doc_id, firsts): (key, windows), the places of windows that start in a smaller document too."""
     half = length // 2
     noted = rows.select("key", "doc_id", F.explode("firsts").alias("g"))
@@ -268,13 +357,10 @@ def passages(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     hits = grams.join(repeated, "g", "left_semi").groupBy("key").agg(F.collect_list("i").alias("hits"))
     contexts = table(regions.join(hits, "key").mapInArrow(_contexts(length), "key long, doc_id long, at long, minimizer long, context long, words binary"), "contexts")
     distinct = table(contexts.groupBy("minimizer", "context").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("hi"), F.max("words").alias("words")), "distinct")
-    several = table(distinct.groupBy("minimizer").agg(F.count("*").alias("c")).where("c > 1").select("minimizer"), "several")
+    # a context that all its documents share with no other one, and no other context has its minimizer, removes nothing
+    several = distinct.groupBy("minimizer").agg(F.count("*").alias("c"), F.max(F.col("low") < F.col("hi")).alias("shared")).where("c > 1 or shared").select("minimizer")
     reference = table(distinct.join(several, "minimizer", "left_semi").select("minimizer", "context", "low", "words"), "reference")
-    shards = max(1, -(-reference.count() // SHARD_CONTEXTS))
-    judged = reference.withColumn("shard", F.pmod(F.xxhash64("minimizer"), F.lit(shards))).groupBy("shard").applyInPandas(_shard(length), "minimizer long, context long, lows array<long>")
-    alone = distinct.where("low < hi").join(several, "minimizer", "left_anti")
-    alone = alone.select("minimizer", "context", F.array_repeat("low", (F.length("words") / 8 - length + 1).cast("int")).alias("lows"))
-    answers = table(judged.unionByName(alone), "answers")
+    answers = judged(reference, length, shard_words, most)
     found = contexts.select("key", "doc_id", "at", "minimizer", "context").join(answers, ["minimizer", "context"])
     windows = F.filter(F.transform("lows", lambda low, j: F.when(low < F.col("doc_id"), F.col("at") + j)), lambda x: x.isNotNull())
     return found.select("key", windows.alias("w")).where(F.size("w") > 0).groupBy("key").agg(F.flatten(F.collect_list("w")).alias("windows"))
@@ -320,13 +406,13 @@ def _judged(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFra
     return rows, whole, left
 
 
-def removed(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, most: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the kept words) and spans (removed, in words) of every row;
     the last two are null for rows that lose nothing."""
     plain = light(docs).select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     plain = plain.withColumn("key", F.xxhash64("doc_id", "text"))
     rows, whole, left = _judged(plain, length)
-    windows = table(passages(plain, left, length), "windows")
+    windows = table(passages(plain, left, length, shard_words, most), "windows")
     hit = table(windows.select("key"), "hit")
     some = small(hit, hit.count())
     out = rows.join(some, "key", "left_anti").select("key", "doc_id", "n_words", "sha").join(small(whole.withColumn("all", F.lit(True)), whole.count()), "key", "left")
@@ -337,5 +423,5 @@ def removed(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
     return out.unionByName(texts.mapInArrow(_result(length), RESULT))
 
 
-def digest(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return removed(docs, length, id_col, text_col).select(F.col("doc_id").alias(id_col), "n_words", "n_removed", "kept_sha256")
+def digest(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, most: int = BROADCAST_BYTES) -> DataFrame:
+    return removed(docs, length, id_col, text_col, shard_words, most).select(F.col("doc_id").alias(id_col), "n_words", "n_removed", "kept_sha256")

@@ -8,8 +8,8 @@ from tabtrust.llm import substring
 DOCS = "doc_id long, text string"
 
 
-def ours(docs, length):
-    out = substring.digest(docs, length)
+def ours(docs, length, **how):
+    out = substring.digest(docs, length, **how)
     assert out.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
     return sorted(map(tuple, out.collect()), key=str)
 
@@ -25,8 +25,8 @@ def test_random_passages(spark):
     rows = [(i, " ".join(w for p in rng.choices(passages, k=rng.randint(0, 6)) for w in p[rng.randrange(3) :])) for i in range(120)]
     rng.shuffle(rows)
     docs = spark.createDataFrame(rows, DOCS)
-    for length in (6, 10):
-        assert ours(docs, length) == brute.substring(rows, length)
+    for length, how in ((6, {}), (10, {}), (6, {"shard_words": 40}), (6, {"shard_words": 40, "most": 0}), (10, {"shard_words": 300, "most": 0})):
+        assert ours(docs, length, **how) == brute.substring(rows, length)
 
 
 def test_odd_rows(spark):
