@@ -13,9 +13,11 @@ from pyspark.sql import types as T
 NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity)\s*$"
 #: Tried in turn: month first, then day first.
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy", "d/M/yyyy", "MMM d, yyyy", "yyyyMMdd", "yyyy")
-#: VIN letters in order with their numbers, and the weights of the 17 places.
-VIN_LETTERS = "0123456789ABCDEFGHJKLMNPRSTUVWXYZ"
-VIN_VALUES = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 1, 2, 3, 4, 5, 6, 7, 8, 1, 2, 3, 4, 5, 7, 9, 2, 3, 4, 5, 6, 7, 8, 9)
+#: The number of each VIN character, and the weights of the 17 places.
+VIN_VALUES = {
+    "0": 0, "1": 1, "2": 2, "3": 3, "4": 4, "5": 5, "6": 6, "7": 7, "8": 8, "9": 9, "A": 1, "B": 2, "C": 3, "D": 4, "E": 5, "F": 6, "G": 7, "H": 8,
+    "J": 1, "K": 2, "L": 3, "M": 4, "N": 5, "P": 7, "R": 9, "S": 2, "T": 3, "U": 4, "V": 5, "W": 6, "X": 7, "Y": 8, "Z": 9,
+}
 VIN_WEIGHTS = (8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2)
 MOJIBAKE = "Ã.|Â.|â€|ï¿½|Å.|Ä."
 
@@ -120,12 +122,21 @@ def luhn(c: Column) -> Column:
 def vin(c: Column) -> Column:
     """17 characters with the right check digit."""
     up = F.upper(c)
-    value = F.create_map(*[F.lit(x) for pair in zip(VIN_LETTERS, VIN_VALUES, strict=True) for x in pair])
+    value = F.create_map(*[F.lit(x) for pair in VIN_VALUES.items() for x in pair])
     total = reduce(lambda s, x: s + x, [F.try_element_at(value, F.substring(up, i + 1, 1)) * w for i, w in enumerate(VIN_WEIGHTS)])
     want = F.when(total % 11 == 10, F.lit("X")).otherwise((total % 11).cast("string"))
     return F.coalesce(up.rlike("^[A-HJ-NPR-Z0-9]{17}$") & (F.substring(up, 9, 1) == want), F.lit(False))
 
 
+def vin_text(text: str) -> bool:
+    """The same of one text."""
+    up = text.upper()
+    if len(up) != 17 or any(ch not in VIN_VALUES for ch in up):
+        return False
+    rest = sum(VIN_VALUES[ch] * w for ch, w in zip(up, VIN_WEIGHTS, strict=True)) % 11
+    return up[8] == ("X" if rest == 10 else str(rest))
+
+
 #: The characters that Windows-1252 has where Latin-1 has control codes, in the order of those codes.
 WINDOWS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 CONTROLS = "".join(bytes(w, "cp1252").decode("latin-1") for w in WINDOWS)

@@ -7,8 +7,10 @@ column `_rid` and are only taken where it exists.
 from __future__ import annotations
 
 import dataclasses
+import json
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,19 +42,28 @@ def _row(check: str, column: Column | str, issues: Column, total: Column, dimens
     )
 
 
-def _counts(df: DataFrame, check: str, dimension: str, tests: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """tests: label -> (is an issue, is assessed). One aggregate over the table, then one row a label."""
-    if not tests:
+#: Tests of rows: (check, dimension, label -> (is an issue, is assessed)).
+Tests = tuple[str, str, dict[str, tuple[Column, Column]]]
+
+
+def counted(df: DataFrame, groups: Sequence[Tests]) -> DataFrame:
+    """A row for each label. All tests of all groups are counted by one aggregate, in one pass over the table."""
+    flat = [(check, dimension, label, issue, seen) for check, dimension, tests in groups for label, (issue, seen) in tests.items()]
+    if not flat:
         return df.sparkSession.createDataFrame([], RESULT)
-    bad = [F.count_if(F.coalesce(issue & seen, F.lit(False))).alias(f"b{i}") for i, (issue, seen) in enumerate(tests.values())]
-    all_ = [F.count_if(F.coalesce(seen, F.lit(False))).alias(f"n{i}") for i, (_, seen) in enumerate(tests.values())]
+    bad = [F.count_if(F.coalesce(issue & seen, F.lit(False))).alias(f"b{i}") for i, (_, _, _, issue, seen) in enumerate(flat)]
+    all_ = [F.count_if(F.coalesce(seen, F.lit(False))).alias(f"n{i}") for i, (_, _, _, _, seen) in enumerate(flat)]
     one = df.agg(*bad, *all_)
-    return one.select(F.inline(F.array(*[_row(check, label, F.col(f"b{i}"), F.col(f"n{i}"), dimension) for i, label in enumerate(tests)])))
+    return one.select(F.inline(F.array(*[_row(check, label, F.col(f"b{i}"), F.col(f"n{i}"), dimension) for i, (check, dimension, label, _, _) in enumerate(flat)])))
+
+
+def missing_tests(df: DataFrame) -> list[Tests]:
+    return [("missing_values", "completeness", {c: (absent(col(c), k), F.lit(True)) for c, k in kinds(df).items()})]
 
 
 def missing(df: DataFrame) -> DataFrame:
     """Null or NaN cells of each column; a blank text is not missing."""
-    return _counts(df, "missing_values", "completeness", {c: (absent(col(c), k), F.lit(True)) for c, k in kinds(df).items()})
+    return counted(df, missing_tests(df))
 
 
 def sample_ids(df: DataFrame, issue: Column, most: int = SAMPLE_IDS) -> DataFrame:
@@ -75,10 +86,15 @@ def type_mismatch(df: DataFrame) -> DataFrame:
         one = df.agg(*[F.count_if(loose_number(x).isNotNull()).alias(f"n{i}") for i, x in enumerate(cells.values())], *[F.count(x).alias(f"t{i}") for i, x in enumerate(cells.values())])
         rows = [_row("type_mismatch", c, F.when(F.col(f"n{i}") * 2 > F.col(f"t{i}"), F.col(f"t{i}") - F.col(f"n{i}")).otherwise(0), F.col(f"t{i}"), "type_reliability") for i, c in enumerate(cells)]
         tests = one.select(F.inline(F.array(*rows)))
-    typed = _counts(df, "type_mismatch", "type_reliability", {c: (F.lit(False), ~absent(col(c), k)) for c, k in kinds(df).items() if k != "string"})
+    typed = counted(df, typed_tests(df))
     return typed.unionByName(tests) if plain else typed
 
 
+def typed_tests(df: DataFrame) -> list[Tests]:
+    """Columns of a type other than text hold no cell of another one."""
+    return [("type_mismatch", "type_reliability", {c: (F.lit(False), ~absent(col(c), k)) for c, k in kinds(df).items() if k != "string"})]
+
+
 def _key(df: DataFrame, keys: Sequence[str]) -> list[Column]:
     """Key columns with texts trimmed, blank as null."""
     by = kinds(df)
@@ -106,11 +122,53 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str], order: str, first: bool =
     return df.withColumn("_n", mark).where("_n > 1").drop("_n")
 
 
+#: Values that an exact percentile holds at once, at most, and the accuracy of the sketch that cuts the others off.
+HELD, ACCURACY = 1_000_000, 10_000
+
+
+def quantiles(df: DataFrame, numbers: Sequence[Column], shares: Sequence[float], held: int = HELD, accuracy: int = ACCURACY) -> list[tuple[int, list[float | None]]]:
+    """(count, exact quantiles with linear interpolation) of each column of numbers, in memory that doesn't grow with the table.
+
+    Each pass takes bounds around every wanted rank from a sketch with a proven rank error, and counts what lies below and
+    between them; the next pass looks between them only. A pass cuts the values by the accuracy over four, so a table of
+    10^12 rows takes four. All columns and shares go through each pass together.
+    """
+    rows = df.select(*[x.alias(f"x{i}") for i, x in enumerate(numbers)])
+    counts = rows.agg(*[F.count(f"x{i}").alias(f"n{i}") for i in range(len(numbers))]).first()
+    jobs = [(i, s) for i in range(len(numbers)) for s in shares]
+    state = {j: (None, None, 0, counts[f"n{j[0]}"]) for j in jobs}  # low, high, values below, values between
+
+    def between(j: tuple[int, float]) -> Column:
+        low, high, _, _ = state[j]
+        x = F.col(f"x{j[0]}")
+        return F.when((x >= low) & (x <= high), x) if low is not None else x
+
+    while open_ := [j for j in jobs if state[j][3] > held and (state[j][0] is None or state[j][0] < state[j][1])]:
+        asks = []
+        for k, j in enumerate(open_):
+            _, _, below, n = state[j]
+            rank, room = j[1] * (counts[f"n{j[0]}"] - 1) - below, 2 * n / accuracy + 2
+            asks.append(F.percentile_approx(between(j), [max(0.0, (rank - room) / n), min(1.0, (rank + room) / n)], accuracy).alias(f"a{k}"))
+        got = rows.agg(*asks).first()
+        bounds = [got[f"a{k}"] for k in range(len(open_))]
+        tests = [(F.col(f"x{j[0]}") < b[0], (F.col(f"x{j[0]}") >= b[0]) & (F.col(f"x{j[0]}") <= b[1])) for j, b in zip(open_, bounds, strict=True)]
+        got = rows.agg(*[F.count_if(a).alias(f"l{k}") for k, (a, _) in enumerate(tests)], *[F.count_if(b).alias(f"m{k}") for k, (_, b) in enumerate(tests)]).first()
+        for k, (j, b) in enumerate(zip(open_, bounds, strict=True)):
+            state[j] = (b[0], b[1], got[f"l{k}"], got[f"m{k}"])
+    asks = []
+    for k, j in enumerate(jobs):
+        _, _, below, n = state[j]
+        share = j[1] if state[j][0] is None else min(1.0, max(0.0, (j[1] * (counts[f"n{j[0]}"] - 1) - below) / max(1, n - 1)))
+        asks.append(F.percentile(between(j), F.lit(share)).alias(f"q{k}"))
+    got = rows.agg(*asks).first()
+    return [(counts[f"n{i}"], [got[f"q{k}"] for k, j in enumerate(jobs) if j[0] == i]) for i in range(len(numbers))]
+
+
 def fences(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5) -> DataFrame:
-    """(column, n, q1, q3, low, high): exact quartiles with linear interpolation, of all columns in one aggregate."""
+    """(column, n, q1, q3, low, high): exact quartiles with linear interpolation, of all columns together."""
     by = kinds(df)
-    stats = df.agg(*[F.struct(F.count(x).alias("n"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).alias(f"s{i}") for i, x in enumerate(number(col(c), by[c]) for c in columns)])
-    rows = stats.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"s{i}.n").alias("n"), F.col(f"s{i}.q")[0].alias("q1"), F.col(f"s{i}.q")[1].alias("q3")) for i, c in enumerate(columns)])))
+    found = quantiles(df, [number(col(c), by[c]) for c in columns], (0.25, 0.75))
+    rows = df.sparkSession.createDataFrame([(c, n, *q) for c, (n, q) in zip(columns, found, strict=True)], "column string, n long, q1 double, q3 double")
     spread = F.col("q3") - F.col("q1")
     return rows.withColumns({"low": F.col("q1") - multiplier * spread, "high": F.col("q3") + multiplier * spread})
 
@@ -157,7 +215,24 @@ def knn_outliers(df: DataFrame, column: str, k: int = 5, contamination: float =
 
 
 def validity(df: DataFrame, roles: dict[str, str], as_of_year: int | None = None, rules: Sequence[tuple[str, str, str]] = DATE_RULES) -> DataFrame:
-    """Non-negative counts, suspicious zeros, implausible dates, e-mail forms, and the cross-column date rules."""
+    """Non-negative counts, suspicious zeros, implausible dates, e-mail forms, and the cross-column date rules, in one pass."""
+    return counted(df, validity_tests(df, roles, as_of_year, rules))
+
+
+def skipped(df: DataFrame, roles: dict[str, str], rules: Sequence[tuple[str, str, str]] = DATE_RULES) -> DataFrame:
+    """Result rows of validity checks that don't apply: columns of counts or prices that are no measurement, date rules without their columns. No score counts them."""
+    names, rows = {c.strip().lower() for c in kinds(df)}, []
+    for c in kinds(df):
+        if roles.get(c) != "measurement":
+            rows += [("non_negative", c, "skipped_non_measurement_column")] * bool(NON_NEGATIVE.search(c))
+            rows += [("suspicious_zero", c, "skipped_non_measurement_column")] * any(z.lower() in c.lower() for z in SUSPICIOUS_ZERO)
+    rows += [("cross_column_dates", f"{a} {op} {b}", "skipped_columns_not_present") for a, op, b in rules if not {a.lower(), b.lower()} <= names]
+    out = df.sparkSession.createDataFrame(rows, "check_name string, column string, reason string")
+    made = {"status": F.lit("passed"), "issues_found": F.lit(0).cast("long"), "total": F.lit(0).cast("long"), "quality_ratio": F.lit(None).cast("double"), "dimension": F.lit("validity")}
+    return out.withColumns(made).select(*[x.split()[0] for x in RESULT.split(", ")])
+
+
+def validity_tests(df: DataFrame, roles: dict[str, str], as_of_year: int | None = None, rules: Sequence[tuple[str, str, str]] = DATE_RULES) -> list[Tests]:
     by, names = kinds(df), {c.strip().lower(): c for c in kinds(df)}
     year = F.lit(as_of_year) if as_of_year else F.year(F.current_date())
     negative, zero, dates, email, cross = {}, {}, {}, {}, {}
@@ -177,10 +252,8 @@ def validity(df: DataFrame, roles: dict[str, str], as_of_year: int | None = None
         if a and b:
             x, y = moment(col(a), by[a]), moment(col(b), by[b])
             cross[f"{a} {op} {b}"] = (~_compare(x, op, y), x.isNotNull() & y.isNotNull())
-    out = _counts(df, "non_negative", "validity", negative)
-    for name, tests in (("suspicious_zero", zero), ("date_validity", dates), ("email_format", email), ("cross_column_dates", cross)):
-        out = out.unionByName(_counts(df, name, "validity", tests))
-    return out
+    named = (("non_negative", negative), ("suspicious_zero", zero), ("date_validity", dates), ("email_format", email), ("cross_column_dates", cross))
+    return [(name, "validity", tests) for name, tests in named]
 
 
 def _compare(x: Column, op: str, y: Column) -> Column:
@@ -221,7 +294,8 @@ def schema_quality(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(rows, "position long, column string, issue string")
 
 
-NAME_SHAPE = r"\S+ +\S"
+#: Words of companies' names.
+COMPANY = (" ltd", " limited", " plc", " inc", " gmbh", " llc", " corp", " co.")
 CODE_SHAPE = r"^[A-Za-z0-9_./-]{1,20}$"
 
 
@@ -229,11 +303,41 @@ def value_shape(df: DataFrame, column: str) -> DataFrame:
     """One row `shape`: name, code or unknown, by the first 80 values (a sample by definition)."""
     v = F.trim(col(column).cast("string"))
     sample = df.select(v.alias("v")).where("v is not null and v <> ''").limit(80)
-    name = F.col("v").contains(" ") & (F.length("v") > 5)
+    low = F.concat(F.lit(" "), F.lower("v"), F.lit(" "))
+    name = (F.col("v").contains(" ") & (F.length("v") > 5)) | reduce(lambda a, b: a | b, [low.contains(w) for w in COMPANY])
     votes = sample.agg(F.avg(name.cast("int")).alias("name"), F.avg((~name & F.col("v").rlike(CODE_SHAPE)).cast("int")).alias("code"))
     return votes.select(F.when(F.col("name") >= 0.5, "name").when(F.col("code") >= 0.5, "code").otherwise("unknown").alias("shape"))
 
 
+def compatible_reference(df: DataFrame, column: str, codes: DataFrame | None, names: DataFrame | None = None) -> tuple[str | None, str | None]:
+    """Which reference list (one column `value`) a column can be compared with: (code or name, None), or (None, reason).
+
+    The shapes of the first values decide; an unclear column takes the list that has one of its first values.
+    """
+    shape = lambda x, c: None if x is None else value_shape(x, c).first()["shape"]
+    own, code, name = shape(df, column), shape(codes, "value"), shape(names, "value")
+    if own == "code" and code in ("code", "unknown"):
+        return "code", None
+    if own == "name" and name in ("name", "unknown"):
+        return "name", None
+    if own == "unknown":
+        sample = df.select(F.trim(col(column).cast("string")).alias("value")).where("value <> ''").limit(80)
+        for kind, ref in (("code", codes), ("name", names)):
+            if ref is not None and ref.join(sample, "value", "left_semi").limit(1).count():
+                return kind, None
+    return None, "reference_type_mismatch"
+
+
+def match_references(df: DataFrame, lists: Sequence[tuple[Sequence[str], DataFrame | None, DataFrame | None]]) -> dict[str, tuple[str | None, str | None]]:
+    """column -> compatible_reference(), for the columns that a list names: (names in lower case, codes, names or None)."""
+    low, out = {c.strip().lower(): c for c in kinds(df)}, {}
+    for wanted, codes, names in lists:
+        for w in wanted:
+            if w in low and low[w] not in out:
+                out[low[w]] = compatible_reference(df, low[w], codes, names)
+    return out
+
+
 def orphans(df: DataFrame, column: str, reference: DataFrame, ref_column: str) -> DataFrame:
     """Rows whose trimmed key is not in the reference; null and blank keys are skipped. Spark picks the join by size."""
     ref = reference.select(F.trim(col(ref_column).cast("string")).alias("_key")).where("_key is not null and _key <> ''").distinct()
@@ -247,8 +351,12 @@ def integrity(df: DataFrame, column: str, reference: DataFrame, ref_column: str,
     counts = df.where(key.isNotNull() & (key != "")).groupBy(key.alias("_key")).agg(F.count("*").alias("n"))
     ref = reference.select(F.trim(col(ref_column).cast("string")).alias("_key")).where("_key is not null and _key <> ''").distinct().withColumn("hit", F.lit(True))
     one = counts.join(ref, "_key", "left").agg(F.coalesce(F.sum(F.when(F.col("hit").isNull(), F.col("n"))), F.lit(0)).alias("bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("hit").alias("hits"))
-    out = one.select(_row("referential_integrity", column, F.col("bad"), F.col("total"), dimension).alias("r")).select("r.*")
     empty = ref.agg((F.count("*") == 0).alias("e")).scalar()
+    own, other = value_shape(df, column).scalar(), value_shape(reference, ref_column).scalar()
+    # codes are not compared with names; such a column passes, and the reason says that nothing was compared
+    unlike = F.coalesce((own != other) & (own != "unknown") & (other != "unknown"), F.lit(False))
+    bad = F.when(unlike, 0).otherwise(F.col("bad"))
+    out = one.select(_row("referential_integrity", column, bad, F.col("total"), dimension, reason=F.when(unlike, "reference_type_mismatch")).alias("r")).select("r.*")
     return out.withColumn("status", F.when(empty, "error").otherwise(F.col("status"))).withColumn("issues_found", F.when(empty, 0).otherwise(F.col("issues_found")))
 
 
@@ -267,6 +375,9 @@ class Rule:
     severity: str = "MEDIUM"
     pattern: str = ""
     enabled: bool = True
+    name: str = ""
+    impact: str = "Validation rule failure affects data quality."
+    recommendation: str = "Review and fix failed records at ingestion."
 
 
 def load_rules(spec: dict) -> list[Rule]:
@@ -274,7 +385,7 @@ def load_rules(spec: dict) -> list[Rule]:
     out = []
     for r in spec.get("rules", []):
         columns = tuple(r.get("columns") or ([r["column"]] if r.get("column") else [r["left"], r["right"]] if r.get("left") else []))
-        out.append(Rule(r["id"], r["type"], columns, r.get("expected_type") or r.get("pattern", ""), r.get("min"), r.get("max"), tuple(r.get("allowed_values", ())), r.get("op", ""), str(r.get("severity", "MEDIUM")).upper(), r.get("column_pattern", ""), r.get("enabled", True)))
+        out.append(Rule(r["id"], r["type"], columns, r.get("expected_type") or r.get("pattern", ""), r.get("min"), r.get("max"), tuple(r.get("allowed_values", ())), r.get("op", ""), str(r.get("severity", "MEDIUM")).upper(), r.get("column_pattern", ""), r.get("enabled", True), r.get("name", ""), r.get("business_impact", Rule.impact), r.get("recommendation", Rule.recommendation)))
     return out
 
 
@@ -337,12 +448,77 @@ def run_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                 keyed.append((rule, columns))
             else:
                 tests[f"{rule.id}:{'+'.join(columns)}"] = rule_test(rule, by, columns)
-    out = _counts(df, "business_rule", "validity", tests)
+    out = counted(df, [("business_rule", "validity", tests)])
     for rule, columns in keyed:
         out = out.unionByName(duplicates(df, columns).withColumns({"check_name": F.lit("business_rule"), "column": F.lit(f"{rule.id}:{'+'.join(columns)}"), "reason": F.lit(None).cast("string")}))
     return out
 
 
+def rule_results(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """run_rules() in the shape of rule reports: rule_id, rule_name, rule_type, column, status, failed_records, failed_pct of all rows, severity, business_impact, recommendation, dimension.
+
+    A rule that can't be evaluated gives a row with status error; the others are not touched.
+    """
+    by, good, wrong = kinds(df), [], []
+    for rule in rules:
+        for columns in targets(rule, list(by)) if rule.enabled else []:
+            try:
+                if rule.type != "unique":
+                    rule_test(rule, by, columns)
+                good.append((rule, columns))
+            except (KeyError, ValueError) as why:
+                wrong.append((f"{rule.id}:{'+'.join(columns)}", rule, columns, str(why)))
+    spark, found = df.sparkSession, run_rules(df, list({r.id: r for r, _ in good}.values()))
+    facts = [(f"{r.id}:{'+'.join(c)}", r.id, r.name or r.id, r.type, "+".join(c), r.severity, r.impact, r.recommendation) for r, c in good]
+    facts = spark.createDataFrame(facts, "label string, rule_id string, rule_name string, rule_type string, target string, severity string, business_impact string, recommendation string")
+    rows = df.agg(F.count("*").alias("n")).scalar()
+    share = F.round(F.coalesce(F.try_divide(F.col("issues_found") * 100.0, rows), F.lit(0.0)), 4)
+    out = found.join(F.broadcast(facts), F.col("column") == F.col("label")).select("rule_id", "rule_name", "rule_type", F.col("target").alias("column"), "status", F.col("issues_found").alias("failed_records"), share.alias("failed_pct"), "severity", "business_impact", "recommendation", "dimension")
+    if wrong:
+        out = out.unionByName(spark.createDataFrame([(r.id, r.name or r.id, r.type, "+".join(c), "error", 0, 0.0, r.severity, r.impact, why, "validity") for _, r, c, why in wrong], out.schema))
+    return out
+
+
+def failing_ids(df: DataFrame, rules: Sequence[Rule], most: int = SAMPLE_IDS) -> DataFrame:
+    """(label, _rid): the first `most` rows that fail each row rule; a report feature, taken in one pass with partial top-k."""
+    by = kinds(df)
+    tests = {f"{r.id}:{'+'.join(c)}": rule_test(r, by, c) for r in rules if r.enabled and r.type != "unique" for c in targets(r, list(by))}
+    if not tests:
+        return df.sparkSession.createDataFrame([], "label string, _rid long")
+    failed = F.array(*[F.when(F.coalesce(issue & seen, F.lit(False)), F.lit(label)) for label, (issue, seen) in tests.items()])
+    rows = df.select("_rid", F.explode(F.filter(failed, lambda x: x.isNotNull())).alias("label"))
+    return rows.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("_rid"))).where(F.col("k") <= most).select("label", "_rid")
+
+
+def merged_spec(base: dict, own: dict) -> dict:
+    """A client's settings over the common ones: mappings are merged key by key, anything else, lists too, is replaced."""
+    out = dict(base)
+    for k, v in own.items():
+        out[k] = merged_spec(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+    return out
+
+
+RULE_TYPES = ("required", "unique", "datatype", "min_max", "regex", "allowed_values", "cross_column")
+
+
+def read_rules(spark: SparkSession, path: str, own: str | None = None) -> list[Rule]:
+    """Rules of a JSON file in any store (or YAML, where a reader for it is installed), with a client's file merged over it. Wrong rules are errors."""
+
+    def spec(at: str) -> dict:
+        text = spark.read.text(at, wholetext=True).first()[0]
+        if at.lower().endswith((".yaml", ".yml")):
+            import yaml
+
+            return yaml.safe_load(text) or {}
+        return json.loads(text)
+
+    found = merged_spec(spec(path), spec(own)) if own else spec(path)
+    for r in found.get("rules", []):
+        if not r.get("id") or r.get("type") not in RULE_TYPES:
+            raise ValueError(f"wrong rule: {r}")
+    return load_rules(found)
+
+
 def scope(df: DataFrame, start: int = 0, end: int | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows start <= _rid < end and some columns, numbered from 0 again; an unknown column is an error."""
     unknown = set(columns or ()) - set(df.columns)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabtrust.functions.values import col, cosine, normal, ratio, ratio_sql, safe_normal
 from tabtrust.operators.checks import _row
+from tabtrust.operators.pii import display
 
 MAX_VALUES = 500
 THRESHOLD = 90.0
@@ -54,9 +55,10 @@ def mapping(df: DataFrame, columns: Sequence[str], threshold: float = THRESHOLD,
 
 
 def standardize(df: DataFrame, column: str, found: DataFrame) -> DataFrame:
-    """df with the column's values replaced by their canonical form; what has none stays. The mapping has at most MAX_VALUES rows a column."""
-    own = found.where(F.col("column") == column).select(F.col("original").alias("_from"), F.col("canonical").alias("_to"))
-    return df.join(F.broadcast(own.limit(MAX_VALUES)), col(column) == F.col("_from"), "left").withColumn(column, F.coalesce("_to", col(column))).drop("_from", "_to")
+    """df with the column's values replaced by their canonical form; what has none stays. Spark picks the join by the mapping's size;
+    of several rows for a value the least canonical form counts."""
+    own = found.where(F.col("column") == column).groupBy(F.col("original").alias("_from")).agg(F.min("canonical").alias("_to"))
+    return df.join(own, col(column) == F.col("_from"), "left").withColumn(column, F.coalesce("_to", col(column))).drop("_from", "_to")
 
 
 def fuzzy_check(df: DataFrame, columns: Sequence[str], threshold: float = THRESHOLD) -> DataFrame:
@@ -125,6 +127,44 @@ def resolve_vectors(own: DataFrame, canonicals: DataFrame, auto: float = VECTOR_
     return best.select("id", F.col("m.name").alias("name"), F.col("m.similarity").alias("similarity"), F.when(F.col("m.similarity") >= auto, "auto").when(F.col("m.similarity") >= review, "review").otherwise("no_match").alias("decision"))
 
 
+def cascade(own: DataFrame, names: DataFrame, vectors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """resolve(), then tier 3 for what has no match, by vectors: ((value, vector) of values, (name, vector) of canonicals).
+
+    (value, n, canonical, candidate, tier, similarity, decision, requires_review, reason). An empty value has no match and
+    needs no review; any other value without one does, with its best candidate.
+    """
+    out = resolve(own, names).withColumn("reason", F.when(F.trim("value") == "", "empty_value").when(F.col("decision") == "no_match", "below_all_thresholds"))
+    out = out.withColumn("candidate", F.col("canonical"))
+    if vectors is not None:
+        open_ = out.where("decision = 'no_match' and reason <> 'empty_value'").select("value")
+        third = resolve_vectors(vectors[0].join(open_, "value", "left_semi").select(F.col("value").alias("id"), "vector"), vectors[1])
+        third = third.select(F.col("id").alias("value"), F.col("name").alias("_name"), F.col("similarity").alias("_sim"), F.col("decision").alias("_decision"))
+        hit = F.coalesce(F.col("_decision"), F.lit("no_match")) != "no_match"
+        out = out.join(third, "value", "left").select("value", "n", F.when(hit, F.col("_name")).otherwise(F.col("canonical")).alias("canonical"), F.coalesce("candidate", "_name").alias("candidate"), F.when(hit, 3).otherwise(F.col("tier")).alias("tier"), F.when(hit, F.col("_sim")).otherwise(F.greatest("similarity", "_sim")).alias("similarity"), F.when(hit, F.col("_decision")).otherwise(F.col("decision")).alias("decision"), F.when(~hit, F.col("reason")).alias("reason"))
+    return out.select("value", "n", "canonical", "candidate", "tier", "similarity", "decision", ((F.col("decision") != "auto") & (F.trim("value") != "")).alias("requires_review"), "reason")
+
+
+def review_queue(resolved: DataFrame, column: str, entity_type: str) -> DataFrame:
+    """The values that someone has to look at, in a form that shows no personal data."""
+    return resolved.where("decision = 'review'").select(F.lit(column).alias("column"), F.lit(entity_type).alias("entity_type"), display(F.col("value")).alias("value"), display(F.col("candidate")).alias("candidate"), "similarity", "tier")
+
+
+def eligible(roles: dict[str, str], types: Sequence[dict]) -> dict[str, str]:
+    """column -> entity type, of the columns that a type names (in any case) and whose role it takes; personal data is never resolved.
+    types: (entity_type, columns, eligible_roles)."""
+    out = {}
+    for name, role in roles.items():
+        own = next((t for t in types if name.casefold() in {c.casefold() for c in t["columns"]}), None)
+        if own is not None and role != "pii" and role in own["eligible_roles"]:
+            out[name] = own["entity_type"]
+    return out
+
+
+def first_seen(df: DataFrame, column: str, order: str = "_rid") -> DataFrame:
+    """(value, n, first) of distinct values that are not blank, with the place where each is seen first."""
+    return df.where(col(column).isNotNull() & (F.trim(col(column)) != "")).groupBy(F.trim(col(column)).alias("value")).agg(F.count("*").alias("n"), F.min(col(order)).alias("first"))
+
+
 def decisions(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("decision").agg(F.count("*").alias("n_values"), F.sum("n").alias("n_rows"))
 

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabtrust.functions.values import col, number, vin
+from tabtrust.functions.values import col, number, vin, vin_text
 from tabtrust.operators.checks import kinds
 
 #: Type -> pattern, score, words one of which must stand near (before, after) or none.
@@ -67,6 +68,14 @@ HINTS: tuple[tuple[tuple[str, ...], tuple[str, ...]], ...] = (
     (("npi", "dea", "license", "licence", "cert", "certificate", "credential", "provider_id", "physician_id"), ("LICENSE_CERT",)),
     (("uuid", "guid", "unique_id", "record_id", "claim_id", "encounter_id"), ("UNIQUE_ID",)),
 )
+#: Names that ask for a contact, the form of business codes, what columns of such codes don't hold, and how many values show it.
+CONTACT_NAME = re.compile(r"(phone|mobile|tel|fax|landline|\bip\b|ipv4|ipv6)", re.I)
+BUSINESS_CODE = re.compile(r"^[A-Z]{2,6}-?\d{4,}[A-Z0-9]*$", re.I)
+CONTACT = frozenset(("PHONE", "MOBILE", "IP_ADDRESS"))
+CODE_SAMPLE = 200
+#: Types whose every form has one of these marks.
+MARK = r"[0-9@:]|(?i:www\.)"
+MARKED = BASELINE | {"BANK_ACCOUNT", "DOB", "PASSPORT", "POSTAL_CODE", "USERNAME", "ADDRESS", "NAME"}
 REGISTRATION = ("company reg", "reg no", "reg.", "registration no", "registration number", "crn", "company number", "companies house", "eori", "vat")
 #: Patterns of health identifiers, used in columns whose name asks for them.
 HEALTH = {
@@ -82,8 +91,8 @@ HEALTH = {
 IDENTIFIER = {
     "NAME": "hipaa_01_names", "ADDRESS": "hipaa_02_geo_substate", "POSTAL_CODE": "hipaa_02_geo_substate", "DOB": "hipaa_03_dates", "PHONE": "hipaa_04_phone", "MOBILE": "hipaa_04_phone", "FAX": "hipaa_05_fax", "EMAIL": "hipaa_06_email", "SSN": "hipaa_07_ssn",
     "MRN": "hipaa_08_medical_record", "BENEFICIARY_ID": "hipaa_09_health_plan_beneficiary", "BANK_ACCOUNT": "hipaa_10_account_number", "CARD": "hipaa_10_account_number", "IBAN": "hipaa_10_account_number", "LICENSE_CERT": "hipaa_11_license_certificate",
-    "DRIVER_LICENSE": "hipaa_11_license_certificate", "VIN": "hipaa_12_vehicle_identifier", "DEVICE_SERIAL": "hipaa_13_device_identifier", "URL": "hipaa_14_url", "IP_ADDRESS": "hipaa_15_ip_address", "CNIC": "hipaa_18_other_unique_id", "PASSPORT": "hipaa_18_other_unique_id",
-    "USERNAME": "hipaa_18_other_unique_id", "UNIQUE_ID": "hipaa_18_other_unique_id",
+    "DRIVER_LICENSE": "hipaa_11_license_certificate", "VIN": "hipaa_12_vehicle_identifier", "DEVICE_SERIAL": "hipaa_13_device_identifier", "URL": "hipaa_14_url", "IP_ADDRESS": "hipaa_15_ip_address", "CNIC": "hipaa_18_other_unique_id", "PASSPORT": "hipaa_11_license_certificate",
+    "UNIQUE_ID": "hipaa_18_other_unique_id",
 }
 SENSITIVE = ("hipaa_07_ssn", "hipaa_08_medical_record", "hipaa_09_health_plan_beneficiary")
 
@@ -152,7 +161,7 @@ def hits(text: str, column: str | None = None) -> list[dict]:
         return [{"type": "PASSWORD", "start": 0, "end": len(text), "score": 1.0}]
     found = raw_hits(text)
     for kind in allowed & HEALTH.keys() if column is not None else ():
-        found += [{"type": kind, "start": m.start(), "end": m.end(), "score": 0.6} for p in HEALTH[kind] for m in re.finditer(p, text, re.I)]
+        found += [{"type": kind, "start": m.start(), "end": m.end(), "score": 0.6} for p in HEALTH[kind] for m in re.finditer(p, text, re.I) if kind != "VIN" or vin_text(m.group())]
     if column is not None and "BANK_ACCOUNT" in allowed:
         found += [{"type": "BANK_ACCOUNT", "start": m.start(), "end": m.end(), "score": 0.75} for m in re.finditer(r"\b\d{10,18}\b", text)]
     return [h for h in resolve(found) if h["type"] in allowed]
@@ -200,27 +209,73 @@ SPANS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.Struc
 CELL = T.StructType([T.StructField("spans", SPANS), T.StructField("masked", T.StringType())])
 
 
-@F.pandas_udf(CELL)
-def scan(column: pd.Series, text: pd.Series) -> pd.DataFrame:
-    """Spans and masked form of cells, each with the name of its column."""
-    found = [hits(t, c) if t else [] for c, t in zip(column, text, strict=True)]
-    return pd.DataFrame({"spans": found, "masked": [mask_text(t, f) if f else t for t, f in zip(text, found, strict=True)]})
+def _scan(gone: frozenset[str]):
+    @F.pandas_udf(CELL)
+    def run(column: pd.Series, text: pd.Series) -> pd.DataFrame:
+        found = [[h for h in hits(t, c) if c not in gone or h["type"] not in CONTACT] if t else [] for c, t in zip(column, text, strict=True)]
+        return pd.DataFrame({"spans": found, "masked": [mask_text(t, f) if f else t for t, f in zip(text, found, strict=True)]})
+
+    return run.asNondeterministic()  # else each use of its columns would be a scan of its own
+
+
+def scan(column: str, text: str, code_columns: Sequence[str] = ()):
+    """Spans and masked form of cells, each with the name of its column. Columns of business codes hold no phone and no address of a machine."""
+    return _scan(frozenset(code_columns))(column, text)
+
+
+def code_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Columns of which more than 90 % of the first 200 values look like business codes, unless the name asks for a contact."""
+    own = [c for c in columns if not CONTACT_NAME.search(c)]
+    if not own:
+        return []
+    rows = df.select(*[F.trim(col(c).cast("string")).alias(f"c{i}") for i, c in enumerate(own)]).limit(CODE_SAMPLE).collect()
+    out = []
+    for i, c in enumerate(own):
+        some = [r[i] for r in rows if r[i]]
+        if some and sum(bool(BUSINESS_CODE.match(v)) for v in some) > 0.9 * len(some):
+            out.append(c)
+    return out
 
 
 def findings(df: DataFrame, columns: list[str] | None = None, key: str | None = None) -> DataFrame:
-    """(column, key, spans, masked) of every text cell that holds personal data. Values never leave the executors."""
+    """(column, key, spans, masked) of every text cell that holds personal data. Values never leave the executors.
+
+    Cells without a digit, @, colon or www. are left out in the JVM, in columns whose types all need one of them.
+    """
     own = columns or [c for c, k in kinds(df).items() if k == "string"]
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("v")) for c in own]))
+    own = [c for c in own if allowed_types(c)]
+    if not own:
+        return df.sparkSession.createDataFrame([], f"column string, key {dict(df.dtypes)[key] if key else 'long'}, spans array<struct<type:string,start:int,end:int,score:double>>, masked string")
+    value = lambda c: F.when(col(c).cast("string").rlike(MARK), col(c).cast("string")) if allowed_types(c) <= MARKED else col(c).cast("string")
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("v")) for c in own]))
     long = df.select((col(key) if key else F.lit(None).cast("long")).alias("key"), cells.alias("x")).select("key", "x.*").where("v is not null")
-    return long.select("column", "key", scan("column", "v").alias("s")).select("column", "key", "s.*").where(F.size("spans") > 0)
+    return long.select("column", "key", scan("column", "v", code_columns(df, own)).alias("s")).select("column", "key", "s.*").where(F.size("spans") > 0)
 
 
 def summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, type, hits, rows_with_pii): spans by type, and cells with any."""
-    found = findings(df, columns)
-    cells = found.groupBy("column").agg(F.count("*").alias("rows_with_pii"))
-    types = found.select("column", F.explode("spans").alias("h")).groupBy("column", F.col("h.type").alias("type")).agg(F.count("*").alias("hits"))
-    return types.join(F.broadcast(cells), "column").select("column", "type", "hits", "rows_with_pii")
+    """(column, type, hits, rows_with_pii): spans by type, and cells with any. One scan of the cells."""
+    found = findings(df, columns).select("column", F.posexplode("spans").alias("i", "h"))
+    types = found.groupBy("column", F.col("h.type").alias("type")).agg(F.count("*").alias("hits"), F.count_if(F.col("i") == 0).alias("first"))
+    return types.select("column", "type", "hits", F.sum("first").over(Window.partitionBy("column")).alias("rows_with_pii"))
+
+
+def masked_frame(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """df with the personal data of its text columns masked; rows and other columns stay."""
+    own = [c for c in (columns or [c for c, k in kinds(df).items() if k == "string"]) if allowed_types(c)]
+    codes = code_columns(df, own)
+    for c in own:
+        df = df.withColumn(c, F.when(col(c).isNotNull(), _scan(frozenset(codes))(F.lit(c), col(c).cast("string"))["masked"]))
+    return df
+
+
+def display(c: Column) -> Column:
+    """Form of a value for queues and logs: an e-mail as its first letter and domain, seven digits or more as stars and the last two."""
+    digits = F.length(F.regexp_replace(c, r"\D", ""))
+    mail = c.rlike(r"[^@]+@[^@]+\.[^@]+")
+    sensitive = (F.length(c) >= 3) & (mail | (c.rlike(r"\+?\d[\d\s\-().]{6,}\d") & (digits >= 7)))
+    local, domain = F.substring_index(c, "@", 1), F.substring(c, F.instr(c, "@") + 1, F.length(c))
+    hidden = F.when(c.contains("@"), F.concat(F.substring(local, 1, 1), F.lit("***@"), domain)).otherwise(F.concat(F.repeat(F.lit("*"), F.greatest(F.lit(1), F.length(c) - 2)), F.right(c, F.lit(2))))
+    return F.when(sensitive, hidden).otherwise(c)
 
 
 def ages_over_89(df: DataFrame, column: str) -> DataFrame:

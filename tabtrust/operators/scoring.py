@@ -34,10 +34,11 @@ def composite(scores: DataFrame) -> DataFrame:
     return one.drop("bad")
 
 
-def capped(score: DataFrame, level: Column | str) -> DataFrame:
-    """compliance_adjusted_score: the composite under the ceiling of a severity; the composite itself stays."""
-    own = F.lit(level) if isinstance(level, str) else level
+def capped(score: DataFrame, level: Column | str, exposure: Column | float = 0.0) -> DataFrame:
+    """compliance_adjusted_score: the composite under the ceiling of a severity, or without one of the exposure (100 at 0, 70 at 100); the composite itself stays."""
+    own, exposed = (F.lit(x) if isinstance(x, str | float) else x for x in (level, exposure))
     limit = F.try_element_at(F.create_map(*[F.lit(x) for p in CEILINGS.items() for x in p]), own)
+    limit = F.coalesce(limit, F.when(exposed > 0, F.round(100.0 - exposed / 100.0 * (100.0 - CEILINGS["high"]), 2)))
     adjusted = F.least("data_quality_score", F.coalesce(limit, F.lit(100.0)))
     return score.withColumns({"compliance_adjusted_score": adjusted, "rating": rating(adjusted), "readiness": readiness(adjusted)})
 
@@ -77,10 +78,26 @@ def sheets(scores: DataFrame) -> DataFrame:
 
 
 def trend(runs: DataFrame) -> DataFrame:
-    """runs (client, file, completed_at, score): change against the previous run of the same file, and its direction."""
+    """runs (client, file, completed_at, score, status): completed ones, with the change against the previous one of the same file, and its direction."""
     w = Window.partitionBy("client", "file").orderBy("completed_at")
     change = F.round(F.col("score") - F.lag("score").over(w), 2)
-    return runs.withColumn("change", change).withColumn("direction", F.when(F.col("change").isNull(), "first").when(F.col("change") > 0.05, "up").when(F.col("change") < -0.05, "down").otherwise("flat"))
+    return runs.where("status = 'completed'").withColumn("change", change).withColumn("direction", F.when(F.col("change").isNull(), "first").when(F.col("change") > 0.05, "up").when(F.col("change") < -0.05, "down").otherwise("flat"))
+
+
+def with_manifests(runs: DataFrame, manifests: DataFrame) -> DataFrame:
+    """runs (run_id, ..) with has_compliance: whether any sheet of the run's manifest (run_id, sheets of compliance_report paths) has one."""
+    have = manifests.groupBy("run_id").agg(F.bool_or(F.exists("sheets", lambda p: p.isNotNull() & (p != ""))).alias("has_compliance"))
+    return runs.join(have, "run_id", "left").withColumn("has_compliance", F.coalesce("has_compliance", F.lit(False)))
+
+
+def sheet_dimensions(scores: DataFrame) -> DataFrame:
+    """scores (sheet, dimension, score; null where it wasn't available) -> (dimension, score, sheets): the mean over the sheets that have it."""
+    return scores.groupBy("dimension").agg(F.round(F.avg("score"), 2).alias("score"), F.count("score").alias("sheets"))
+
+
+def role_counts(classes: DataFrame) -> DataFrame:
+    """classes (column, role) -> (role, columns)."""
+    return classes.groupBy("role").agg(F.count("*").alias("columns"))
 
 
 def client_stats(runs: DataFrame) -> DataFrame:

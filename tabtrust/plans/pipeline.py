@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabtrust.operators import checks, classify, entities, pii, scoring
+from tabtrust.operators import checks, classify, compliance, entities, pii, scoring
 
 
 @dataclasses.dataclass
@@ -21,6 +21,7 @@ class Assessment:
     dimensions: DataFrame
     score: DataFrame
     pii: DataFrame | None
+    phi: DataFrame | None = None
 
 
 def assess(df: DataFrame, as_of: str, rules: Sequence[checks.Rule] = (), keys: list[str] | None = None, references: Sequence[tuple[str, DataFrame, str]] = (), with_pii: bool = True, fuzzy: bool = True) -> Assessment:
@@ -28,11 +29,15 @@ def assess(df: DataFrame, as_of: str, rules: Sequence[checks.Rule] = (), keys: l
     found = classify.classify(df)
     role = {r["column"]: r["legacy_role"] for r in found}
     by = checks.kinds(df)
-    parts = [checks.missing(df), checks.type_mismatch(df), checks.duplicates(df)]
+    year = int(as_of[:4])
+    # all tests of single rows are one aggregate
+    tests = checks.missing_tests(df) + checks.typed_tests(df) + checks.validity_tests(df, role, year)
+    parts = [checks.counted(df, tests), checks.skipped(df, role), checks.duplicates(df)]
+    if "string" in by.values():
+        parts.append(checks.type_mismatch(df.select(*[checks.col(c) for c, k in by.items() if k == "string"])))
     parts += [checks.duplicates(df, k) for k in classify.business_keys(df, found, keys)]
     if numeric := [c for c, r in role.items() if r == "measurement"]:
         parts.append(checks.outliers(df, numeric))
-    parts.append(checks.validity(df, role, int(as_of[:4])))
     if rules:
         parts.append(checks.run_rules(df, rules))
     words = [c for c, r in role.items() if r in ("categorical", "identifier") and by[c] == "string"]
@@ -51,10 +56,21 @@ def assess(df: DataFrame, as_of: str, rules: Sequence[checks.Rule] = (), keys: l
     for column, ref, ref_column in references:
         parts.append(checks.integrity(df, column, ref, ref_column))
     types = pii.summary(df) if with_pii and "string" in by.values() else None
+    phi = None
     if types is not None:
+        # a row for each column and type; read several times below
+        types = spark.createDataFrame(types.collect(), types.schema)
+        facts = spark.createDataFrame([(r["column"], r["rows"], r["distinct"]) for r in found], "column string, rows long, distinct long")
+        ages = [pii.ages_over_89(df, c).select(F.lit(c).alias("column"), "age_over_89") for c in compliance.age_columns(list(by))]
+        phi = compliance.identify(types, list(by), facts, reduce(DataFrame.unionByName, ages) if ages else None)
         held = types.select("column").distinct().withColumn("pii", F.lit(True))
         columns = spark.createDataFrame([(c,) for c in by], "column string").join(F.broadcast(held), "column", "left").select("column", F.coalesce("pii", F.lit(False)).alias("pii"))
         parts.append(scoring.privacy(columns))
     results = reduce(DataFrame.unionByName, parts)
     dims = scoring.dimensions(results)
-    return Assessment(found, results, dims, scoring.composite(dims), types)
+    score = scoring.composite(dims)
+    if phi is None:
+        return Assessment(found, results, dims, score, types)
+    exposed = pii.exposure(phi).select("severity", "exposure_score")
+    score = scoring.capped(score.join(exposed, F.lit(True)), F.col("severity"), F.col("exposure_score"))  # one row each
+    return Assessment(found, results, dims, score, types, phi)

@@ -100,13 +100,18 @@ def header_row(rows: list[Sequence], scan: int = SCAN_ROWS) -> int:
 
 
 def unique_names(cells: Sequence) -> list[str]:
+    """Trimmed names, unnamed_i for blank ones; the second x is x_1, the third x_2, or the next number that no other name has."""
+    plain = [str(c).strip() if c is not None and str(c).strip() else f"unnamed_{i}" for i, c in enumerate(cells)]
     out: list[str] = []
     seen: dict[str, int] = {}
-    for i, c in enumerate(cells):
-        name = str(c).strip() if c is not None and str(c).strip() else f"unnamed_{i}"
+    for name in plain:
         n = seen.get(name, 0)
+        own = name if not n else f"{name}_{n}"
+        while n and (own in plain or own in out):
+            n += 1
+            own = f"{name}_{n}"
         seen[name] = n + 1
-        out.append(name if not n else f"{name}_{n}")
+        out.append(own)
     return out
 
 
@@ -130,13 +135,39 @@ def with_header(raw: DataFrame, header: int | None = None) -> DataFrame:
     return numbered(body, "_rid").select("_rid", *[F.col(c).alias(n) for c, n in zip(cells, names, strict=True)])
 
 
+#: Rows that one range of row numbers has, about, as long as there are no more than RANGES.
+RANGE_ROWS, RANGES = 1_000_000, 4096
+
+
 def numbered(df: DataFrame, order: str) -> DataFrame:
-    """_rid becomes 0, 1, ... in the order of a column: sorted ranges are numbered apart and shifted by the sizes before them."""
-    ranged = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("n"))  # a row a partition
-    before = sizes.select("_p", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_p")) - F.col("n")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
-    return ranged.withColumn("_own", own).join(F.broadcast(before), "_p").withColumn("_rid", (F.col("_before") + F.col("_own")).cast("long")).drop("_p", "_own", "_before")
+    """_rid becomes 0, 1, ... in the order of a column with numbers; nulls come first, equal values in any order.
+
+    Ranges are cut by value: the bounds are quantiles of the column, one for each RANGE_ROWS rows, and a row's range follows from
+    its own value alone, so that no two evaluations of df can put it into different ones. Ranges are numbered apart, in
+    parallel, and shifted by the sizes of those before them. df is read several times and must be repeatable (a file or
+    table). A value that is repeated more often than a range has rows makes a larger range.
+    """
+    names, place = [c for c in df.columns if c != "_rid" or c == order], F.col(f"`{order}`")
+    n = df.count()
+    parts = min(RANGES, -(-n // RANGE_ROWS))
+    cuts = df.select(F.percentile_approx(place, [i / parts for i in range(1, parts)], 100 * parts).alias("q")).first()["q"] if parts > 1 else []
+    cuts = sorted({c for c in cuts or () if c is not None})  # RANGES numbers at most
+    if cuts:  # bounds below the value, counted among every 64th first
+        below = lambda x: F.size(F.filter(x, lambda c: c < place))
+        lists = F.array(*[F.array(*map(F.lit, cuts[i : i + 64])) for i in range(0, len(cuts), 64)])
+        chunk = F.greatest(F.lit(1), below(F.array(*map(F.lit, cuts[::64]))))
+        at = F.coalesce((chunk - 1) * 64 + below(F.element_at(lists, chunk)), F.lit(0))
+    else:
+        at = F.lit(0)
+    rows = df.select(*[F.col(f"`{c}`") for c in names], at.cast("int").alias("_p"))
+    sizes = {r["_p"]: r["n"] for r in rows.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # a row a range
+    before, total = {}, 0
+    for p in sorted(sizes):
+        before[p] = total
+        total += sizes[p]
+    shift = F.element_at(F.array(*[F.lit(before.get(i, 0)).cast("long") for i in range(len(cuts) + 1)]), F.col("_p") + 1)
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(place)) - 1
+    return rows.withColumn("_rid", (shift + own).cast("long")).select("_rid", *[F.col(f"`{c}`") for c in names if c not in ("_rid", "_p")])
 
 
 def preview(raw: DataFrame, at: int, around: int = 5) -> DataFrame:

@@ -1,5 +1,7 @@
 import zipfile
 
+from pyspark.sql import functions as F
+
 from tabtrust.sources import tables
 
 
@@ -45,3 +47,42 @@ def test_history(spark, tmp_path):
     assert [r["completed_at"] for r in tables.runs(spark, f"{tmp_path}/runs", "a").collect()] == [2, 1]
     tables.event(spark, f"{tmp_path}/log", "r1", "started", sheet="One")
     assert spark.read.json(f"{tmp_path}/log").first()["event"] == "started"
+
+
+def wide(spark, n):
+    return spark.range(n, numPartitions=16).select(F.col("id").alias("_rid"), *[F.md5(F.concat(F.col("id").cast("string"), F.lit(str(i)))).alias(f"c{i}") for i in range(5)])
+
+
+def test_numbered_loses_no_row(spark, tmp_path):
+    """Rows as written, not as counted: no row is lost and no number is given twice, in the order of the old numbers."""
+    n = 1_200_000
+    rows = wide(spark, n).withColumn("_rid", F.col("_rid") * 7 + 3)
+    tables.numbered(rows, "_rid").write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert tuple(out.agg(F.count("*"), F.count_distinct("_rid"), F.min("_rid"), F.max("_rid")).first()) == (n, n, 0, n - 1)
+    assert out.where(F.md5(F.concat((F.col("_rid")).cast("string"), F.lit("0"))) != F.col("c0")).count() == 0
+    assert tables.numbered(rows.where("false"), "_rid").count() == 0
+
+
+def test_numbered_ranges(spark, monkeypatch):
+    """Many ranges, ties and nulls."""
+    monkeypatch.setattr(tables, "RANGE_ROWS", 10)
+    rows = spark.createDataFrame([(None if i % 97 == 0 else (i * 31) % 500, str(i)) for i in range(3000)], "k long, c string")
+    got = tables.numbered(rows, "k").collect()
+    assert sorted(r["_rid"] for r in got) == list(range(3000)) and {r["c"] for r in got} == {str(i) for i in range(3000)}
+    inorder = [r["k"] for r in sorted(got, key=lambda r: r["_rid"])]
+    assert inorder == sorted(inorder, key=lambda k: -1 if k is None else k)
+
+
+def test_csv_of_several_files(spark, tmp_path):
+    n = 300_000
+    wide(spark, n).drop("_rid").repartition(5).write.csv(str(tmp_path / "many.csv"))
+    raw = tables.read_csv(spark, str(tmp_path / "many.csv"), b",".join([b"x"] * 5) + b"\n")
+    raw.write.parquet(str(tmp_path / "raw"))
+    out = spark.read.parquet(str(tmp_path / "raw"))
+    assert tuple(out.agg(F.count("*"), F.count_distinct("_rid"), F.max("_rid"), F.count_distinct("c0")).first()) == (n, n, n - 1, n)
+
+
+def test_unique_names_never_repeat():
+    assert tables.unique_names(["x", "x", "x_1"]) == ["x", "x_2", "x_1"]
+    assert tables.unique_names(["x", "x", "x", None, " "]) == ["x", "x_1", "x_2", "unnamed_3", "unnamed_4"]
