@@ -6,7 +6,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,6 +102,12 @@ def ratio_sql(a: str, b: str) -> Column:
     return F.expr(f"if(length({a}) + length({b}) = 0, 100D, 200D * {lcs} / (length({a}) + length({b})))")
 
 
+def json_rows(df: DataFrame) -> DataFrame:
+    """One column json: every row as an object with all its columns; NaN and infinite numbers become null."""
+    safe = [F.when(~F.isnan(col(c)) & (F.abs(col(c)) != float("inf")), col(c)).alias(c) if k in ("double", "float") else col(c) for c, k in df.dtypes]
+    return df.select(F.to_json(F.struct(*safe), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def rounded(x: Column, places: int = 4) -> Column:
     """Rounded by the scaled double, as most engines do, so that ties fall alike."""
     return F.round(x * 10.0**places) / 10.0**places

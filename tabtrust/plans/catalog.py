@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabtrust.functions import values
-from tabtrust.operators import checks, classify, entities, forecast, pii, scoring
+from tabtrust.operators import checks, classify, compliance, entities, forecast, pii, scoring
 from tabtrust.plans import pipeline
 from tabtrust.sources import tables
 from tabtrust.streaming import profile as streams
@@ -213,7 +213,10 @@ def _(spark, d):
     return checks.dominant(read(spark, d, "lineitem"), ["l_discount", "l_extendedprice"], share=0.05)
 
 
-@query("ag12_knn_outliers")
+NEAR = "(SELECT v, r, list_sort(list(abs(v - w)))[6] AS score FROM (SELECT c_acctbal AS v, count(*) AS r FROM customer GROUP BY 1) CROSS JOIN (SELECT c_acctbal AS w FROM customer) GROUP BY v, r)"
+
+
+@query("ag12_knn_outliers", f"SELECT v AS value, r AS rows, score, score > (SELECT quantile_cont(score, 0.95) FROM {NEAR} n JOIN customer ON c_acctbal = n.v) AS outlier FROM {NEAR}")
 def _(spark, d):
     return checks.knn_outliers(read(spark, d, "customer"), "c_acctbal")
 
@@ -279,7 +282,7 @@ def _(spark, d):
     return classify.classes(read(spark, d, "lineitem"))
 
 
-@query("ag7_business_keys", "SELECT k FROM (VALUES ('Order Number+Line No')) v(k)")
+@query("ag7_business_keys", "SELECT CASE WHEN (count(*) - count(DISTINCT l_orderkey))::DOUBLE / count(*) >= 0.2 THEN 'Order Number+Line No' ELSE 'Order Number' END AS k FROM lineitem")
 def _(spark, d):
     lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("Order Number"), F.col("l_linenumber").alias("Line No"), "l_quantity")
     return spark.createDataFrame([("+".join(k),) for k in classify.business_keys(lines)], "k string")
@@ -294,7 +297,7 @@ def _(spark, d):
     return read(spark, d, "orders").where(values.luhn(card)).select("o_orderkey")
 
 
-@query("sc8_similarity")
+@query("sc8_similarity", "SELECT n_name AS a, n_name || ' ' || r_name AS b, round(200.0::DOUBLE * length(n_name) / (2 * length(n_name) + 1 + length(r_name)), 4) AS ratio FROM nation JOIN region ON n_regionkey = r_regionkey")
 def _(spark, d):
     both = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return both.select(F.col("n_name").alias("a"), F.concat("n_name", F.lit(" "), "r_name").alias("b")).select("a", "b", F.round(values.ratio_sql("a", "b"), 4).alias("ratio"))
@@ -316,18 +319,83 @@ def _(spark, d):
     return read(spark, d, "orders").select("o_orderkey", values.moment(text).cast("date").alias("day"))
 
 
-@query("sc16_repaired", "SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, 'Ã.|Â.|â€|ï¿½|Å.|Ä.')")
+MOJIBAKE = "CASE k % 4 WHEN 0 THEN {0} || n WHEN 1 THEN {1} || n WHEN 2 THEN {2} || n ELSE n END"
+BROKEN = ("cafÃ© ", "â€œquoteâ€\x9d ", "naÃ¯ve Ã¼ber ")
+
+
+@query("sc16_repaired", "SELECT k AS c_custkey, " + MOJIBAKE.format("'café '", "'“quote” '", "'naïve über '") + " AS text FROM (SELECT c_custkey AS k, c_name AS n FROM customer)")
 def _(spark, d):
-    docs = read(spark, d, "documents").where("text is not null").where(~F.col("text").rlike(values.MOJIBAKE))
-    return docs.select("doc_id", F.length(values.repaired(F.col("text"))).cast("long").alias("n"))
+    k = F.col("c_custkey") % 4
+    text = F.when(k == 3, F.col("c_name"))
+    for i, broken in enumerate(BROKEN):
+        text = text.when(k == i, F.concat(F.lit(broken), "c_name"))
+    return read(spark, d, "customer").select("c_custkey", values.repaired(text).alias("text"))
+
+
+#: Cells with one finding each, by the key's remainder: (type, text, the same masked); {k} is the key.
+CELLS = (
+    ("EMAIL", "mail c{k}@mail.com now", "mail c***@mail.com now"),
+    ("SSN", "ssn 123-45-6789 end", "ssn [SSN] end"),
+    ("IP_ADDRESS", "host 10.20.30.40 up", "host x.x.x.40 up"),
+    ("URL", "see https://a.example.org/x ok", "see [URL] ok"),
+    ("CARD", "card 4111 1111 1111 1111 ok", "card **** **** **** 1111 ok"),
+    ("IBAN", "iban GB29NWBK60161331926819 x", "iban GB****************6819 x"),
+    (None, "nothing to see here", "nothing to see here"),
+    ("PHONE", "call +44 20 7946 0958 now", "call +** ** **** 0958 now"),
+    ("MOBILE", "ring 0300-1234567 today", "ring ****-***4567 today"),
+    ("CNIC", "id 35202-1234567-1 here", "id *****-*******-1 here"),
+)
+
+
+def _cells(spark, d):
+    k = F.col("c_custkey")
+    text = F.lit(None).cast("string")
+    for i, (_, cell, _) in enumerate(CELLS):
+        text = F.when(k % len(CELLS) == i, F.replace(F.lit(cell), F.lit("{k}"), k.cast("string"))).otherwise(text)
+    return read(spark, d, "customer").select("c_custkey", text.alias("notes"), "c_mktsegment", "c_acctbal")
 
 
-PII_SIMPLE = {"EMAIL": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "SSN": r"\b\d{3}-\d{2}-\d{4}\b", "IPV4": r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"}
+def cell_sql(part: int) -> str:
+    return f"CASE c_custkey % {len(CELLS)} " + " ".join(f"WHEN {i} THEN " + ("NULL" if c[part] is None else f"replace('{c[part]}', '{{k}}', CAST(c_custkey AS VARCHAR))") for i, c in enumerate(CELLS)) + " END"
+
+
+TYPED = f"(SELECT c_custkey, {cell_sql(0)} AS type, {cell_sql(1)} AS notes, {cell_sql(2)} AS masked FROM customer)"
+
+
+@query("pii1_typed_cells", f"SELECT c_custkey, type FROM {TYPED} WHERE type IS NOT NULL")
+def _(spark, d):
+    return pii.findings(_cells(spark, d), ["notes"], key="c_custkey").select(F.col("key").alias("c_custkey"), F.explode("spans.type").alias("type"))
+
+
+@query("pii3_typed_summary", f"""SELECT 'notes' AS "column", type, count(*) AS hits, CAST(sum(count(*)) OVER () AS BIGINT) AS rows_with_pii FROM {TYPED} WHERE type IS NOT NULL GROUP BY type""")
+def _(spark, d):
+    return pii.summary(_cells(spark, d))
 
 
-@query("pii1_pattern_counts", "SELECT " + ", ".join(f"CAST(coalesce(sum(len(regexp_extract_all(text, '{p}'))), 0) AS BIGINT) AS {k.lower()}" for k, p in PII_SIMPLE.items()) + " FROM documents")
+@query("msk1_typed_cells", f"SELECT c_custkey, masked FROM {TYPED} WHERE type IS NOT NULL")
 def _(spark, d):
-    return read(spark, d, "documents").agg(*[F.coalesce(F.sum(F.regexp_count("text", F.lit(p))), F.lit(0)).alias(k.lower()) for k, p in PII_SIMPLE.items()])
+    return pii.findings(_cells(spark, d), ["notes"], key="c_custkey").select(F.col("key").alias("c_custkey"), "masked")
+
+
+@query("ag29_masked_frame", f"SELECT c_custkey, masked AS notes, c_mktsegment, c_acctbal FROM {TYPED} JOIN customer USING (c_custkey)")
+def _(spark, d):
+    return pii.masked_frame(_cells(spark, d))
+
+
+@query("pii3_code_column", "SELECT CAST(0 AS BIGINT) AS hits, count(*) FILTER (c_custkey % 1000 = 7) > 0 AS other FROM customer")
+def _(spark, d):
+    """Order numbers that hold the digits of a phone are codes, as long as nearly all cells are."""
+    k = F.col("c_custkey")
+    codes = read(spark, d, "customer").select(F.concat(F.lit("SON-0300"), F.lpad(k.cast("string"), 7, "1")).alias("reference"), F.when(k % 1000 == 7, "0300-1234567").otherwise("n/a").alias("remark"))
+    found = pii.summary(codes)
+    return found.agg(F.count_if(F.col("column") == "reference").alias("hits"), (F.count_if(F.col("column") == "remark") > 0).alias("other"))
+
+
+@query("pii6_display", """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'c***@mail.com' WHEN 1 THEN repeat('*', 10) || right('0300' || lpad(CAST(c_custkey AS VARCHAR), 8, '5'), 2) WHEN 2 THEN c_name ELSE 'x' END AS shown FROM (SELECT c_custkey, c_mktsegment AS c_name FROM customer)""")
+def _(spark, d):
+    k = F.col("c_custkey")
+    text = F.when(k % 4 == 0, F.concat(F.lit("c"), k.cast("string"), F.lit("@mail.com"))).when(k % 4 == 1, F.concat(F.lit("0300"), F.lpad(k.cast("string"), 8, "5"))).when(k % 4 == 2, F.col("c_mktsegment")).otherwise("x")
+    return read(spark, d, "customer").select("c_custkey", pii.display(text).alias("shown"))
 
 
 @query("pii3_summary")
@@ -350,6 +418,25 @@ def _(spark, d):
     return pii.ages_over_89(read(spark, d, "part").select((F.col("p_size") * 2).alias("patient_age")), "patient_age")
 
 
+def _plurals(spark, d):
+    seg = F.col("c_mktsegment")
+    return read(spark, d, "customer").select(F.when(F.col("c_custkey") % 7 == 0, F.concat(seg, F.lit("S"))).otherwise(seg).alias("segment"))
+
+
+PLURALS = "(SELECT CASE WHEN c_custkey % 7 = 0 THEN c_mktsegment || 'S' ELSE c_mktsegment END AS raw, c_mktsegment AS seg FROM customer)"
+
+
+@query("std1_fuzzy_mapping", f"""SELECT 'segment' AS "column", raw AS original, seg AS canonical, count(*) AS n FROM {PLURALS} GROUP BY 2, 3""")
+def _(spark, d):
+    """One letter more is a similarity of 94 and above, so a plural joins its more frequent singular."""
+    return entities.mapping(_plurals(spark, d), ["segment"])
+
+
+@query("std4_fuzzy_rows", row_sql("fuzzy_standardization", "segment", "count(*) FILTER (raw <> seg)", "count(*)", "consistency", PLURALS))
+def _(spark, d):
+    return entities.fuzzy_check(_plurals(spark, d), ["segment"])
+
+
 @query("std1_mapping")
 def _(spark, d):
     return entities.mapping(_spelled(spark, d), ["segment"])
@@ -376,7 +463,7 @@ def _(spark, d):
     return entities.lookup(_cities(spark, d), _names(spark, d))
 
 
-@query("er4_cascade")
+@query("er4_cascade", "SELECT CASE k % 4 WHEN 0 THEN n WHEN 1 THEN lower(n) WHEN 2 THEN 'X' || k ELSE n || 's' END AS value, CAST(1 AS BIGINT) AS n, n AS canonical, CASE WHEN k % 4 = 3 THEN 2 ELSE 1 END AS tier, CASE k % 4 WHEN 1 THEN 0.99::DOUBLE WHEN 3 THEN round(2.0::DOUBLE * length(n) / (2 * length(n) + 1), 4) ELSE 1.0::DOUBLE END AS similarity, 'auto' AS decision FROM (SELECT n_nationkey AS k, n_name AS n FROM nation)")
 def _(spark, d):
     return entities.resolve(_cities(spark, d), _names(spark, d))
 
@@ -415,7 +502,15 @@ def _(spark, d):
     return forecast.leakage(own, "l_extendedprice", ["l_quantity", "l_tax", "doubled", "line_id"])
 
 
-@query("rd5_readiness")
+RD5 = f"""WITH t AS (SELECT CASE WHEN sum(n) >= 30 THEN 50.0::DOUBLE ELSE sum(n) * 50.0 / 30 END AS o, least(1.0::DOUBLE, floor((max(d) - min(d)) / 365) / 2) * 50 AS c, sum(n) >= 30 AND floor((max(d) - min(d)) / 365) >= 2 AS fine,
+  round(100 * greatest(0.0, round(greatest(0.0, count(*)::DOUBLE / (max(d) - min(d) + 1) - (sum(n) - count(*))::DOUBLE / sum(n)), 4)), 2) AS i, sum(n) > count(*) AS repeats FROM {DAYS}),
+g AS (SELECT round(greatest(0.0, 100.0 - round(100.0 * count(*) FILTER (o_totalprice = 0) / count(o_totalprice), 2) * 0.5 - round(100.0 * count(*) FILTER (o_totalprice < q1 - 1.5 * (q3 - q1) OR o_totalprice > q3 + 1.5 * (q3 - q1)) / count(*), 2)), 2)::DOUBLE AS g
+  FROM orders, (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders)),
+l AS (SELECT CASE WHEN abs(corr(o_custkey, o_totalprice)) > 0.99 OR abs(corr(o_orderkey, o_totalprice)) > 0.99 THEN 0.0::DOUBLE WHEN count(DISTINCT o_orderkey)::DOUBLE / count(*) > 0.95 THEN 50.0::DOUBLE ELSE 100.0::DOUBLE END AS l FROM orders)
+SELECT round(o + c, 2) AS temporal_score, i AS interval_score, g AS target_score, l AS leakage_score, round(round(o + c, 2) * 0.30::DOUBLE + i * 0.20::DOUBLE + g * 0.30::DOUBLE + l * 0.20::DOUBLE, 2) AS overall_score, CASE WHEN repeats THEN 'duplicate_dates' ELSE '' END AS blockers, CASE WHEN repeats OR NOT fine THEN 'not_ready' ELSE 'ready' END AS status FROM t, g, l"""
+
+
+@query("rd5_readiness", RD5)
 def _(spark, d):
     return forecast.readiness(read(spark, d, "orders"), "o_orderdate", "o_totalprice", ["o_custkey", "o_orderkey"])
 
@@ -435,7 +530,9 @@ def _(spark, d):
 
 
 @query("ag21_composite", f"""WITH w AS (SELECT score, CASE dimension WHEN 'completeness' THEN 0.18::DOUBLE WHEN 'outlier_risk' THEN 0.04::DOUBLE ELSE 0.14::DOUBLE END AS w FROM ({DIMENSIONS})), s AS (SELECT round(sum(score * w) / sum(w), 2) AS q, round(sum(w), 2) AS f FROM w)
-SELECT q AS data_quality_score, f AS scorable_fraction, 'validity,uniqueness,schema_quality,freshness,privacy_sensitivity' AS excluded, least(q, 74.0::DOUBLE) AS compliance_adjusted_score, 'Fair' AS rating, 'Ready with Moderate Cleaning' AS readiness FROM s""")
+SELECT q AS data_quality_score, f AS scorable_fraction, 'validity,uniqueness,schema_quality,freshness,privacy_sensitivity' AS excluded, a AS compliance_adjusted_score,
+CASE WHEN a >= 90 THEN 'Excellent' WHEN a >= 75 THEN 'Good' WHEN a >= 55 THEN 'Fair' ELSE 'Poor' END AS rating, CASE WHEN a >= 90 THEN 'Ready' WHEN a >= 75 THEN 'Ready with Minor Cleaning' WHEN a >= 55 THEN 'Ready with Moderate Cleaning' ELSE 'Not Recommended' END AS readiness
+FROM (SELECT *, least(q, 74.0::DOUBLE) AS a FROM s)""")
 def _(spark, d):
     return scoring.capped(scoring.composite(scoring.dimensions(_results(spark, d))), "medium")
 
@@ -455,10 +552,12 @@ def _(spark, d):
     return scoring.top_issues(_results(spark, d))
 
 
-@query("ag22_privacy_risk", "SELECT CAST(5 AS BIGINT) AS columns, CAST(1 AS BIGINT) AS pii_columns, 'medium' AS risk")
+@query("ag22_privacy_risk", f"""WITH h AS (SELECT count(*) FILTER (type IS NOT NULL) > 0 AS held FROM {TYPED}), c AS (SELECT 4 AS n, CAST(held AS INTEGER) AS p FROM h)
+SELECT CAST(n AS BIGINT) AS columns, CAST(p AS BIGINT) AS pii_columns, CASE WHEN p = 0 THEN 'none' WHEN p / n < 0.1 THEN 'low' WHEN p / n < 0.3 THEN 'medium' ELSE 'high' END AS risk FROM c""")
 def _(spark, d):
-    held = pii.summary(read(spark, d, "documents")).select("column").distinct().withColumn("pii", F.lit(True))
-    columns = spark.createDataFrame([(c,) for c in DOCUMENTS], "column string").join(held, "column", "left")
+    cells = _cells(spark, d)
+    held = pii.summary(cells).select("column").distinct().withColumn("pii", F.lit(True))
+    columns = spark.createDataFrame([(c,) for c in cells.columns], "column string").join(held, "column", "left")
     return scoring.privacy_risk(columns.select("column", F.coalesce("pii", F.lit(False)).alias("pii")))
 
 
@@ -469,7 +568,7 @@ def _runs(spark, d):
 RUNS = "(SELECT CAST(user_id % 10 AS VARCHAR) AS client, event_type AS file, event_id AS completed_at, round(value, 2) AS score, CASE WHEN event_id % 9 = 0 THEN 'failed' ELSE 'completed' END AS status FROM events)"
 
 
-@query("er6_trend", f"SELECT client, file, completed_at, score, status, change, CASE WHEN change IS NULL THEN 'first' WHEN change > 0.05 THEN 'up' WHEN change < -0.05 THEN 'down' ELSE 'flat' END AS direction FROM (SELECT *, round(score - lag(score) OVER (PARTITION BY client, file ORDER BY completed_at), 2) AS change FROM {RUNS})")
+@query("er6_trend", f"SELECT client, file, completed_at, score, status, change, CASE WHEN change IS NULL THEN 'first' WHEN change > 0.05 THEN 'up' WHEN change < -0.05 THEN 'down' ELSE 'flat' END AS direction FROM (SELECT *, round(score - lag(score) OVER (PARTITION BY client, file ORDER BY completed_at), 2) AS change FROM {RUNS} WHERE status = 'completed')")
 def _(spark, d):
     return scoring.trend(_runs(spark, d))
 
@@ -479,9 +578,22 @@ def _(spark, d):
     return scoring.client_stats(_runs(spark, d))
 
 
-@query("ag26_sheets", f"SELECT round(avg(score), 2) AS score, CAST(sum(completed_at) AS BIGINT) AS rows, max(status) AS columns, count(*) AS sheets FROM {RUNS}")
+SHEETS = "(SELECT event_type AS sheet, round(avg(value), 2) AS score, count(*) AS rows, length(event_type) AS columns FROM events GROUP BY 1)"
+
+
+def _sheets(spark, d):
+    return read(spark, d, "events").groupBy(F.col("event_type").alias("sheet")).agg(F.round(F.avg("value"), 2).alias("score"), F.count("*").alias("rows")).withColumn("columns", F.length("sheet").cast("long"))
+
+
+@query("ag26_sheets", f"SELECT round(avg(score), 2) AS score, CAST(sum(rows) AS BIGINT) AS rows, CAST(max(columns) AS BIGINT) AS columns, count(*) AS sheets FROM {SHEETS}")
+def _(spark, d):
+    return scoring.sheets(_sheets(spark, d))
+
+
+@query("ag26_sheet_dimensions", "SELECT CASE WHEN user_id % 2 = 0 THEN 'validity' ELSE 'completeness' END AS dimension, round(avg(CASE WHEN event_id % 5 > 0 THEN value END), 2) AS score, count(value) FILTER (event_id % 5 > 0) AS sheets FROM events GROUP BY 1")
 def _(spark, d):
-    return scoring.sheets(_runs(spark, d).select(F.col("file").alias("sheet"), "score", F.col("completed_at").alias("rows"), F.col("status").alias("columns")))
+    rows = read(spark, d, "events").select(F.col("event_id").alias("sheet"), F.when(F.col("user_id") % 2 == 0, "validity").otherwise("completeness").alias("dimension"), F.when(F.col("event_id") % 5 > 0, F.col("value")).alias("score"))
+    return scoring.sheet_dimensions(rows)
 
 
 @query("str_completeness", "SELECT CAST(ts AS DATE) AS day, count(*) AS rows, CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END + CASE WHEN props IS NULL THEN 1 ELSE 0 END + CASE WHEN user_id IS NULL THEN 1 ELSE 0 END + CASE WHEN event_id IS NULL THEN 1 ELSE 0 END + CASE WHEN event_type IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM events GROUP BY 1")
@@ -549,3 +661,194 @@ def _(spark, d):
 )
 def _(spark, d):
     return read(spark, d, "lineitem").groupBy(values.frequency(F.col("l_quantity") * F.col("l_linenumber")).alias("frequency")).agg(F.count("*").alias("n"))
+
+
+NUMBERS = ("1e3", "+5", "5.", " 12 ", "inf", "nan", "1,000", "1d", "0x1A", "", "-.5")
+VALUES = (1000.0, 5.0, 5.0, 12.0, float("inf"), None, None, None, None, None, -0.5)
+
+
+@query("sc1_to_numeric", "SELECT c_custkey, CASE c_custkey % 11 WHEN 0 THEN 1000 WHEN 1 THEN 5 WHEN 2 THEN 5 WHEN 3 THEN 12 WHEN 4 THEN 999 WHEN 10 THEN -0.5 END::DOUBLE AS v FROM customer")
+def _(spark, d):
+    text = F.element_at(F.array(*map(F.lit, NUMBERS)), (F.col("c_custkey") % 11 + 1).cast("int"))
+    v = values.number(text)
+    return read(spark, d, "customer").select("c_custkey", F.when(F.abs(v) == float("inf"), 999.0).otherwise(v).alias("v"))
+
+
+@query("sc7_safe_normal", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'strasse fi ' || lower(c_mktsegment) WHEN 1 THEN 'a b c' ELSE NULL END AS v FROM customer")
+def _(spark, d):
+    k = F.col("c_custkey") % 3
+    text = F.when(k == 0, F.concat(F.lit("  Stra\u00dfe  \ufb01\t"), "c_mktsegment")).when(k == 1, "A,b;\u3000C!")
+    return read(spark, d, "customer").select("c_custkey", values.safe_normal(punctuation=True)(text).alias("v"))
+
+
+@query("sc17_json_rows", "SELECT '{\"c_custkey\":' || c_custkey || ',\"seg\":' || CASE WHEN c_custkey % 3 = 0 THEN 'null' ELSE '\"' || c_mktsegment || '\"' END || ',\"x\":null}' AS json FROM customer")
+def _(spark, d):
+    own = read(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("seg"), F.lit(float("nan")).alias("x"))
+    return values.json_rows(own)
+
+
+@query("flt6_skipped", """SELECT * FROM (VALUES ('cross_column_dates', 'Expected Del Date >= Order Date', 'skipped_columns_not_present'), ('cross_column_dates', 'Expected  Del. Date >= SO Date Created', 'skipped_columns_not_present'), ('non_negative', 'Order Qty', 'skipped_non_measurement_column'), ('suspicious_zero', 'Standard Cost', 'skipped_non_measurement_column')) v(check_name, "column", reason)""")
+def _(spark, d):
+    own = read(spark, d, "lineitem").select(F.col("l_shipdate").alias("Ship Date"), F.col("l_shipdate").alias("Order Date"), F.col("l_quantity").alias("Order Qty"), F.col("l_tax").alias("Standard Cost"))
+    return checks.skipped(own, {"Order Qty": "identifier", "Standard Cost": "categorical"}).select("check_name", "column", "reason")
+
+
+@query("jn1_unlike_reference", "SELECT 'c_name' AS \"column\", 'passed' AS status, CAST(0 AS BIGINT) AS issues_found, 'reference_type_mismatch' AS reason FROM (SELECT count(*) FROM customer)")
+def _(spark, d):
+    named = read(spark, d, "customer").select(F.concat(F.col("c_mktsegment"), F.lit(" Systems Ltd")).alias("c_name"))
+    return checks.integrity(named, "c_name", read(spark, d, "customer"), "c_custkey").select("column", "status", "issues_found", "reason")
+
+
+@query("jn3_references", "SELECT * FROM (VALUES ('Customer No.', 'code', NULL), ('Main Customer', 'name', NULL), ('Last Supplier', NULL, 'reference_type_mismatch')) v(\"column\", kind, reason)")
+def _(spark, d):
+    k = F.col("c_custkey")
+    orders = read(spark, d, "customer").select(F.concat(F.lit("C"), k.cast("string")).alias("Customer No."), F.concat("c_mktsegment", F.lit(" Systems Ltd")).alias("Main Customer"), F.concat("c_mktsegment", F.lit(" Trading Co.")).alias("Last Supplier"))
+    codes, names = orders.select(F.col("`Customer No.`").alias("value")), orders.select(F.col("Main Customer").alias("value"))
+    suppliers = read(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("value"))
+    found = checks.match_references(orders, [(("customer no.", "main customer"), codes, names), (("last supplier",), suppliers, None)])
+    return spark.createDataFrame([(c, kind, why) for c, (kind, why) in found.items()], "column string, kind string, reason string")
+
+
+@query("jn8_manifests", "SELECT o_orderkey AS run_id, o_orderkey % 2 = 0 AND o_orderkey % 6 = 0 AS has_compliance FROM orders")
+def _(spark, d):
+    run = F.col("o_orderkey")
+    manifests = read(spark, d, "orders").where(run % 2 == 0).select(run.alias("run_id"), F.array(F.lit(None).cast("string"), F.when(run % 6 == 0, "c.html").otherwise("")).alias("sheets"))
+    return scoring.with_manifests(read(spark, d, "orders").select(run.alias("run_id")), manifests)
+
+
+@query(
+    "rul10_results",
+    """WITH n AS (SELECT count(*) AS n FROM orders), r AS (
+    SELECT 'price_range' AS rule_id, 'Price in range' AS rule_name, 'min_max' AS rule_type, 'o_totalprice' AS "column", count(*) FILTER (o_totalprice < 1000 OR o_totalprice > 200000) AS f, 'HIGH' AS severity, 'validity' AS dimension FROM orders
+    UNION ALL SELECT 'status_allowed', 'status_allowed', 'allowed_values', 'o_orderstatus', count(*) FILTER (lower(o_orderstatus) NOT IN ('f', 'o')), 'MEDIUM', 'validity' FROM orders
+    UNION ALL SELECT 'date_kind', 'date_kind', 'datatype', 'o_orderdate', count(*) FILTER (o_orderdate IS NULL), 'MEDIUM', 'validity' FROM orders
+    UNION ALL SELECT 'not_after_today', 'not_after_today', 'cross_column', 'o_orderdate+$TODAY', count(*) FILTER (o_orderdate > now()), 'MEDIUM', 'validity' FROM orders
+    UNION ALL SELECT 'customer_unique', 'customer_unique', 'unique', 'o_custkey', (SELECT CAST(sum(c - 1) AS BIGINT) FROM (SELECT count(*) AS c FROM orders GROUP BY o_custkey)), 'LOW', 'uniqueness' FROM n)
+    SELECT rule_id, rule_name, rule_type, "column", CASE WHEN f > 0 THEN 'failed' ELSE 'passed' END AS status, f AS failed_records, round(f * 100.0::DOUBLE / n, 4) AS failed_pct, severity, 'Validation rule failure affects data quality.' AS business_impact, 'Review and fix failed records at ingestion.' AS recommendation, dimension FROM r, n
+    UNION ALL SELECT 'bad_kind', 'bad_kind', 'datatype', 'o_custkey', 'error', 0, 0.0, 'MEDIUM', 'Validation rule failure affects data quality.', '''colour''', 'validity'""",
+)
+def _(spark, d):
+    spec = {"rules": [{"id": "price_range", "name": "Price in range", "type": "min_max", "column": "o_totalprice", "min": 1000.0, "max": 200000.0, "severity": "high"}, {"id": "status_allowed", "type": "allowed_values", "column": "o_orderstatus", "allowed_values": ["f", "O"]}, {"id": "date_kind", "type": "datatype", "column_pattern": "orderdate", "expected_type": "date"}, {"id": "not_after_today", "type": "cross_column", "left": "o_orderdate", "right": "$TODAY", "op": "<="}, {"id": "customer_unique", "type": "unique", "column": "o_custkey", "severity": "low"}, {"id": "bad_kind", "type": "datatype", "column": "o_custkey", "expected_type": "colour"}]}
+    return checks.rule_results(read(spark, d, "orders"), checks.load_rules(spec))
+
+
+@query("tk1_failing_ids", "SELECT 'price_range:o_totalprice' AS label, o_orderkey AS _rid FROM orders WHERE o_totalprice > 200000 ORDER BY o_orderkey LIMIT 100")
+def _(spark, d):
+    rules = [checks.Rule("price_range", "min_max", ("o_totalprice",), high=200000.0), checks.Rule("none", "required", ("o_orderkey",))]
+    return checks.failing_ids(read(spark, d, "orders").withColumn("_rid", F.col("o_orderkey")), rules)
+
+
+@query("ag28_first_seen", "SELECT c_mktsegment AS value, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY 1")
+def _(spark, d):
+    return entities.first_seen(read(spark, d, "customer"), "c_mktsegment", "c_custkey")
+
+
+@query("er4_three_tiers", """WITH c AS (SELECT 'n' || vec_id AS name, embedding AS e FROM embeddings WHERE vec_id < 5), m AS (SELECT 'v' || v.vec_id AS value, c.name, round(list_dot_product(v.embedding::DOUBLE[], c.e::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(c.e::DOUBLE[], c.e::DOUBLE[]))), 6) AS s FROM embeddings v, c QUALIFY row_number() OVER (PARTITION BY v.vec_id ORDER BY s DESC, name DESC) = 1)
+SELECT value, CASE WHEN s >= 0.70 THEN name END AS canonical, CASE WHEN s >= 0.70 THEN 3 ELSE 0 END AS tier, CASE WHEN s >= 0.78 THEN 'auto' WHEN s >= 0.70 THEN 'review' ELSE 'no_match' END AS decision, s < 0.78 AS requires_review, CASE WHEN s < 0.70 THEN 'below_all_thresholds' END AS reason FROM m""")
+def _(spark, d):
+    v = read(spark, d, "embeddings")
+    value = F.concat(F.lit("v"), F.col("vec_id").cast("string"))
+    listed = v.where("vec_id < 5").select(F.concat(F.lit("n"), F.col("vec_id").cast("string")).alias("name"), F.col("embedding").alias("vector"))
+    out = entities.cascade(v.select(value.alias("value"), F.lit(1).cast("long").alias("n")), listed.select("name", F.col("name").alias("canonical")), (v.select(value.alias("value"), F.col("embedding").alias("vector")), listed))
+    return out.select("value", "canonical", "tier", "decision", "requires_review", "reason")
+
+
+def _patients(spark, d):
+    k = F.col("c_custkey")
+    return read(spark, d, "customer").select(F.concat(F.lit("P"), F.lpad(k.cast("string"), 7, "0")).alias("patient_id"), F.concat(F.lit("c"), k.cast("string"), F.lit("@mail.com")).alias("email"), F.when(k % 3 == 0, F.lit("1M8GDM9AXKP042788")).when(k % 3 == 1, F.lit("1M8GDM9A1KP042788")).alias("vehicle_id"), (k % 100).alias("patient_age"), F.lit("~").alias("record_id"))
+
+
+PHI = """SELECT 'patient_id' AS "column", 'hipaa_08_medical_record' AS identifier, 'MRN' AS type, count(*) AS hits, 0.9::DOUBLE AS confidence, 'regex' AS method FROM customer
+UNION ALL SELECT 'email', 'hipaa_06_email', 'EMAIL', count(*), 0.85, 'presidio' FROM customer
+UNION ALL SELECT 'vehicle_id', 'hipaa_12_vehicle_identifier', 'VIN', count(*) FILTER (c_custkey % 3 = 0), 0.92, 'regex' FROM customer
+UNION ALL SELECT 'patient_age', 'hipaa_03_dates', 'AGE_OVER_89', count(*) FILTER (c_custkey % 100 >= 90), 0.9, 'age_heuristic' FROM customer"""
+
+
+def _phi(spark, d):
+    df = _patients(spark, d)
+    facts = classify.profile(df).select("column", "rows", "distinct")
+    return compliance.identify(pii.summary(df), df.columns, facts, pii.ages_over_89(df, "patient_age").select(F.lit("patient_age").alias("column"), "age_over_89"))
+
+
+@query("hp5_identify", PHI)
+def _(spark, d):
+    return _phi(spark, d)
+
+
+@query("hp6_posture", f"WITH f AS ({PHI}) SELECT 'PHI_DETECTED' AS status, 'PARTIAL_SCOPE' AS scope, string_agg(DISTINCT identifier, ',' ORDER BY identifier) AS identifiers_found, string_agg(DISTINCT \"column\", ',' ORDER BY \"column\") AS columns_with_phi, CAST(sum(hits) AS BIGINT) AS hits, 'hipaa_16_biometric,hipaa_17_full_face_photo' AS not_assessed, '' AS warnings FROM f WHERE hits > 0")
+def _(spark, d):
+    return compliance.posture(_phi(spark, d))
+
+
+@query("hp6_check_rows", f"WITH f AS ({PHI}) SELECT \"column\", CAST(sum(hits) AS BIGINT) AS issues_found, 'failed' AS status FROM f GROUP BY 1 UNION ALL SELECT '*', CAST(sum(hits) AS BIGINT), 'failed' FROM f")
+def _(spark, d):
+    return compliance.check_rows(_phi(spark, d)).select("column", "issues_found", "status")
+
+
+@query("hp7_exposure_columns", f"WITH f AS ({PHI}) SELECT 'PHI_DETECTED' AS status, count(DISTINCT identifier) AS identifiers_detected, count(DISTINCT \"column\") AS columns_affected, CAST(sum(hits) AS BIGINT) AS hits, round(least(100.0, least(100.0, count(DISTINCT identifier) * 10.0) + least(30.0, count(DISTINCT \"column\") * 3.0) + least(40.0, log10(sum(hits)) * 15.0) + 20.0), 2)::DOUBLE AS exposure_score, CASE WHEN count(DISTINCT identifier) >= 4 THEN 'high' ELSE 'medium' END AS severity FROM f WHERE hits > 0")
+def _(spark, d):
+    return pii.exposure(_phi(spark, d))
+
+
+@query("hp4_by_column", "SELECT 'record_id' AS \"column\", 'hipaa_18_other_unique_id' AS identifier, 'UNIQUE_ID' AS type, count(*) AS hits, 0.99::DOUBLE AS confidence, 'column_header_heuristic' AS method FROM customer")
+def _(spark, d):
+    """Names without a pattern in any cell, but a distinct value in each row."""
+    df = read(spark, d, "customer").select(F.concat(F.lit("~"), F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij")).alias("record_id"), F.lit("x").alias("claim_id"))
+    return compliance.identify(pii.summary(df), df.columns, classify.profile(df).select("column", "rows", "distinct"))
+
+
+@query("hp1_registry", "SELECT count(*) AS identifiers, count(*) FILTER (i NOT IN (16, 17)) AS assessed, CAST(sum(i) AS BIGINT) AS numbers FROM range(1, 19) r(i)")
+def _(spark, d):
+    return compliance.registry(spark).agg(F.count("*").alias("identifiers"), F.count_if("assessed").alias("assessed"), F.sum("number").alias("numbers"))
+
+
+@query("ag23_ceilings", "SELECT c_custkey, least(s, CASE c_custkey % 4 WHEN 0 THEN 70 WHEN 1 THEN 74 WHEN 2 THEN 89 ELSE CASE WHEN c_custkey % 100 > 0 THEN round(100.0 - (c_custkey % 100) / 100.0::DOUBLE * 30.0, 2) ELSE 100 END END::DOUBLE) AS compliance_adjusted_score FROM (SELECT c_custkey, 60.0::DOUBLE + c_custkey % 41 AS s FROM customer)")
+def _(spark, d):
+    k = F.col("c_custkey")
+    own = read(spark, d, "customer").select("c_custkey", (F.lit(60.0) + k % 41).alias("data_quality_score"))
+    level = F.element_at(F.array(*map(F.lit, ("high", "medium", "low", "none"))), (k % 4 + 1).cast("int"))
+    return scoring.capped(own, level, (k % 100).cast("double")).select("c_custkey", "compliance_adjusted_score")
+
+
+def _written(spark, name: str) -> str:
+    """A folder of its own beside the session's shared one."""
+    import tempfile
+    import uuid
+
+    place = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tabtrust-")
+    return f"{place}/sources/{uuid.uuid4().hex}/{name}"
+
+
+@query("src2_csv", "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS _rid, CAST(o_orderkey AS VARCHAR) AS \"Order No\", o_orderstatus AS \"Order Status\", CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_custkey AS VARCHAR) END AS \"Customer No.\" FROM orders")
+def _(spark, d):
+    """Orders as a semicolon file with a header and rows that are all blank, and back."""
+    path = _written(spark, "orders.csv")
+    lines = read(spark, d, "orders").select("o_orderkey", F.concat_ws(";", F.col("o_orderkey").cast("string"), "o_orderstatus", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_custkey").cast("string")).otherwise("N/A")).alias("line"))
+    blank = lines.where("o_orderkey % 50 = 0").select("o_orderkey", F.lit(";;").alias("line"))
+    head = spark.createDataFrame([(-1, "Order No;Order Status;Customer No.")], "o_orderkey long, line string")
+    head.unionByName(lines).unionByName(blank).orderBy("o_orderkey").coalesce(1).select("line").write.text(path)
+    return next(iter(tables.load(spark, path).values()))
+
+
+@query("src12_preview", "SELECT o_orderkey AS _rid FROM orders WHERE o_orderkey BETWEEN 15 AND 25")
+def _(spark, d):
+    return tables.preview(read(spark, d, "orders").select(F.col("o_orderkey").alias("_rid")), 20)
+
+
+@query("src13_reference_values", "SELECT DISTINCT trim(c_mktsegment) AS value FROM customer")
+def _(spark, d):
+    return tables.reference_values(read(spark, d, "customer").select(F.concat(F.lit(" "), "c_mktsegment").alias("Customer Code "), "c_name"), ("customer no.", "customer code"))
+
+
+@query("tk6_runs", "SELECT event_id AS run_id, completed_at FROM (SELECT event_id, event_id AS completed_at FROM events WHERE user_id % 10 = 3) ORDER BY completed_at DESC LIMIT 50")
+def _(spark, d):
+    path = _written(spark, "runs")
+    tables.append(read(spark, d, "events").select(F.col("event_id").alias("run_id"), (F.col("user_id") % 10).cast("string").alias("client"), F.col("event_id").alias("completed_at")), path)
+    return tables.runs(spark, path, "3").select("run_id", "completed_at")
+
+
+@query("prj1_columns", "SELECT o_orderkey - (SELECT min(o_orderkey) FROM orders) AS _rid, o_orderstatus FROM orders")
+def _(spark, d):
+    own = read(spark, d, "orders")
+    first = own.agg(F.min("o_orderkey")).first()[0]
+    return checks.scope(own.withColumn("_rid", F.col("o_orderkey") - first), columns=["o_orderstatus"])

@@ -29,7 +29,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL.keys() - {"ag22_privacy_risk", "ag21_composite"}))
+@pytest.mark.parametrize("name", sorted(catalog.SQL.keys()))
 def test_same_rows(spark, duck, name):
     df = catalog.QUERIES[name](spark, DATA)
     cursor = duck.execute(catalog.SQL[name])
