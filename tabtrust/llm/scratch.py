@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import functools
 import inspect
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 #: Tables of at most so many rows, whose width is fixed, are broadcast; larger ones take a shuffled join.
 BROADCAST_ROWS = 200_000
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+_WATCHED = False
 
 
 def folder(spark: SparkSession) -> str:
@@ -29,10 +32,33 @@ def folder(spark: SparkSession) -> str:
     return place
 
 
+def _place(spark: SparkSession) -> str:
+    return f"{folder(spark)}/tabtrust/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that this application wrote; results that were made of them can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_place(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _clear_last() -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        if (spark := SparkSession.getActiveSession()) is not None and spark.conf.get("spark.checkpoint.dir", None):
+            clear(spark)
+
+
 def table(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
+    """Write df as Parquet in the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
+
+    Tables are in a folder of the application, which is deleted when the driver's Python ends, or by `clear`.
+    """
+    global _WATCHED
+    if not _WATCHED:
+        atexit.register(_clear_last)
+        _WATCHED = True
     spark = df.sparkSession
-    path = f"{folder(spark)}/tabtrust/{name}-{uuid.uuid4().hex}"
+    path = f"{_place(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

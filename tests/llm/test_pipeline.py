@@ -46,3 +46,22 @@ def test_stages(spark):
 def test_run(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_join", "secrets", "mixing", "packing"]
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_stages_with_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing extra columns and an empty table go through every stage."""
+    long = "word and more words. " * 30_000
+    rows = [(None, "text without id", "en", None, None), (1, None, None, "a", 3), (2, "", "en", "a", 0), (3, long, None, None, None), (4, "same words here", "en", "b", 15), (4, "same words here", "en", "b", 15), (2**53 + 1, "api_key = abcdef123456", "en", "b", 22)]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, Score long")
+    for table in (docs, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = scratch.table(stage(spark, table, DATA), name)
+            assert kept.columns == docs.columns
+            assert kept.count() <= table.count() or name == "mixing"
+            table = kept
+        pieces = corpus_pipeline.packed(spark, table, DATA).collect()
+        assert len([p for p in pieces if p["start"] == 0]) == table.count()
+    masked = corpus_pipeline.masked(spark, docs, DATA).collect()
+    assert len(masked) == len(rows) and [r["text"] for r in masked if r["doc_id"] == 2**53 + 1] == ["[assign]"]
+    near = corpus_pipeline.near_copies(spark, docs, DATA)
+    assert {r["doc_id"] for r in near.collect()} == {r[0] for r in rows}

@@ -72,3 +72,40 @@ def test_long_literals():
     for text in (f'private_key_auth = "{value}"\n', f"credentials: '{value}'\n"):
         assert [(text[s:e], k) for s, e, k in secrets.spans(text)] == [(value, "literal")]
     assert secrets.spans('x = ' + '"\\' * 200_001 + "\n" + "y = '\\" + "\\\"" * 200_000) == []
+
+
+def plain_literals(text):
+    """Every assignment in turn, with all spans that a name stands for, and all names that each span has reached."""
+    held, reached = {}, {}
+    for name, parts in secrets.pairs(text):
+        own = {(s, e) for _, s, e in parts if s >= 0}
+        known = [held[w] for w, s, _ in parts if s < 0 and w in held]
+        if own or known:
+            held[name] = own.union(*known)
+            for span in held[name]:
+                reached.setdefault(span, set()).add(name)
+    return sorted((s, e, "literal") for (s, e), names in reached.items() if secrets.score(names, text[s:e]) >= secrets.THRESHOLD)
+
+
+def test_constants_against_plain_version():
+    rng = random.Random(9)
+    names = ["a", "b", "k", "title", "api_secret", "client_credential", "password_hash", "color", "jwt", "x.y"]
+    found = 0
+    for _ in range(400):
+        lines = []
+        for _ in range(rng.randint(1, 12)):
+            parts = [rng.choice(names) if rng.random() < 0.5 else '"' + "".join(rng.choices("qX9vR2mL8pT4aB", k=rng.randint(3, 20))) + '"' for _ in range(rng.randint(1, 3))]
+            lines.append(f"{rng.choice(names)} {rng.choice(['=', ':=', ':'])} {' + '.join(parts)}")
+        text = rng.choice(["\n", ";\n"]).join(lines)
+        got = secrets.literals(text)
+        assert got == plain_literals(text), text
+        found += len(got)
+    assert found > 300
+
+
+def test_many_lines_are_linear():
+    import time
+
+    began = time.process_time()
+    assert len(secrets.spans("".join(f"client_credential = qX9vR2mL{i:06d}\n" for i in range(160_000)))) == 160_000
+    assert time.process_time() - began < 30

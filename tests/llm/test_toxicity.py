@@ -56,3 +56,18 @@ def test_sample_is_bounded(spark):
     long = toxicity.fit(spark.createDataFrame([(d, t if d else "x" * 10_000) for d, t in rows], "doc_id long, text string"), labels, sample_chars=5000)
     assert long.constant is None
     assert toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, sample_chars=30).constant is not None
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_scores_by_definition(spark):
+    """One minus the chance that no sentence is toxic, each from its own words."""
+    small = DATA.replace("sf0.01", "sf0.001")
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in toxicity.score(docs, model).collect():
+        clean = 1.0
+        for sentence in toxicity.SENTENCE.findall(texts[r["doc_id"]].lower()) or [""]:
+            logit = model.bias + sum(model.weights.get(f, 0.0) for w in set(toxicity.WORD.findall(sentence)) for f in toxicity.word_features(w))
+            clean *= 1 - 1 / (1 + math.exp(-logit))
+        assert r["score"] == pytest.approx(1 - clean, abs=1e-9) and r["predicted"] == int(r["score"] >= 0.5)
