@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 SUPPORTED = (".xlsx", ".xlsm", ".xltx", ".xltm", ".xls", ".csv")
 MAX_BYTES = 200 * 1024 * 1024
 SCAN_ROWS, LOOK_AHEAD = 15, 5
+MIN_CONFIDENCE = 0.8
 #: Cells that a CSV reader takes as null, words of header cells, and forms of ids and numbers.
 NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 HEADER_WORD = re.compile(r"(name|code|date|desc|qty|quantity|address|customer|supplier|product|ref|amount|price|cost|site|order|invoice|phone|fax|country|city|post|number|line|status|currency|margin|stock|lot|pack|value|terms|vat)", re.I)
@@ -43,6 +44,16 @@ def encoding(head: bytes) -> str:
     return "utf-8"
 
 
+def encoding_check(head: bytes) -> dict:
+    """(status, encoding, confidence, reason) of the first bytes of a text file: a byte-order mark or strict UTF-8 is sure; other
+    bytes could be any one-byte encoding, so their confidence is under the least that passes, and the encoding is a proposal."""
+    if not head:
+        return {"status": "failed", "encoding": None, "confidence": 0.0, "reason": "empty_bytes"}
+    found = encoding(head)
+    sure = 1.0 if found in ("utf-8-sig", "utf-16") or head.isascii() else 0.99 if found == "utf-8" else 0.73 if found == "cp1252" else 0.5
+    return {"status": "passed" if sure >= MIN_CONFIDENCE else "failed", "encoding": found, "confidence": sure, "reason": None if sure >= MIN_CONFIDENCE else "low_confidence"}
+
+
 def kind(spark: SparkSession, path: str) -> tuple[str, bytes]:
     """(csv, xlsx or xls; first 100,000 bytes) of a file, read by Spark so that any store does."""
     name = path.rstrip("/").rsplit("/", 1)[-1]

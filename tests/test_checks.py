@@ -4,7 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabtrust.functions import values
-from tabtrust.operators import checks, classify, entities, forecast, pii, scoring
+from tabtrust.operators import checks, classify, compliance, entities, forecast, pii, scoring
+from tabtrust.plans import pipeline
+from tabtrust.sources import tables
+from tabtrust.streaming import profile as streams
 
 
 def only(df):
@@ -155,3 +158,79 @@ def test_repair(spark):
     bad = "café".encode().decode("cp1252")
     got = spark.createDataFrame([(bad,), ("plain",), (None,)], "t string").select(values.repaired(F.col("t")).alias("t")).collect()
     assert [r["t"] for r in got] == ["café", "plain", None]
+
+
+def test_quantiles_in_bounded_memory(spark):
+    """Exact quartiles, whatever few values a pass holds; ties, one value only, and columns without numbers."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    own = {"a": rng.standard_normal(20_000), "b": rng.integers(0, 5, 20_000).astype(float), "c": np.full(20_000, 3.0), "d": np.exp(4 * rng.standard_normal(20_000))}
+    rows = list(zip(*(v.tolist() for v in own.values()), strict=True))
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").withColumn("e", F.lit(None).cast("double"))
+    got = checks.quantiles(df, [F.col(c) for c in df.columns], (0.25, 0.5, 0.9), held=50, accuracy=40)
+    for (n, q), v in zip(got, own.values(), strict=False):
+        assert n == 20_000 and q == pytest.approx(np.quantile(v, (0.25, 0.5, 0.9)).tolist(), rel=1e-12)
+    assert got[4] == (0, [None, None, None])
+
+
+def test_rule_files(spark, tmp_path):
+    import json
+
+    (tmp_path / "base.json").write_text(json.dumps({"rules": [{"id": "a", "type": "required", "column": "x"}], "settings": {"deep": {"k": 1, "l": 2}}}))
+    (tmp_path / "own.json").write_text(json.dumps({"rules": [{"id": "b", "type": "min_max", "column": "y", "max": 5, "severity": "high"}]}))
+    assert [r.id for r in checks.read_rules(spark, str(tmp_path / "base.json"))] == ["a"]
+    assert [(r.id, r.severity) for r in checks.read_rules(spark, str(tmp_path / "base.json"), str(tmp_path / "own.json"))] == [("b", "HIGH")]
+    assert checks.merged_spec({"a": {"k": 1, "l": [1, 2]}, "b": 1}, {"a": {"l": [3]}}) == {"a": {"k": 1, "l": [3]}, "b": 1}
+    (tmp_path / "bad.json").write_text(json.dumps({"rules": [{"id": "b", "type": "colour"}]}))
+    with pytest.raises(ValueError):
+        checks.read_rules(spark, str(tmp_path / "bad.json"))
+
+
+def test_cascade_and_queue(spark):
+    own = spark.createDataFrame([("LHR", 2), ("lahore ", 1), ("Lahor", 1), ("Zzz", 1), (" ", 1), ("lahoreab", 1)], "value string, n long")
+    names = spark.createDataFrame([("Lahore", "Lahore"), ("LHR", "Lahore"), ("Karachi", "Karachi")], "name string, canonical string")
+    got = {r["value"]: r for r in entities.cascade(own, names).collect()}
+    assert (got["LHR"]["tier"], got["lahore "]["tier"], got["Lahor"]["tier"]) == (1, 1, 2)
+    assert (got["Zzz"]["decision"], got["Zzz"]["requires_review"], got["Zzz"]["reason"]) == ("no_match", True, "below_all_thresholds")
+    assert (got[" "]["decision"], got[" "]["requires_review"], got[" "]["reason"]) == ("no_match", False, "empty_value")
+    queue = only(entities.review_queue(entities.cascade(own, names, None), "City", "city"))
+    assert [(r["column"], r["value"], r["candidate"]) for r in queue] == [("City", "lahoreab", "Lahore")] or got["lahoreab"]["decision"] == "auto"
+    types = [{"entity_type": "city", "columns": ("City",), "eligible_roles": ("categorical",)}]
+    assert entities.eligible({"CITY": "categorical", "Name": "categorical"}, types) == {"CITY": "city"}
+    assert entities.eligible({"City": "pii"}, [{**types[0], "eligible_roles": ("pii",)}]) == {}
+
+
+def test_mapping_of_any_size(spark):
+    """More than 500 rows of a mapping are all applied."""
+    df = spark.range(3000).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("c"))
+    found = df.select(F.lit("c").alias("column"), F.col("c").alias("original"), F.upper("c").alias("canonical"))
+    assert entities.standardize(df, "c", found).where(F.col("c") != F.upper("c")).count() == 0
+
+
+def test_assessment_has_compliance(spark):
+    df = spark.createDataFrame([(f"P{i:07d}", f"c{i}@mail.com", i % 100) for i in range(60)], "patient_id string, email string, patient_age long")
+    out = pipeline.assess(df, "2024-01-01")
+    assert {r["identifier"] for r in out.phi.collect()} == {"hipaa_08_medical_record", "hipaa_06_email"}
+    one = out.score.first()
+    assert one["severity"] == "medium" and one["compliance_adjusted_score"] <= 74.0
+    assert compliance.posture(out.phi).first()["status"] == "PHI_DETECTED"
+
+
+def test_encoding_check():
+    assert tables.encoding_check(b"")["reason"] == "empty_bytes" and tables.encoding_check(b"")["status"] == "failed"
+    assert tables.encoding_check("abc é".encode()) == {"status": "passed", "encoding": "utf-8", "confidence": 0.99, "reason": None}
+    low = tables.encoding_check(b"caf\xe9 \x93quoted\x94")
+    assert (low["status"], low["encoding"], low["reason"]) == ("failed", "cp1252", "low_confidence")
+
+
+def test_stream_without_repeats(spark, tmp_path):
+    import datetime as dt
+
+    rows = [(i % 5, dt.datetime(2024, 1, 1, 0, i)) for i in range(10)]
+    spark.createDataFrame(rows, "k long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k long, ts timestamp").parquet(str(tmp_path / "in"))
+    seen = []
+    q = streams.profile_batches(streams.without_repeats(stream, ["k"], "ts"), lambda df, _: seen.extend(r["k"] for r in df.collect()), str(tmp_path / "at"))
+    q.awaitTermination()
+    assert sorted(seen) == [0, 1, 2, 3, 4]
