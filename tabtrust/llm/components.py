@@ -13,6 +13,12 @@ def _state(edges: DataFrame) -> tuple[int, object]:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
+def least_ids(member: DataFrame) -> DataFrame:
+    """member (cid, component, least) -> (cid, component_id): the least id of the component, whose rows stay where they are as long as components are few."""
+    best = table(member.groupBy("component").agg(F.min("least").alias("component_id")), "best")
+    return member.join(small(best, best.count()), "component").select("cid", "component_id")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """edges (a, b) of ids -> (node, component), component the least id reachable; only nodes that have an edge to another.
 

@@ -118,16 +118,18 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
     where: dict[str, list[int]] = {}
     blocks, options, closed, kept = [0], [-1], [-1], [0]
     groups = ((BLOCK, blocks), (OPTIONS, options), (CLOSED, closed), (KEPT, kept))
+    lists: dict[str, list[list[int]]] = {}
 
     def place(tag: str) -> int:
         own = where.get(tag)
         return own[-1] if own else -1
 
     def opened(node: Node) -> None:
-        where.setdefault(node.tag, []).append(len(stack))
-        for tags, places in groups:
-            if node.tag in tags:
-                places.append(len(stack))
+        own = lists.get(node.tag)
+        if own is None:
+            own = lists[node.tag] = [where.setdefault(node.tag, []), *(places for tags, places in groups if node.tag in tags)]
+        for places in own:
+            places.append(len(stack))
         stack.append(node)
 
     def close(to: int) -> None:
@@ -136,11 +138,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
         if blocks[-1] >= to and not (stack[to].dropped and stack[to].tag in CLOSED):
             items.append((stack[to].parent, None))
         while len(stack) > to:
-            tag = stack.pop().tag
-            where[tag].pop()
-            for tags, places in groups:
-                if tag in tags:
-                    places.pop()
+            for places in lists[stack.pop().tag]:
+                places.pop()
 
     token = TOKEN
     while at < size:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabtrust.llm.components import components
+from tabtrust.llm.components import components, least_ids
 from tabtrust.llm.scratch import light, quoted, table, trimmed
 
 WIDTH = 2.4
@@ -157,7 +157,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     member = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     # ids of components are the least vec_id, whatever the class ids
     member = classes.select("cid", "least").join(member, F.col("cid") == F.col("node")).select("cid", "component", "least")
-    member = member.join(member.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("cid", "component_id")
+    member = least_ids(member)
     known = classes.join(linked, "cid", "left").join(member, "cid", "left").select(F.col("vector").alias("v"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     out = flagged.join(known, F.col("vector") == F.col("v"), "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return _result(out, id_col)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabtrust.llm import wordhash
-from tabtrust.llm.components import components
+from tabtrust.llm.components import components, least_ids
 from tabtrust.llm.scratch import light, quoted, small, table, trimmed
 
 SKETCH_BITS = 22
@@ -447,7 +447,7 @@ def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str
         edges = found if edges is None else edges.unionByName(found)
     member = components(edges)
     member = groups.select("cid", "least").join(member, F.col("cid") == F.col("node")).select("cid", "component", "least")
-    member = member.join(member.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("cid", "component_id")
+    member = least_ids(member)
     known = groups.select("cid", "size", "one", "two", "least").join(member, "cid", "left").select("size", "one", "two", F.coalesce("component_id", "least").alias("component_id"))
     out = rows.select("doc_id", "size", "one", "two").join(known, ["size", "one", "two"], "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -458,3 +458,15 @@ def distinct(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col:
     gone = join(docs, n, num, den, id_col, text_col).where(quoted(id_col) != F.col("component_id")).select(quoted(id_col).alias("__gone")).distinct()
     gone = table(gone, "gone")
     return docs.join(small(gone, gone.count()), quoted(id_col) == F.col("__gone"), "left_anti")
+
+
+SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM grams a JOIN grams b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * both_have >= 90 * (len(x.s) + len(y.s) - both_have)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, root) AS (SELECT doc_id, doc_id FROM sets UNION SELECT b, root FROM reached JOIN edges ON doc_id = a WHERE root < b)
+SELECT doc_id, CAST(len(any_value(s)) AS BIGINT) AS n_shingles, min(root) AS component_id FROM reached JOIN sets USING (doc_id) GROUP BY doc_id
+"""

@@ -66,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_join": op9_ngram_join,
     "op10_secrets": op10_secrets,
 }
-SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op6_url_filter": urls.SQL}
+SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op6_url_filter": urls.SQL, "op8_substring": substring.SQL, "op9_ngram_join": ngram_join.SQL}

@@ -425,3 +425,14 @@ def removed(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
 
 def digest(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, most: int = BROADCAST_BYTES) -> DataFrame:
     return removed(docs, length, id_col, text_col, shard_words, most).select(F.col("doc_id").alias(id_col), "n_words", "n_removed", "kept_sha256")
+
+
+SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50)),
+firsts AS (SELECT g, min(doc_id) AS least FROM windows GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM windows JOIN firsts USING (g) WHERE least < doc_id),
+places AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs),
+kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.i) AS text, count(*) AS n FROM places p ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM docs LEFT JOIN kept k USING (doc_id)
+"""

@@ -114,3 +114,10 @@ def test_class_counts_never_part_linked_sets():
         links += linked
         assert ok or not linked
     assert links >= 20 and near.sum() < 60
+
+
+def test_same_rows_as_sql(tables, duck):
+    out = ngram_join.join(tables("documents"))
+    cursor = duck.execute(ngram_join.SQL)
+    assert out.columns == [c[0] for c in cursor.description]
+    assert sorted(map(tuple, out.collect())) == sorted(cursor.fetchall())

@@ -41,3 +41,10 @@ def test_removed_spans(spark):
     w = " ".join(f"w{i}" for i in range(60))
     out = {r["doc_id"]: r for r in substring.removed(spark.createDataFrame([(1, w), (2, "a b " + w + " c")], DOCS)).collect()}
     assert out[2]["kept"] == "a b c" and [tuple(s) for s in out[2]["spans"]] == [(2, 62)] and out[1]["n_removed"] == 0
+
+
+def test_same_rows_as_sql(tables, duck):
+    out = substring.digest(tables("documents"))
+    cursor = duck.execute(substring.SQL)
+    assert out.columns == [c[0] for c in cursor.description]
+    assert sorted(map(tuple, out.collect())) == sorted(cursor.fetchall())
