@@ -272,7 +272,24 @@ def _(spark, d):
     return entities.upsert(old, old.where(F.col("original").cast("int").between(5, 9)).withColumn("canonical", F.lower("canonical")))
 
 
-@query("cl1_classes")
+def classes_sql(table: str, roles: dict[str, tuple[str, str, bool, bool]]) -> str:
+    """column -> (role, legacy role, is double, has a descriptive name); the numbers are computed by the rules of evidence."""
+    parts = []
+    for c, (role, legacy, double, described) in roles.items():
+        plain = legacy in ("measurement", "categorical", "free_text")
+        parts.append(f"""SELECT p.*, '{role}' AS role, '{legacy}' AS legacy_role,
+  greatest(0.0, least(1.0, round(CAST({-0.4 if described else 0.0} + {-0.3 if plain else 0.0} + CASE WHEN d >= 0.98 THEN 0.35 WHEN d >= 0.9 THEN 0.2 WHEN d >= 0.7 THEN 0.1 WHEN d < 0.5 THEN -0.2 ELSE 0 END
+    - CASE WHEN non_null >= 20 AND t >= 0.05 THEN 0.3 ELSE 0 END - {0.2 if double else 0.0} - CASE WHEN "distinct" <= 10 AND non_null > 20 THEN 0.3 ELSE 0 END AS DOUBLE), 3))) AS uniqueness_confidence,
+  greatest(0.0, round(CAST(CASE WHEN d >= 0.98 THEN 0.5 WHEN d >= 0.9 THEN 0.3 WHEN d >= 0.7 THEN 0.1 ELSE 0 END + {-0.2 if plain else 0.0} - CASE WHEN non_null >= 20 AND t >= 0.05 THEN 0.35 ELSE 0 END AS DOUBLE), 4)) AS evidence,
+  false AS expected_unique, '{'medium' if legacy in ('measurement', 'date') else 'low'}' AS importance, 'low' AS sensitivity
+  FROM ({profile_sql(table, (c,))}) p, (SELECT count(DISTINCT {c})::DOUBLE / count({c}) AS d, (SELECT max(n) FROM (SELECT count(*) AS n FROM {table} GROUP BY {c}))::DOUBLE / count({c}) AS t FROM {table})""")
+    return union(parts)
+
+
+MEASURE, PRICE, CATEGORY, DATE = ("measurement", "measurement", False, False), ("financial", "measurement", True, False), ("category", "categorical", False, False), ("date", "date", False, False)
+
+
+@query("cl1_classes", classes_sql("orders", {"o_orderkey": MEASURE, "o_custkey": MEASURE, "o_orderstatus": (*CATEGORY[:3], True), "o_totalprice": PRICE, "o_orderdate": DATE, "o_orderpriority": CATEGORY}))
 def _(spark, d):
     return classify.classes(read(spark, d, "orders"))
 
@@ -437,12 +454,12 @@ def _(spark, d):
     return entities.fuzzy_check(_plurals(spark, d), ["segment"])
 
 
-@query("std1_mapping")
+@query("std1_mapping", f"""SELECT 'segment' AS "column", raw AS original, CASE WHEN raw = trim(lower(raw)) THEN upper(raw) ELSE raw END AS canonical, count(*) AS n FROM {SPELLED} GROUP BY 2, 3""")
 def _(spark, d):
     return entities.mapping(_spelled(spark, d), ["segment"])
 
 
-@query("std4_fuzzy_check")
+@query("std4_fuzzy_check", row_sql("fuzzy_standardization", "segment", "count(*) FILTER (raw = trim(lower(raw)))", "count(*)", "consistency", SPELLED))
 def _(spark, d):
     return entities.fuzzy_check(_spelled(spark, d), ["segment"])
 
