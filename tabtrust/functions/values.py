@@ -178,3 +178,13 @@ def readiness(score: Column) -> Column:
 def frequency(gap_days: Column) -> Column:
     """Label of the median gap between dates."""
     return F.when(gap_days <= 1.5, "daily").when(gap_days.between(5, 9), "weekly").when(gap_days.between(25, 35), "monthly").when(gap_days.between(80, 100), "quarterly").when(gap_days.between(350, 380), "yearly").otherwise("irregular")
+
+
+def range_of(x: Column, cuts: list) -> Column:
+    """The number of sorted, distinct cuts below a value: its range. Counted among every 64th cut first."""
+    if not cuts:
+        return F.lit(0)
+    below = lambda some: F.size(F.filter(some, lambda c: c < x))
+    lists = F.array(*[F.array(*map(F.lit, cuts[i : i + 64])) for i in range(0, len(cuts), 64)])
+    chunk = F.greatest(F.lit(1), below(F.array(*map(F.lit, cuts[::64]))))
+    return ((chunk - 1) * 64 + below(F.element_at(lists, chunk))).cast("int")

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabtrust.functions.values import absent, col, loose_number, moment, normal, number
+from tabtrust.functions.values import absent, col, loose_number, moment, normal, number, range_of
 
 RESULT = "check_name string, column string, status string, issues_found long, total long, quality_ratio double, dimension string, reason string"
 SAMPLE_IDS = 100
@@ -46,15 +46,20 @@ def _row(check: str, column: Column | str, issues: Column, total: Column, dimens
 Tests = tuple[str, str, dict[str, tuple[Column, Column]]]
 
 
-def counted(df: DataFrame, groups: Sequence[Tests]) -> DataFrame:
-    """A row for each label. All tests of all groups are counted by one aggregate, in one pass over the table."""
+#: Further aggregates of one pass, and the RESULT rows that are made of them.
+More = tuple[list[Column], list[Column]]
+
+
+def counted(df: DataFrame, groups: Sequence[Tests], more: Sequence[More] = ()) -> DataFrame:
+    """A row for each label, then those of `more`. All is counted by one aggregate, in one pass over the table."""
     flat = [(check, dimension, label, issue, seen) for check, dimension, tests in groups for label, (issue, seen) in tests.items()]
-    if not flat:
+    aggs = [a for own, _ in more for a in own]
+    if not flat and not aggs:
         return df.sparkSession.createDataFrame([], RESULT)
     bad = [F.count_if(F.coalesce(issue & seen, F.lit(False))).alias(f"b{i}") for i, (_, _, _, issue, seen) in enumerate(flat)]
     all_ = [F.count_if(F.coalesce(seen, F.lit(False))).alias(f"n{i}") for i, (_, _, _, _, seen) in enumerate(flat)]
-    one = df.agg(*bad, *all_)
-    return one.select(F.inline(F.array(*[_row(check, label, F.col(f"b{i}"), F.col(f"n{i}"), dimension) for i, (check, dimension, label, _, _) in enumerate(flat)])))
+    rows = [_row(check, label, F.col(f"b{i}"), F.col(f"n{i}"), dimension) for i, (check, dimension, label, _, _) in enumerate(flat)]
+    return df.agg(*bad, *all_, *aggs).select(F.inline(F.array(*rows, *[r for _, own in more for r in own])))
 
 
 def missing_tests(df: DataFrame) -> list[Tests]:
@@ -80,14 +85,15 @@ def type_kinds(df: DataFrame, column: str) -> DataFrame:
 
 def type_mismatch(df: DataFrame) -> DataFrame:
     """Cells that are not of a column's dominant kind. Typed columns have one kind; text columns where most cells are numbers have two."""
-    tests, plain = {}, {c: k for c, k in kinds(df).items() if k == "string"}
-    if plain:
-        cells = {c: F.nullif(F.trim(col(c)), F.lit("")) for c in plain}
-        one = df.agg(*[F.count_if(loose_number(x).isNotNull()).alias(f"n{i}") for i, x in enumerate(cells.values())], *[F.count(x).alias(f"t{i}") for i, x in enumerate(cells.values())])
-        rows = [_row("type_mismatch", c, F.when(F.col(f"n{i}") * 2 > F.col(f"t{i}"), F.col(f"t{i}") - F.col(f"n{i}")).otherwise(0), F.col(f"t{i}"), "type_reliability") for i, c in enumerate(cells)]
-        tests = one.select(F.inline(F.array(*rows)))
-    typed = counted(df, typed_tests(df))
-    return typed.unionByName(tests) if plain else typed
+    return counted(df, typed_tests(df), [text_kinds(df)])
+
+
+def text_kinds(df: DataFrame) -> More:
+    """The type_mismatch rows of text columns."""
+    cells = {c: F.nullif(F.trim(col(c)), F.lit("")) for c, k in kinds(df).items() if k == "string"}
+    aggs = [a for i, x in enumerate(cells.values()) for a in (F.count(loose_number(x)).alias(f"numbers{i}"), F.count(x).alias(f"texts{i}"))]
+    bad = lambda i: F.when(F.col(f"numbers{i}") * 2 > F.col(f"texts{i}"), F.col(f"texts{i}") - F.col(f"numbers{i}")).otherwise(0)
+    return aggs, [_row("type_mismatch", c, bad(i), F.col(f"texts{i}"), "type_reliability") for i, c in enumerate(cells)]
 
 
 def typed_tests(df: DataFrame) -> list[Tests]:
@@ -123,7 +129,7 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str], order: str, first: bool =
 
 
 #: Values that an exact percentile holds at once, at most, and the accuracy of the sketch that cuts the others off.
-HELD, ACCURACY = 1_000_000, 10_000
+HELD, ACCURACY = 50_000, 10_000
 
 
 def quantiles(df: DataFrame, numbers: Sequence[Column], shares: Sequence[float], held: int = HELD, accuracy: int = ACCURACY) -> list[tuple[int, list[float | None]]]:
@@ -131,37 +137,47 @@ def quantiles(df: DataFrame, numbers: Sequence[Column], shares: Sequence[float],
 
     Each pass takes bounds around every wanted rank from a sketch with a proven rank error, and counts what lies below and
     between them; the next pass looks between them only. A pass cuts the values by the accuracy over four, so a table of
-    10^12 rows takes four. All columns and shares go through each pass together.
+    10^12 rows takes four. All columns and shares go through each pass together; shares of a column that are still
+    looked for between the same bounds have one sketch, or one exact percentile.
     """
     rows = df.select(*[x.alias(f"x{i}") for i, x in enumerate(numbers)])
     counts = rows.agg(*[F.count(f"x{i}").alias(f"n{i}") for i in range(len(numbers))]).first()
     jobs = [(i, s) for i in range(len(numbers)) for s in shares]
     state = {j: (None, None, 0, counts[f"n{j[0]}"]) for j in jobs}  # low, high, values below, values between
 
-    def between(j: tuple[int, float]) -> Column:
-        low, high, _, _ = state[j]
-        x = F.col(f"x{j[0]}")
-        return F.when((x >= low) & (x <= high), x) if low is not None else x
+    def rank(j: tuple[int, float]) -> float:
+        return j[1] * (counts[f"n{j[0]}"] - 1) - state[j][2]
+
+    def alike(some: list) -> list[tuple[Column, list]]:
+        """(numbers between the bounds, jobs that have these bounds)."""
+        sets: dict = {}
+        for j in some:
+            sets.setdefault((j[0], *state[j]), []).append(j)
+        out = []
+        for (i, low, high, _, _), own in sets.items():
+            x = F.col(f"x{i}")
+            out.append((x if low is None else F.when((x >= low) & (x <= high), x), own))
+        return out
 
     while open_ := [j for j in jobs if state[j][3] > held and (state[j][0] is None or state[j][0] < state[j][1])]:
-        asks = []
-        for k, j in enumerate(open_):
-            _, _, below, n = state[j]
-            rank, room = j[1] * (counts[f"n{j[0]}"] - 1) - below, 2 * n / accuracy + 2
-            asks.append(F.percentile_approx(between(j), [max(0.0, (rank - room) / n), min(1.0, (rank + room) / n)], accuracy).alias(f"a{k}"))
+        asks, bounds = [], {}
+        sets = alike(open_)
+        for k, (x, own) in enumerate(sets):
+            n = state[own[0]][3]
+            room = 2 * n / accuracy + 2
+            asks.append(F.percentile_approx(x, [min(1.0, max(0.0, (rank(j) + d) / n)) for j in own for d in (-room, room)], accuracy).alias(f"a{k}"))
         got = rows.agg(*asks).first()
-        bounds = [got[f"a{k}"] for k in range(len(open_))]
-        tests = [(F.col(f"x{j[0]}") < b[0], (F.col(f"x{j[0]}") >= b[0]) & (F.col(f"x{j[0]}") <= b[1])) for j, b in zip(open_, bounds, strict=True)]
+        for k, (_, own) in enumerate(sets):
+            bounds |= {j: got[f"a{k}"][2 * m : 2 * m + 2] for m, j in enumerate(own)}
+        tests = [(F.col(f"x{j[0]}") < low, (F.col(f"x{j[0]}") >= low) & (F.col(f"x{j[0]}") <= high)) for j, (low, high) in bounds.items()]
         got = rows.agg(*[F.count_if(a).alias(f"l{k}") for k, (a, _) in enumerate(tests)], *[F.count_if(b).alias(f"m{k}") for k, (_, b) in enumerate(tests)]).first()
-        for k, (j, b) in enumerate(zip(open_, bounds, strict=True)):
-            state[j] = (b[0], b[1], got[f"l{k}"], got[f"m{k}"])
-    asks = []
-    for k, j in enumerate(jobs):
-        _, _, below, n = state[j]
-        share = j[1] if state[j][0] is None else min(1.0, max(0.0, (j[1] * (counts[f"n{j[0]}"] - 1) - below) / max(1, n - 1)))
-        asks.append(F.percentile(between(j), F.lit(share)).alias(f"q{k}"))
-    got = rows.agg(*asks).first()
-    return [(counts[f"n{i}"], [got[f"q{k}"] for k, j in enumerate(jobs) if j[0] == i]) for i in range(len(numbers))]
+        for k, (j, b) in enumerate(bounds.items()):
+            state[j] = (*b, got[f"l{k}"], got[f"m{k}"])
+    sets, found = alike(jobs), {}
+    got = rows.agg(*[F.percentile(x, F.array(*[F.lit(min(1.0, max(0.0, rank(j) / max(1, state[j][3] - 1)))) for j in own])).alias(f"q{k}") for k, (x, own) in enumerate(sets)]).first()
+    for k, (_, own) in enumerate(sets):
+        found |= dict(zip(own, got[f"q{k}"] or [None] * len(own), strict=True))
+    return [(counts[f"n{i}"], [found[j] for j in jobs if j[0] == i]) for i in range(len(numbers))]
 
 
 def fences(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5) -> DataFrame:
@@ -193,15 +209,23 @@ def dominant(df: DataFrame, columns: Sequence[str], share: float = 0.3) -> DataF
     return top.withColumn("share", F.col("n") / F.col("total")).where(F.col("share") > share).select("column", "value", "n", F.round("share", 4).alias("share"))
 
 
+#: Distinct values of a range of neighbours, at least, and ranges at most.
+NEAR_ROWS, NEAR_RANGES = 10_000, 2_000
+
+
 def knn_outliers(df: DataFrame, column: str, k: int = 5, contamination: float = 0.05) -> DataFrame:
     """(value, rows, score, outlier) of each distinct number: distance to its k-th neighbour among all rows.
 
     Neighbours in one dimension are neighbours in order, so ranges of values are sorted in parallel and only the last
-    and first k distinct values of neighbouring ranges are looked at beside their own.
+    and first k distinct values of neighbouring ranges are looked at beside their own. A value's range follows from the
+    value alone, and each range holds at least k distinct values: one has NEAR_ROWS of them, or 10 * k if that is more, and the
+    sketch that cuts them is wrong by a tenth of that at most.
     """
     x = number(col(column), kinds(df)[column])
     counts = df.select(x.alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("rows"))
-    ranged = counts.repartitionByRange("value").withColumn("part", F.spark_partition_id())
+    parts = min(NEAR_RANGES, counts.count() // max(NEAR_ROWS, 10 * k))
+    cuts = counts.select(F.percentile_approx("value", [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first()["q"] if parts > 1 else []
+    ranged = counts.withColumn("part", range_of(F.col("value"), sorted(set(cuts))))
     edge = Window.partitionBy("part")
     low, high = (ranged.withColumn("at", F.row_number().over(edge.orderBy(o))).where(F.col("at") <= k) for o in (F.col("value"), F.desc("value")))
     spread = ranged.withColumn("own", F.lit(True)).unionByName(low.select("value", "rows", (F.col("part") - 1).alias("part"), F.lit(False).alias("own"))).unionByName(high.select("value", "rows", (F.col("part") + 1).alias("part"), F.lit(False).alias("own")))
@@ -280,7 +304,27 @@ def canonical_spellings(df: DataFrame, column: str) -> DataFrame:
 def freshness(df: DataFrame, column: str, as_of: str, stale_days: int = STALE_DAYS) -> DataFrame:
     t = moment(col(column), kinds(df)[column])
     one = df.agg(F.min(t).cast("date").alias("first"), F.max(t).cast("date").alias("last"), F.count(t).alias("n"))
-    return one.select(F.lit(column).alias("column"), "first", "last", F.datediff(F.lit(as_of).cast("date"), "last").cast("long").alias("days_since"), "n").withColumn("status", F.when(F.col("n") == 0, "skipped").when(F.col("days_since") > stale_days, "failed").otherwise("passed"))
+    return one.select(F.lit(column).alias("column"), "first", "last", _days(F.col("last"), as_of).alias("days_since"), "n").withColumn("status", _fresh(F.col("n"), F.col("days_since"), stale_days))
+
+
+def _days(last: Column, as_of: str) -> Column:
+    return F.datediff(F.lit(as_of).cast("date"), last).cast("long")
+
+
+def _fresh(n: Column, days: Column, stale_days: int) -> Column:
+    return F.when(n == 0, "skipped").when(days > stale_days, "failed").otherwise("passed")
+
+
+def freshness_rows(df: DataFrame, columns: Sequence[str], as_of: str, stale_days: int = STALE_DAYS) -> More:
+    """freshness() of several columns as RESULT rows."""
+    by, aggs, rows = kinds(df), [], []
+    for i, c in enumerate(columns):
+        t = moment(col(c), by[c])
+        aggs += [F.max(t).cast("date").alias(f"last{i}"), F.count(t).alias(f"dates{i}")]
+        status = _fresh(F.col(f"dates{i}"), _days(F.col(f"last{i}"), as_of), stale_days)
+        row = _row("freshness", c, (status == "failed").cast("long"), F.col(f"dates{i}"), "freshness", ratio=F.lit(None).cast("double"))
+        rows.append(row.withField("status", status))
+    return aggs, rows
 
 
 def schema_quality(spark: SparkSession, names: Sequence[str]) -> DataFrame:

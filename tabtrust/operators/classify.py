@@ -35,18 +35,24 @@ def profile(df: DataFrame) -> DataFrame:
     costs no more than a rare one.
     """
     by = kinds(df)
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.when(~absent(col(c), k), (col(c) if k == "string" else F.to_json(F.struct(col(c))) if k.startswith(("array", "map", "struct")) else col(c).cast("string"))).alias("v")) for c, k in by.items()])
-    counts = df.select(F.explode(cells).alias("x")).groupBy("x.column", "x.v").agg(F.count("*").alias("n"))
+    cells = F.array(*[F.struct(F.lit(i).cast("short").alias("i"), F.when(~absent(col(c), k), (col(c) if k == "string" else F.to_json(F.struct(col(c))) if k.startswith(("array", "map", "struct")) else col(c).cast("string"))).alias("v")) for i, (c, k) in enumerate(by.items())])
+    # the column's number, not its name, goes with each value
+    counts = df.select(F.explode(cells).alias("x")).groupBy("x.i", "x.v").agg(F.count("*").alias("n"))
     own = F.col("v").isNotNull()
-    out = counts.groupBy("column").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)).alias("non_null"), F.count_if(own).alias("distinct"), F.coalesce(F.max(F.when(own, F.col("n"))), F.lit(0)).alias("top_n"))
+    out = counts.groupBy("i").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)).alias("non_null"), F.count_if(own).alias("distinct"), F.coalesce(F.max(F.when(own, F.col("n"))), F.lit(0)).alias("top_n"))
     share = lambda x: rounded(F.coalesce(F.try_divide(F.col(x), F.col("non_null")), F.lit(0.0)))
-    return out.select("column", "rows", "non_null", "distinct", share("distinct").alias("ratio"), "top_n", share("top_n").alias("top_ratio"))
+    name = F.element_at(F.array(*map(F.lit, by)), F.col("i") + 1).alias("column")
+    return out.select(name, "rows", "non_null", "distinct", share("distinct").alias("ratio"), "top_n", share("top_n").alias("top_ratio"))
 
 
 def numeric_share(df: DataFrame) -> DataFrame:
-    """One row: per column the number of cells that are numbers (n_i) and that are there (t_i)."""
+    """One row: per column the number of cells that are numbers (n_i), that are there (t_i), and that have a time of day (m_i)."""
     by = kinds(df)
-    return df.agg(*[F.count(number(col(c), k) if not k.startswith(("array", "map", "struct", "binary", "timestamp", "date", "boolean")) else F.lit(None)).alias(f"n{i}") for i, (c, k) in enumerate(by.items())], *[F.count_if(~absent(col(c), k)).alias(f"t{i}") for i, (c, k) in enumerate(by.items())])
+    typed = ("array", "map", "struct", "binary", "timestamp", "date", "boolean")
+    numbers = [F.count(F.lit(None) if k.startswith(typed) else number(col(c), k)).alias(f"n{i}") for i, (c, k) in enumerate(by.items())]
+    there = [F.count_if(~absent(col(c), k)).alias(f"t{i}") for i, (c, k) in enumerate(by.items())]
+    times = [F.count_if(col(c) != F.date_trunc("day", col(c)) if k.startswith("timestamp") else F.lit(False)).alias(f"m{i}") for i, (c, k) in enumerate(by.items())]
+    return df.agg(*numbers, *there, *times)
 
 
 def heads(df: DataFrame, size: int = SAMPLE) -> dict[str, list[str]]:
@@ -134,6 +140,9 @@ def classify(df: DataFrame) -> list[dict]:
     by, values = kinds(df), heads(df)
     facts = {r["column"]: r.asDict() for r in profile(df).collect()}  # one row a column
     shares = numeric_share(df).first()
+    for i, (c, k) in enumerate(by.items()):
+        if k.startswith("timestamp") and not shares[f"m{i}"]:  # timestamps without a time of day read as dates
+            values[c] = [v[:10] for v in values[c]]
     texts = [c for c, k in by.items() if k == "string"]
     sample = df.sparkSession.createDataFrame([(c, v) for c in texts for v in values[c]], "column string, value string")
     dates = {r["column"]: r["d"] / r["t"] for r in sample.groupBy("column").agg(F.count(moment(F.col("value"))).alias("d"), F.count("*").alias("t")).collect()}

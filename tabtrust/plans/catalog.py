@@ -276,12 +276,12 @@ def classes_sql(table: str, roles: dict[str, tuple[str, str, bool, bool]]) -> st
     """column -> (role, legacy role, is double, has a descriptive name); the numbers are computed by the rules of evidence."""
     parts = []
     for c, (role, legacy, double, described) in roles.items():
-        plain = legacy in ("measurement", "categorical", "free_text")
+        plain, named = legacy in ("measurement", "categorical", "free_text"), legacy == "identifier"
         parts.append(f"""SELECT p.*, '{role}' AS role, '{legacy}' AS legacy_role,
-  greatest(0.0, least(1.0, round(CAST({-0.4 if described else 0.0} + {-0.3 if plain else 0.0} + CASE WHEN d >= 0.98 THEN 0.35 WHEN d >= 0.9 THEN 0.2 WHEN d >= 0.7 THEN 0.1 WHEN d < 0.5 THEN -0.2 ELSE 0 END
+  greatest(0.0, least(1.0, round(CAST({-0.4 if described else 0.0} + {-0.3 if plain else 0.2 if named else 0.0} + CASE WHEN d >= 0.98 THEN 0.35 WHEN d >= 0.9 THEN 0.2 WHEN d >= 0.7 THEN 0.1 WHEN d < 0.5 THEN -0.2 ELSE 0 END
     - CASE WHEN non_null >= 20 AND t >= 0.05 THEN 0.3 ELSE 0 END - {0.2 if double else 0.0} - CASE WHEN "distinct" <= 10 AND non_null > 20 THEN 0.3 ELSE 0 END AS DOUBLE), 3))) AS uniqueness_confidence,
-  greatest(0.0, round(CAST(CASE WHEN d >= 0.98 THEN 0.5 WHEN d >= 0.9 THEN 0.3 WHEN d >= 0.7 THEN 0.1 ELSE 0 END + {-0.2 if plain else 0.0} - CASE WHEN non_null >= 20 AND t >= 0.05 THEN 0.35 ELSE 0 END AS DOUBLE), 4)) AS evidence,
-  false AS expected_unique, '{'medium' if legacy in ('measurement', 'date') else 'low'}' AS importance, 'low' AS sensitivity
+  greatest(0.0, round(CAST(CASE WHEN d >= 0.98 THEN 0.5 WHEN d >= 0.9 THEN 0.3 WHEN d >= 0.7 THEN 0.1 ELSE 0 END + {-0.2 if plain else 0.25 if named else 0.0} - CASE WHEN non_null >= 20 AND t >= 0.05 THEN 0.35 ELSE 0 END AS DOUBLE), 4)) AS evidence,
+  false AS expected_unique, '{'high' if named else 'medium' if legacy in ('measurement', 'date') else 'low'}' AS importance, 'low' AS sensitivity
   FROM ({profile_sql(table, (c,))}) p, (SELECT count(DISTINCT {c})::DOUBLE / count({c}) AS d, (SELECT max(n) FROM (SELECT count(*) AS n FROM {table} GROUP BY {c}))::DOUBLE / count({c}) AS t FROM {table})""")
     return union(parts)
 
@@ -294,7 +294,13 @@ def _(spark, d):
     return classify.classes(read(spark, d, "orders"))
 
 
-@query("cl1_classes_lineitem")
+LINE_CLASSES = {
+    **dict.fromkeys(("l_orderkey", "l_partkey", "l_suppkey"), MEASURE), "l_linenumber": ("identifier", "identifier", False, False), "l_quantity": (*MEASURE[:2], True, False), "l_extendedprice": PRICE,
+    "l_discount": PRICE, "l_tax": PRICE, "l_returnflag": CATEGORY, "l_linestatus": (*CATEGORY[:3], True), "l_shipdate": DATE,
+}
+
+
+@query("cl1_classes_lineitem", classes_sql("lineitem", LINE_CLASSES))
 def _(spark, d):
     return classify.classes(read(spark, d, "lineitem"))
 
@@ -625,17 +631,61 @@ def _(spark, d):
     return spark.table(name).select(F.to_date("window.start").alias("day"), "rows", "missing")
 
 
-@query("run_assess_orders")
+def assess_sql(table: str, columns: dict[str, str], more: tuple[str, ...] = ()) -> str:
+    """Results of an assessment. columns: name -> number, date, key (a number that names rows), words or name (words that are not standardised).
+
+    Texts of the tables hold no personal data and no two spellings of one word, which the SQL asserts: a cell that looks like an address or a
+    long number, or a pair of values within a tenth of their length, makes an issue.
+    """
+    of = lambda *kinds: [c for c, k in columns.items() if k in kinds]
+    skipped = "SELECT 'cross_column_dates' AS check_name, r AS \"column\", 'passed' AS status, 0::BIGINT AS issues_found, 0::BIGINT AS total, NULL::DOUBLE AS quality_ratio, 'validity' AS dimension, 'skipped_columns_not_present' AS reason FROM (VALUES "
+    parts = [row_sql("missing_values", c, f"count(*) - count({c})", "count(*)", "completeness", table) for c in columns]
+    parts += [row_sql("type_mismatch", c, "0", f"count({c})", "type_reliability", table) for c in of("number", "date", "key")]
+    for c in of("words", "name"):
+        n = f"count(*) FILTER (TRY_CAST({c} AS DOUBLE) IS NOT NULL)"
+        parts.append(row_sql("type_mismatch", c, f"CASE WHEN {n} * 2 > count({c}) THEN count({c}) - {n} ELSE 0 END", f"count({c})", "type_reliability", table))
+        parts.append(row_sql("consistency", c, "sum(r - b)", "sum(r)", "consistency", f"(SELECT sum(n) AS r, max(n) AS b FROM (SELECT {NORM} AS norm, raw, count(*) AS n FROM (SELECT {c} AS raw FROM {table}) GROUP BY 1, 2) GROUP BY norm)"))
+    for c in of("words"):
+        near = f"SELECT 1 FROM (SELECT DISTINCT {c} AS x FROM {table}), (SELECT DISTINCT {c} AS y FROM {table}) WHERE x <> y AND levenshtein(lower(x), lower(y)) <= 0.1 * (length(x) + length(y))"
+        parts.append(row_sql("fuzzy_standardization", c, f"CASE WHEN EXISTS ({near}) THEN 1 ELSE 0 END", f"count({c})", "consistency", table))
+    for c in of("date"):
+        parts.append(row_sql("date_validity", c, f"count(*) FILTER (year({c}) < 1990 OR year({c}) > {AS_OF[:4]} + 1)", f"count({c})", "validity", table))
+        parts.append(f"""SELECT 'freshness' AS check_name, '{c}' AS "column", CASE WHEN stale THEN 'failed' ELSE 'passed' END AS status, stale::BIGINT AS issues_found, n AS total, NULL::DOUBLE AS quality_ratio, 'freshness' AS dimension, NULL::VARCHAR AS reason
+          FROM (SELECT DATE '{AS_OF}' - CAST(max({c}) AS DATE) > 90 AS stale, count({c}) AS n FROM {table})""")
+    parts.append(skipped + ", ".join(f"('{a} {op} {b}')" for a, op, b in checks.DATE_RULES) + ") v(r)")
+    parts.append(f"""SELECT check_name, "column", status, issues_found, total, quality_ratio, dimension, 'rows in groups: ' || g AS reason
+      FROM ({row_sql("duplicate_rows", "*", "sum(n - 1)", "sum(n)", "uniqueness", f"(SELECT count(*) AS n FROM {table} GROUP BY {', '.join(columns)})")}), (SELECT CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS g FROM (SELECT count(*) AS n FROM {table} GROUP BY {', '.join(columns)}))""")
+    for c in of("number"):
+        quartiles = f"(SELECT quantile_cont({c}::DOUBLE, 0.25) AS q1, quantile_cont({c}::DOUBLE, 0.75) AS q3 FROM {table})"
+        parts.append(row_sql("outliers_iqr", c, f"count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1))", f"count({c})", "outlier_risk", f"{table}, {quartiles}"))
+    for c in columns:
+        parts.append(row_sql("schema_quality", c, f"(NOT regexp_matches('{c}', '^[a-z]_[a-z]+$'))::INT", "1", "schema_quality", "(SELECT 1)"))
+        if columns[c] in ("words", "name"):
+            held = f"count(*) FILTER (regexp_matches({c}, '\\S+@\\S+|([0-9][ .()-]?){{10,}}|([0-9]+\\.){{3}}|://')) > 0"
+            parts.append(row_sql("privacy", c, f"CASE WHEN {held} THEN 1 ELSE 0 END", "1", "privacy_sensitivity", table))
+        else:
+            parts.append(row_sql("privacy", c, "0", "1", "privacy_sensitivity", "(SELECT 1)"))
+    return union([*parts, *more])
+
+
+ORDER_KINDS = {"o_orderkey": "number", "o_custkey": "number", "o_orderstatus": "words", "o_totalprice": "number", "o_orderdate": "date", "o_orderpriority": "words"}
+LINE_KINDS = {c: {"measurement": "number", "identifier": "key", "date": "date"}.get(legacy, "words") for c, (_, legacy, _, _) in LINE_CLASSES.items()}
+CUSTOMER_KINDS = {"c_custkey": "number", "c_name": "name", "c_nationkey": "number", "c_acctbal": "number", "c_mktsegment": "words"}
+KNOWN = row_sql("referential_integrity", "o_custkey", "count(*) FILTER (o_custkey NOT IN (SELECT c_custkey FROM customer))", "count(o_custkey)", "integrity", "orders")
+
+
+@query("run_assess_orders", assess_sql("orders", ORDER_KINDS, (f"SELECT * FROM ({SQL['rul_business_rules']})", KNOWN)))
 def _(spark, d):
     return pipeline.assess(read(spark, d, "orders"), AS_OF, RULES, references=[("o_custkey", read(spark, d, "customer"), "c_custkey")]).results
 
 
-@query("run_assess_lineitem")
+@query("run_assess_lineitem", assess_sql("lineitem", LINE_KINDS))
 def _(spark, d):
     return pipeline.assess(read(spark, d, "lineitem"), AS_OF).results
 
 
-@query("run_assess_customer_scores")
+@query("run_assess_customer_scores", f"""SELECT dimension, count(*) AS checks, count(*) FILTER (status = 'failed') AS failed, round(avg(quality_ratio) * 100, 2) AS score, {severity_sql("(count(*) FILTER (status = 'failed'))::DOUBLE / count(*)")} AS severity
+FROM ({assess_sql("customer", CUSTOMER_KINDS)}) WHERE coalesce(reason, '') NOT LIKE 'skipped%' GROUP BY dimension""")
 def _(spark, d):
     return pipeline.assess(read(spark, d, "customer"), AS_OF).dimensions
 

@@ -30,11 +30,10 @@ def assess(df: DataFrame, as_of: str, rules: Sequence[checks.Rule] = (), keys: l
     role = {r["column"]: r["legacy_role"] for r in found}
     by = checks.kinds(df)
     year = int(as_of[:4])
-    # all tests of single rows are one aggregate
+    # all tests of single rows, of the kinds of texts and of the newest dates are one aggregate
     tests = checks.missing_tests(df) + checks.typed_tests(df) + checks.validity_tests(df, role, year)
-    parts = [checks.counted(df, tests), checks.skipped(df, role), checks.duplicates(df)]
-    if "string" in by.values():
-        parts.append(checks.type_mismatch(df.select(*[checks.col(c) for c, k in by.items() if k == "string"])))
+    fresh = checks.freshness_rows(df, [c for c, r in role.items() if r == "date"], as_of)
+    parts = [checks.counted(df, tests, [checks.text_kinds(df), fresh]), checks.skipped(df, role), checks.duplicates(df)]
     parts += [checks.duplicates(df, k) for k in classify.business_keys(df, found, keys)]
     if numeric := [c for c, r in role.items() if r == "measurement"]:
         parts.append(checks.outliers(df, numeric))
@@ -49,10 +48,6 @@ def assess(df: DataFrame, as_of: str, rules: Sequence[checks.Rule] = (), keys: l
     spark = df.sparkSession
     names = checks.schema_quality(spark, list(by))
     parts.append(names.select(F.lit("schema_quality").alias("check_name"), "column", F.when(F.col("issue").isNull(), "passed").otherwise("failed").alias("status"), F.col("issue").isNotNull().cast("long").alias("issues_found"), F.lit(1).cast("long").alias("total"), F.when(F.col("issue").isNull(), 1.0).otherwise(0.0).alias("quality_ratio"), F.lit("schema_quality").alias("dimension"), F.col("issue").alias("reason")))
-    for c, r in role.items():
-        if r == "date":
-            fresh = checks.freshness(df, c, as_of)
-            parts.append(fresh.select(F.lit("freshness").alias("check_name"), "column", "status", (F.col("status") == "failed").cast("long").alias("issues_found"), F.col("n").alias("total"), F.lit(None).cast("double").alias("quality_ratio"), F.lit("freshness").alias("dimension"), F.lit(None).cast("string").alias("reason")))
     for column, ref, ref_column in references:
         parts.append(checks.integrity(df, column, ref, ref_column))
     types = pii.summary(df) if with_pii and "string" in by.values() else None

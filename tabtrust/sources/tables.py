@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabtrust.functions.values import range_of
+
 SUPPORTED = (".xlsx", ".xlsm", ".xltx", ".xltm", ".xls", ".csv")
 MAX_BYTES = 200 * 1024 * 1024
 SCAN_ROWS, LOOK_AHEAD = 15, 5
@@ -163,14 +165,7 @@ def numbered(df: DataFrame, order: str) -> DataFrame:
     parts = min(RANGES, -(-n // RANGE_ROWS))
     cuts = df.select(F.percentile_approx(place, [i / parts for i in range(1, parts)], 100 * parts).alias("q")).first()["q"] if parts > 1 else []
     cuts = sorted({c for c in cuts or () if c is not None})  # RANGES numbers at most
-    if cuts:  # bounds below the value, counted among every 64th first
-        below = lambda x: F.size(F.filter(x, lambda c: c < place))
-        lists = F.array(*[F.array(*map(F.lit, cuts[i : i + 64])) for i in range(0, len(cuts), 64)])
-        chunk = F.greatest(F.lit(1), below(F.array(*map(F.lit, cuts[::64]))))
-        at = F.coalesce((chunk - 1) * 64 + below(F.element_at(lists, chunk)), F.lit(0))
-    else:
-        at = F.lit(0)
-    rows = df.select(*[F.col(f"`{c}`") for c in names], at.cast("int").alias("_p"))
+    rows = df.select(*[F.col(f"`{c}`") for c in names], F.coalesce(range_of(place, cuts), F.lit(0)).alias("_p"))
     sizes = {r["_p"]: r["n"] for r in rows.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # a row a range
     before, total = {}, 0
     for p in sorted(sizes):

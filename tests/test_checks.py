@@ -43,6 +43,35 @@ def test_knn_against_brute_force(spark):
         assert score == near[5]
 
 
+@pytest.mark.parametrize("k", [1, 5])
+def test_knn_of_several_ranges(spark, monkeypatch, k):
+    """Neighbours across the bounds of ranges, with nulls and repeated values."""
+    monkeypatch.setattr(checks, "NEAR_ROWS", 60)
+    own = [float((i * i * 7919) % 100_003) for i in range(900)] + [5.0] * 7
+    df = spark.createDataFrame([(v,) for v in [*own, None, None]], "v double")
+    got = {r["value"]: (r["rows"], r["score"]) for r in only(checks.knn_outliers(df, "v", k=k))}
+    assert got.keys() == set(own)
+    for v, (rows, score) in got.items():
+        assert rows == own.count(v) and score == sorted(abs(v - x) for x in own)[k]
+    assert only(checks.knn_outliers(df.where("v is null"), "v")) == []
+
+
+def test_dates_of_a_table_in_one_pass(spark):
+    df = spark.createDataFrame([("2024-01-01", "2020-01-01", "1", None), (None, "2019-05-05", "2", None), ("2023-12-31", "x", "b", None)], "a string, b string, c string, d string")
+    got = only(checks.counted(df, [], [checks.text_kinds(df), checks.freshness_rows(df, ["a", "b", "d"], "2024-02-01")]))
+    assert [(r["column"], r["issues_found"], r["total"]) for r in got if r["check_name"] == "type_mismatch"] == [("a", 0, 2), ("b", 0, 3), ("c", 1, 3), ("d", 0, 0)]
+    assert [(r["column"], r["status"], r["total"]) for r in got if r["check_name"] == "freshness"] == [("a", "passed", 2), ("b", "failed", 2), ("d", "skipped", 0)]
+    for c in "abd":
+        assert only(checks.freshness(df, c, "2024-02-01"))[0]["status"] == next(r["status"] for r in got if r["check_name"] == "freshness" and r["column"] == c)
+
+
+def test_timestamps_without_a_time_are_dates(spark):
+    """A name with "ip" in it asks for addresses; only with a time of day does a timestamp look like one."""
+    day = spark.range(30).select(F.timestamp_seconds(F.col("id") * 86400).alias("ship_date"))
+    assert classify.classify(day)[0]["role"] == "date"
+    assert classify.classify(day.select((F.col("ship_date") + F.expr("interval 5 minutes")).alias("ship_date")))[0]["role"] == "pii"
+
+
 def test_validity(spark):
     df = spark.createDataFrame([(5.0, "a@b.com", "2024-01-01"), (-3.0, "no", "not a date"), (10.0, "c@d.org", "1899-01-01")], "`Order Qty` double, `Contact Email` string, `Order Date` string")
     got = {r["check_name"]: r["issues_found"] for r in only(checks.validity(df, {"Order Qty": "measurement", "Order Date": "date"}, 2025))}
