@@ -34,7 +34,9 @@ START = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
 TOKEN = re.compile(r"""<(?:!--(?:.*?-->|.*)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"(?=[\s/>])|'[^']*'(?=[\s/>])|["'])*+)>)""", re.S)
 #: After a tag that doesn't end so, quotes are characters like others for the rest of the page.
 LOOSE = re.compile(r"<(?:!--(?:.*?-->|.*)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: An attribute, whatever its name, so that no part of another one's name or value is read as one.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+TELLING = re.compile(r"class|hidden|id|role|style", re.I)
 #: What HTML itself reads as text up to the end tag.
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 #: Dropped where their own end tag comes; without it they end with what is around them, and hide nothing.
@@ -74,7 +76,7 @@ class Node:
 def _named(attributes: str) -> tuple[bool, bool, bool]:
     """Whether an element is hidden or dropped by its role, whether a word of its class or id is in NAMES, and whether a first one is in BESIDE."""
     named = beside = False
-    for m in ATTRIBUTE.finditer(attributes):
+    for m in ATTRIBUTE.finditer(attributes) if TELLING.search(attributes) else ():
         name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
         if name == "role":
             if value.lower() in ROLES:

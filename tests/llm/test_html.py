@@ -138,3 +138,14 @@ def test_density_by_definition():
 class Plain:
     def __init__(self, node):
         self.tag, self.dropped = node.tag, node.dropped
+
+
+def test_names_within_other_attributes_say_nothing():
+    """Only whole attributes count: not words of a title, of data attributes or of links."""
+    text = "a long paragraph of the article with many words, one after the other. " * 3
+    for own in ('title="hidden gems"', 'data-state="hidden"', 'data-role="search"', 'data-class="sidebar"', "data-id='comments'", 'href="/x?id=comments"', "onclick='this.hidden = false'", 'data-style="display:none"', 'alt = "role=search"'):
+        page = f"<body><article><h1>Title</h1><p>{text}</p><div {own}>kept {text}</div></article></body>"
+        assert "kept" in htmltext.main_text(page), own
+    for own in ("hidden", "HIDDEN=''", 'data-x="1" hidden', "role = search", "ROLE='search'", 'style="color:red; display: none"', 'aria-hidden="true"'):
+        page = f"<body><article><h1>Title</h1><p>{text}</p><div {own}>gone {text}</div></article></body>"
+        assert "gone" not in htmltext.main_text(page), own
