@@ -57,6 +57,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 KEPT = frozenset("html body article main".split())
 WHOLE = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3".split())
+#: A heading's own class may call it a header; that is no header of the page.
+TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element that the start of another one ends, and where the search for it stops.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -73,8 +75,8 @@ class Node:
         self.heading = self.named = self.beside = False
 
 
-def _named(attributes: str) -> tuple[bool, bool, bool]:
-    """Whether an element is hidden or dropped by its role, whether a word of its class or id is in NAMES, and whether a first one is in BESIDE."""
+def _named(attributes: str, names: frozenset[str] = NAMES) -> tuple[bool, bool, bool]:
+    """Whether an element is hidden or dropped by its role, whether a word of its class or id is in names, and whether a first one is in BESIDE."""
     named = beside = False
     for m in ATTRIBUTE.finditer(attributes) if TELLING.search(attributes) else ():
         name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
@@ -89,7 +91,7 @@ def _named(attributes: str) -> tuple[bool, bool, bool]:
         elif name in ("class", "id"):
             for token in value.split():
                 words = [p.lower() for p in PART.findall(token)]
-                named |= any(w in NAMES for w in words)
+                named |= any(w in names for w in words)
                 beside |= words[:1] != [] and words[0] in BESIDE
     return False, named, beside
 
@@ -192,7 +194,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
             continue
         parent = stack[-1]
         node = Node(tag, parent, None)
-        hidden, named, node.beside = _named(m.group(3))
+        hidden, named, node.beside = _named(m.group(3), NAMES - {"header"} if tag in TITLES else NAMES)
         nested = tag == "article" and place("article") > 0
         node.named = named and (tag not in KEPT or nested)
         if tag in DROPPED or tag == "header" or (hidden and (tag not in KEPT or nested)):

@@ -149,3 +149,10 @@ def test_names_within_other_attributes_say_nothing():
     for own in ("hidden", "HIDDEN=''", 'data-x="1" hidden', "role = search", "ROLE='search'", 'style="color:red; display: none"', 'aria-hidden="true"'):
         page = f"<body><article><h1>Title</h1><p>{text}</p><div {own}>gone {text}</div></article></body>"
         assert "gone" not in htmltext.main_text(page), own
+
+
+def test_headings_may_be_called_headers():
+    text = "a long paragraph of the content with many words, one after the other. " * 3
+    page = f"<body><div class='page-header'>Site name</div><div class='content'><h2 class='section-header'>First</h2><p>{text}</p><h3 class='sub-header'>Second</h3><p>{text}</p></div></body>"
+    got = htmltext.main_text(page).split("\n\n")
+    assert got[0] == "First" and got[2] == "Second" and len(got) == 4
