@@ -71,7 +71,20 @@ PAIR = re.compile(r"""[A-Za-z0-9_\]"'][ \t]*(?::=|=>|[=:])(?!=)[ \t]*\S""")
 
 
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    """(target name, parts of its value); a part is (text, start, end), a name where start is -1."""
+    """(target name, parts of its value); a part is (text, start, end), a name where start is -1.
+
+    The value of an entry of configuration (`name: X` and `value: Y`, or `key="X" value="Y"`) goes to the name X.
+    """
+    entry = ""
+    for name, parts in _lines(text):
+        word = name.lower()
+        if word == "value" and entry:
+            yield entry, parts
+        yield name, parts
+        entry = parts[0][0] if word in ("name", "key") and len(parts) == 1 else ""
+
+
+def _lines(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
     at = 0
     while m := PAIR.search(text, at):
         start = max(text.rfind("\n", at, m.start()), text.rfind(";", at, m.start()), at - 1) + 1
@@ -82,7 +95,7 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
 
 
 def _line(text: str, at: int, stop: int) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    name, target, value, joined, unclosed = "", "", [], False, ""
+    name, target, value, joined, unclosed, last = "", "", [], False, "", ""
     while at < stop:
         if text[at] in unclosed:
             at += 1
@@ -92,7 +105,9 @@ def _line(text: str, at: int, stop: int) -> Iterator[tuple[str, list[tuple[str,
         if kind == "op" and word in (":=", "=", ":", "=>") and name and not (target and value and not joined and word == ":"):
             if target and value:
                 yield target, value
-            target, value, joined, name = name, [], True, ""
+            # after a colon a name may be the type of a typed constant, whose literal follows
+            typed = word == "=" and last == ":" and len(value) == 1 and value[0][1] < 0
+            target, value, joined, name, last = max(target if typed else "", name, key=sensitivity) or name, [], True, "", word
             bare = BARE.match(text, m := _skip(text, end, stop), stop)
             if bare and (literal := bare.group().rstrip(".")) and text[m] not in "\"'" and not literal.startswith((":", "=")) and (any(c.isdigit() for c in literal) or not re.fullmatch(r"[A-Za-z_][\w.]*", literal)) and "=" not in literal.rstrip("="):
                 value, joined, end = [(literal, m, m + len(literal))], False, m + len(literal)

@@ -50,6 +50,16 @@ def test_constants():
     assert secrets.redacted("token=abcdef123456 rest") == "[assign] rest"
 
 
+def test_typed_constants_and_entries():
+    """Types between a name and its literal, and names and values of configuration entries."""
+    found = lambda text: [text[a:b] for a, b, _ in secrets.literals(text)]
+    assert found("auth_token: str = 'Ab1234567'") == ["Ab1234567"]
+    assert found('const apiSecret: string = "zX98aa77";') == ["zX98aa77"]
+    assert found('<add key="ClientSecretProd" value="Zx81kq99"/>') == ["Zx81kq99"]
+    assert found("- name: DB_PASSWORD\n  value: s3cr3tval\n- name: COLOUR\n  value: blue42green") == ["s3cr3tval"]
+    assert found("name: COLOUR\nsize: 12\nvalue: s3cr3tval") == found("kind: str = 'Ab1234567'") == found("value: s3cr3tval") == []
+
+
 def test_odd_rows(spark):
     rows = [(None, "secret=abcdef"), (1, None), (2, ""), (3, "x = y + " * 20000), (4, "a" * 200000), (5, "token: 12345"), (5, "token: 123456")]
     docs = spark.createDataFrame([(*r, 1, "q") for r in rows], "doc_id long, text string, x long, Spans string")
