@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import math
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabtrust.functions.values import absent, col, loose_number, moment, normal, number, range_of
@@ -128,65 +129,85 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str], order: str, first: bool =
     return df.withColumn("_n", mark).where("_n > 1").drop("_n")
 
 
-#: Values that an exact percentile holds at once, at most, and the accuracy of the sketch that cuts the others off.
-HELD, ACCURACY = 50_000, 10_000
+#: Values between two bounds that are counted one by one, at most; parts into which more of them are cut; parts of a power of two.
+HELD, ACCURACY, BINADE = 50_000, 4_096, 256
+
+
+def _binade(x: Column) -> Column:
+    """A whole number that never falls when x rises: parts of powers of two. Zero and infinite values have parts of their own."""
+    size = F.floor(F.least(F.log2(F.abs(x)), F.lit(1025.0)) * BINADE) + 1076 * BINADE
+    return F.when(x == 0, 0.0).otherwise(F.signum(x) * size)
+
+
+def _parts(cells: DataFrame, ranks: Callable[[Column], list[Column]]) -> list[Row]:
+    """(k, n, lo, hi, before, total) of each part b of a set k of numbers x that holds a wanted rank (from 0) of its set."""
+    parts = cells.groupBy("k", "b").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    w = Window.partitionBy("k")
+    parts = parts.withColumns({"before": F.sum("n").over(w.orderBy("b")) - F.col("n"), "total": F.sum("n").over(w)})
+    wanted = [(r >= F.col("before")) & (r < F.col("before") + F.col("n")) for r in ranks(F.col("total"))]
+    return parts.where(reduce(lambda a, c: a | c, wanted)).collect()  # a part for each rank, at most
 
 
 def quantiles(df: DataFrame, numbers: Sequence[Column], shares: Sequence[float], held: int = HELD, accuracy: int = ACCURACY) -> list[tuple[int, list[float | None]]]:
     """(count, exact quantiles with linear interpolation) of each column of numbers, in memory that doesn't grow with the table.
 
-    Each pass takes bounds around every wanted rank from a sketch with a proven rank error, and counts what lies below and
-    between them; the next pass looks between them only. A pass cuts the values by the accuracy over four, so a table of
-    10^12 rows takes four. All columns and shares go through each pass together; shares of a column that are still
-    looked for between the same bounds have one sketch, or one exact percentile.
+    The first pass counts all columns by parts of powers of two, with the least and the largest value of each part. A rank at
+    either end of its part, or in a part of one value, is found, so ties end the search. What is left is cut by each further
+    pass into even parts (`accuracy`), or by value where at most `held` numbers are left. The ends of a part always fall into
+    different parts of the next pass, and four of them separate all doubles of a part.
     """
-    rows = df.select(*[x.alias(f"x{i}") for i, x in enumerate(numbers)])
-    counts = rows.agg(*[F.count(f"x{i}").alias(f"n{i}") for i in range(len(numbers))]).first()
-    jobs = [(i, s) for i in range(len(numbers)) for s in shares]
-    state = {j: (None, None, 0, counts[f"n{j[0]}"]) for j in jobs}  # low, high, values below, values between
-
-    def rank(j: tuple[int, float]) -> float:
-        return j[1] * (counts[f"n{j[0]}"] - 1) - state[j][2]
-
-    def alike(some: list) -> list[tuple[Column, list]]:
-        """(numbers between the bounds, jobs that have these bounds)."""
-        sets: dict = {}
-        for j in some:
-            sets.setdefault((j[0], *state[j]), []).append(j)
-        out = []
-        for (i, low, high, _, _), own in sets.items():
-            x = F.col(f"x{i}")
-            out.append((x if low is None else F.when((x >= low) & (x <= high), x), own))
-        return out
-
-    while open_ := [j for j in jobs if state[j][3] > held and (state[j][0] is None or state[j][0] < state[j][1])]:
-        asks, bounds = [], {}
-        sets = alike(open_)
-        for k, (x, own) in enumerate(sets):
-            n = state[own[0]][3]
-            room = 2 * n / accuracy + 2
-            asks.append(F.percentile_approx(x, [min(1.0, max(0.0, (rank(j) + d) / n)) for j in own for d in (-room, room)], accuracy).alias(f"a{k}"))
-        got = rows.agg(*asks).first()
-        for k, (_, own) in enumerate(sets):
-            bounds |= {j: got[f"a{k}"][2 * m : 2 * m + 2] for m, j in enumerate(own)}
-        tests = [(F.col(f"x{j[0]}") < low, (F.col(f"x{j[0]}") >= low) & (F.col(f"x{j[0]}") <= high)) for j, (low, high) in bounds.items()]
-        got = rows.agg(*[F.count_if(a).alias(f"l{k}") for k, (a, _) in enumerate(tests)], *[F.count_if(b).alias(f"m{k}") for k, (_, b) in enumerate(tests)]).first()
-        for k, (j, b) in enumerate(bounds.items()):
-            state[j] = (*b, got[f"l{k}"], got[f"m{k}"])
-    sets, found = alike(jobs), {}
-    got = rows.agg(*[F.percentile(x, F.array(*[F.lit(min(1.0, max(0.0, rank(j) / max(1, state[j][3] - 1)))) for j in own])).alias(f"q{k}") for k, (x, own) in enumerate(sets)]).first()
-    for k, (_, own) in enumerate(sets):
-        found |= dict(zip(own, got[f"q{k}"] or [None] * len(own), strict=True))
-    return [(counts[f"n{i}"], [found[j] for j in jobs if j[0] == i]) for i in range(len(numbers))]
+    rows = df.select(*[x.cast("double").alias(f"x{i}") for i, x in enumerate(numbers)])
+    xs = [F.col(f"x{i}") for i in range(len(numbers))]
+    counts, found, state = [0] * len(numbers), {}, {}  # state: (column, rank) -> low, high, numbers below, numbers between
+
+    def settle(i: int, rank: int, below: int, part: Row) -> None:
+        at = rank - below - part["before"]
+        if 0 <= at < part["n"]:
+            if part["lo"] == part["hi"] or at in (0, part["n"] - 1):
+                found[i, rank] = part["lo"] if at == 0 else part["hi"]
+            else:
+                state[i, rank] = (part["lo"], part["hi"], below + part["before"], part["n"])
+
+    def ends(share: float, n: int) -> tuple[int, int]:
+        return math.floor(share * (n - 1)), math.ceil(share * (n - 1))
+
+    cells = rows.select(F.explode(F.array(*[F.struct(F.lit(i).alias("k"), x.alias("x")) for i, x in enumerate(xs)])).alias("c")).select("c.*").where("x is not null and not isnan(x)")
+    for part in _parts(cells.withColumn("b", _binade(F.col("x"))), lambda n: [f(s * (n - 1)) for s in shares for f in (F.floor, F.ceil)]):
+        counts[part["k"]] = part["total"]
+        for rank in {r for s in shares for r in ends(s, part["total"])}:
+            settle(part["k"], rank, 0, part)
+    while state:
+        sets = list(dict.fromkeys((i, *s) for (i, _), s in state.items()))
+        open_ = [(sets.index((i, *s)), rank) for (i, rank), s in state.items()]
+        state, inside = {}, [(xs[i] >= low) & (xs[i] <= high) for i, low, high, _, _ in sets]
+        cut = [xs[i] if n <= held else F.floor((xs[i] - low) / (high - low) * accuracy).cast("double") for i, low, high, _, n in sets]
+        own = [F.when(c, F.struct(F.lit(k).alias("k"), cut[k].alias("b"), xs[sets[k][0]].alias("x"))) for k, c in enumerate(inside)]
+        cells = rows.where(reduce(lambda a, c: a | c, inside)).select(F.explode(F.array(*own)).alias("c")).where("c is not null").select("c.*")
+        for part in _parts(cells, lambda _, sets=sets, open_=open_: [F.when(F.col("k") == k, rank - sets[k][3]) for k, rank in open_]):
+            i, _, _, below, _ = sets[part["k"]]
+            for k, rank in open_:
+                if k == part["k"]:
+                    settle(i, rank, below, part)
+
+    def value(i: int, share: float) -> float | None:
+        if not counts[i]:
+            return None
+        low, high = (found[i, r] for r in ends(share, counts[i]))
+        part = share * (counts[i] - 1) % 1
+        return low if low == high else low * (1 - part) + high * part
+
+    return [(n, [value(i, s) for s in shares]) for i, n in enumerate(counts)]
+
+
+def _fenced(df: DataFrame, columns: Sequence[str], multiplier: float) -> list[tuple]:
+    by = kinds(df)
+    found = quantiles(df, [number(col(c), by[c]) for c in columns], (0.25, 0.75))
+    return [(c, n, q1, q3, *((None, None) if q1 is None else (q1 - multiplier * (q3 - q1), q3 + multiplier * (q3 - q1)))) for c, (n, (q1, q3)) in zip(columns, found, strict=True)]
 
 
 def fences(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5) -> DataFrame:
     """(column, n, q1, q3, low, high): exact quartiles with linear interpolation, of all columns together."""
-    by = kinds(df)
-    found = quantiles(df, [number(col(c), by[c]) for c in columns], (0.25, 0.75))
-    rows = df.sparkSession.createDataFrame([(c, n, *q) for c, (n, q) in zip(columns, found, strict=True)], "column string, n long, q1 double, q3 double")
-    spread = F.col("q3") - F.col("q1")
-    return rows.withColumns({"low": F.col("q1") - multiplier * spread, "high": F.col("q3") + multiplier * spread})
+    return df.sparkSession.createDataFrame(_fenced(df, columns, multiplier), "column string, n long, q1 double, q3 double, low double, high double")
 
 
 def outliers(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5) -> DataFrame:

@@ -263,3 +263,28 @@ def test_stream_without_repeats(spark, tmp_path):
     q = streams.profile_batches(streams.without_repeats(stream, ["k"], "ts"), lambda df, _: seen.extend(r["k"] for r in df.collect()), str(tmp_path / "at"))
     q.awaitTermination()
     assert sorted(seen) == [0, 1, 2, 3, 4]
+
+
+def test_quantiles_between_ties(spark):
+    """A rank between two values of which each has more rows than a pass holds: the search ends, and both values count."""
+    import numpy as np
+
+    own = np.repeat([1.0, 2.0, 3.0, 4.0], 1000)
+    df = spark.createDataFrame([(v,) for v in own.tolist()], "a double")
+    ((n, q),) = checks.quantiles(df, [F.col("a")], (0.25, 0.5, 0.75), held=50, accuracy=40)
+    assert (n, q) == (4000, [1.75, 2.5, 3.25])
+
+
+def test_quantiles_of_extreme_numbers(spark):
+    """Signs, zeros, subnormal, huge and infinite values, and a narrow range far from zero, in parts of any size."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    edge = [-float("inf"), -1.7e308, -1e-320, -0.0, 0.0, 5e-324, 1e-320, 1.7e308, float("inf")]
+    own = {"a": np.array(edge * 100), "b": 1.7e9 + np.arange(900) / 1024, "c": rng.integers(-9, 9, 900) * 10.0 ** rng.integers(-300, 300, 900)}
+    df = spark.createDataFrame(list(zip(*(v.tolist() for v in own.values()), strict=True)), "a double, b double, c double")
+    shares = [i / 31 for i in range(32)]  # 899 = 29 * 31: every rank is whole
+    got = checks.quantiles(df, [F.col(c) for c in own], shares, held=3, accuracy=4)
+    assert [n for n, _ in got] == [900] * 3
+    for (_, q), v in zip(got, own.values(), strict=True):
+        assert q == np.sort(v)[[29 * i for i in range(32)]].tolist()
