@@ -211,13 +211,12 @@ def fences(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5) -> Da
 
 
 def outliers(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5) -> DataFrame:
-    """Values beyond the fences, of columns with at least 4 numbers. Two passes: quartiles, then counts."""
+    """Values beyond the fences, of columns with at least 4 numbers. Quartiles first, then one pass that counts."""
     by = kinds(df)
-    f = fences(df, columns, multiplier).agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("n", "low", "high")))).alias("f"))  # one row of len(columns) entries
-    cross = df.select(*[number(col(c), by[c]).alias(f"x{i}") for i, c in enumerate(columns)]).withColumn("f", f.scalar())
-    at = [F.col("f")[c] for c in columns]
-    one = cross.agg(*[F.count_if((F.col(f"x{i}") < a["low"]) | (F.col(f"x{i}") > a["high"])).alias(f"b{i}") for i, a in enumerate(at)], *[F.count(f"x{i}").alias(f"n{i}") for i in range(len(at))])
-    few = [F.when(F.col(f"n{i}") == 0, "no_numeric_values").when(F.col(f"n{i}") < 4, "insufficient_numeric_values") for i in range(len(at))]
+    rows = df.select(*[number(col(c), by[c]).alias(f"x{i}") for i, c in enumerate(columns)])
+    beyond = [F.lit(False) if low is None else (F.col(f"x{i}") < low) | (F.col(f"x{i}") > high) for i, (*_, low, high) in enumerate(_fenced(df, columns, multiplier))]
+    one = rows.agg(*[F.count_if(b).alias(f"b{i}") for i, b in enumerate(beyond)], *[F.count(f"x{i}").alias(f"n{i}") for i in range(len(columns))])
+    few = [F.when(F.col(f"n{i}") == 0, "no_numeric_values").when(F.col(f"n{i}") < 4, "insufficient_numeric_values") for i in range(len(columns))]
     return one.select(F.inline(F.array(*[_row("outliers_iqr", c, F.when(F.col(f"n{i}") >= 4, F.col(f"b{i}")).otherwise(0), F.col(f"n{i}"), "outlier_risk", reason=few[i]) for i, c in enumerate(columns)])))
 
 

@@ -288,3 +288,12 @@ def test_quantiles_of_extreme_numbers(spark):
     assert [n for n, _ in got] == [900] * 3
     for (_, q), v in zip(got, own.values(), strict=True):
         assert q == np.sort(v)[[29 * i for i in range(32)]].tolist()
+
+
+def test_outliers_read_once_after_the_quartiles(spark):
+    """Fences are plain numbers in the pass that counts: nothing is looked up by row, and nothing else is computed again."""
+    df = spark.createDataFrame([(float(i % 10), float(i)) for i in range(100)] + [(900.0, None), (None, None)], "a double, b double").withColumn("c", F.lit(None).cast("double"))
+    out = checks.outliers(df, ["a", "b", "c"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "ubquery" not in plan and "map_from_entries" not in plan
+    assert [(r["column"], r["issues_found"], r["total"], r["reason"]) for r in only(out)] == [("a", 1, 101, None), ("b", 0, 100, None), ("c", 0, 0, "no_numeric_values")]
