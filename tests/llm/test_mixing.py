@@ -1,6 +1,7 @@
 """Mixing against DuckDB's rows, the budgets, and odd tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabtrust.llm import mixing, queries
 
@@ -49,3 +50,15 @@ def test_mixed_rows_are_what_mix_takes(spark):
     taken = {r["doc_id"]: r["taken"] // r["size"] for r in mixing.mix(docs).collect()}
     copies = {r[0]: r[1] for r in mixing.mixed(docs).groupBy("doc_id").count().collect()}
     assert copies == {k: v for k, v in taken.items() if v}
+
+
+def test_words_are_counted_without_a_list_of_them(spark):
+    """Numbers of words of odd texts, and a plan that holds no array of words."""
+    import re
+
+    space = " \t\n\x0b\x0c\r"
+    texts = ["", " ", space * 3, "a", " a", "a ", f"{space}a{space}b c{space}", "\x1c\xa0\u2003\u3000", "é\U0001f600 \x00 x", "$1 \\ $", "w" * 200_000, " " * 200_000, "x" + " " * 200_000 + "y", "a\n" * 100_000, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", mixing.words(F.col("t")).alias("n"))
+    assert "extract_all" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["i"]: r["n"] for r in df.collect()}
+    assert got == {i: len(re.findall(mixing.WORD, t or "")) for i, t in enumerate(texts)}
