@@ -93,8 +93,18 @@ def text_kinds(df: DataFrame) -> More:
     """The type_mismatch rows of text columns."""
     cells = {c: F.nullif(F.trim(col(c)), F.lit("")) for c, k in kinds(df).items() if k == "string"}
     aggs = [a for i, x in enumerate(cells.values()) for a in (F.count(loose_number(x)).alias(f"numbers{i}"), F.count(x).alias(f"texts{i}"))]
-    bad = lambda i: F.when(F.col(f"numbers{i}") * 2 > F.col(f"texts{i}"), F.col(f"texts{i}") - F.col(f"numbers{i}")).otherwise(0)
-    return aggs, [_row("type_mismatch", c, bad(i), F.col(f"texts{i}"), "type_reliability") for i, c in enumerate(cells)]
+    return aggs, [_text_kind(c, F.col(f"numbers{i}"), F.col(f"texts{i}")) for i, c in enumerate(cells)]
+
+
+def _text_kind(column: Column | str, numbers: Column, texts: Column) -> Column:
+    return _row("type_mismatch", column, F.when(numbers * 2 > texts, texts - numbers).otherwise(0), texts, "type_reliability")
+
+
+def known_text_kinds(df: DataFrame, found: Sequence[dict]) -> DataFrame:
+    """text_kinds() of columns that have been classified, from the numbers found then."""
+    by = kinds(df)
+    rows = df.sparkSession.createDataFrame([(r["column"], r["loose"], r["texts"]) for r in found if by[r["column"]] == "string"], "column string, loose long, texts long")
+    return rows.select(_text_kind(F.col("column"), F.col("loose"), F.col("texts")).alias("r")).select("r.*")
 
 
 def typed_tests(df: DataFrame) -> list[Tests]:
@@ -113,11 +123,38 @@ def duplicate_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*_key(df, keys)).agg(F.count("*").alias("n")).where("n > 1")
 
 
+#: Hash codes of more than one row that are looked at one by one, at most.
+MANY = 100_000
+
+
+def _repeated(df: DataFrame, keys: Sequence[str]) -> list[int] | None:
+    """Hash codes of keys that more than one row has; None if there are more than MANY, or if keys are short or of a type without a hash code.
+
+    Codes alone are shuffled and sorted, which takes less than whole keys where nearly all differ; of each code two rows at most leave a task.
+    """
+    by = kinds(df)
+    if len(keys) < 3 or any(t in by[c] for c in keys for t in ("map", "collate", "variant")):
+        return None
+    place = F.row_number().over(Window.partitionBy("h").orderBy("h"))
+    codes = df.select(F.xxhash64(*_key(df, keys)).alias("h")).withColumn("n", place).where("n = 2").select("h")
+    found = codes.limit(MANY + 1).agg(F.collect_list("h").alias("h")).first()["h"]
+    return found if len(found) <= MANY else None
+
+
 def duplicates(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    """Rows beyond the first of each key (all columns by default); reason holds the number of rows in such groups."""
+    """Rows beyond the first of each key (all columns by default); reason holds the number of rows in such groups.
+
+    Equal keys have equal hash codes, so only rows whose code repeats are grouped, by their whole keys; all are, where many codes repeat.
+    """
     own = list(keys or kinds(df))
-    groups = df.groupBy(*_key(df, own)).agg(F.count("*").alias("n"))
+    codes, rows = _repeated(df, own), df
+    if codes is not None:
+        some = df.sparkSession.createDataFrame([(h,) for h in codes], "h long")
+        rows = df.join(F.broadcast(some), F.xxhash64(*_key(df, own)) == F.col("h"), "left_semi") if codes else df.where("false")
+    groups = rows.groupBy(*_key(df, own)).agg(F.count("*").alias("n"))
     one = groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    if codes is not None:
+        one = one.drop("total").crossJoin(df.agg(F.count("*").alias("total")))
     name = "duplicate_rows" if keys is None else "duplicate_keys"
     return one.select(_row(name, "+".join(own) if keys else "*", F.col("extra"), F.col("total"), "uniqueness", reason=F.concat(F.lit("rows in groups: "), F.col("rows").cast("string"))).alias("r")).select("r.*")
 
@@ -308,8 +345,8 @@ def _compare(x: Column, op: str, y: Column) -> Column:
 def consistency(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows that are not in the most frequent spelling (least text on ties) of their normalised value, in one aggregate of all columns."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("raw")) for c in columns])).alias("x")).select("x.*").where("raw is not null")
-    raw = long.groupBy("column", normal(F.col("raw")).alias("norm"), "raw").agg(F.count("*").alias("n"))
-    groups = raw.groupBy("column", "norm").agg(F.sum("n").alias("rows"), F.max("n").alias("best"))
+    raw = long.groupBy("column", "raw").agg(F.count("*").alias("n"))  # normalised once a spelling, not once a row
+    groups = raw.groupBy("column", normal(F.col("raw")).alias("norm")).agg(F.sum("n").alias("rows"), F.max("n").alias("best"))
     sums = groups.groupBy("column").agg(F.sum(F.col("rows") - F.col("best")).alias("issues"), F.sum("rows").alias("total"))
     return sums.select(_row("consistency", F.col("column"), F.col("issues"), F.col("total"), "consistency").alias("r")).select("r.*")
 

@@ -1,13 +1,14 @@
-"""Column profiles and semantic roles: one unpivoted aggregate over all columns, then rules over one row a column."""
+"""Column profiles and semantic roles: unpivoted aggregates of the columns of one form, then rules over one row a column."""
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabtrust.functions.values import absent, col, moment, number, rounded
+from tabtrust.functions.values import absent, col, loose_number, moment, number, rounded
 from tabtrust.operators import pii
 from tabtrust.operators.checks import kinds
 
@@ -28,31 +29,60 @@ SAMPLE = 200
 MIN_ROWS, MIN_SCORE, ONE_TO_MANY = 20, 0.6, 0.2
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """(column, rows, non_null, distinct, ratio, top_n, top_ratio) of each column.
+def _form(kind: str) -> str:
+    """The type in which cells are counted: whole numbers and moments as long, fractions as double, all else as text."""
+    whole = kind in ("tinyint", "smallint", "int", "bigint", "boolean", "date", "timestamp")
+    return "long" if whole else "double" if kind in ("float", "double") else "string"
+
+
+def _cell(c: str, kind: str) -> Column:
+    """A cell in its form; absent ones are null."""
+    if kind in ("timestamp", "date"):
+        return F.unix_micros(col(c)) if kind == "timestamp" else F.unix_date(col(c)).cast("long")
+    if kind.startswith(("array", "map", "struct")):
+        return F.when(col(c).isNotNull(), F.to_json(F.struct(col(c))))
+    return F.when(~absent(col(c), kind), col(c).cast(_form(kind)))
+
 
-    Cells are unpivoted and counted by value: one shuffle, with partial sums, for all columns at once; a frequent value
-    costs no more than a rare one.
+def facts(df: DataFrame) -> DataFrame:
+    """profile() with, of each column, the number of cells that are numbers, of those that have a time of day, and of texts that are not blank (texts) and
+    numbers if thousands separators are let through (loose).
+
+    Cells are unpivoted and counted by value, with partial sums; a frequent value costs no more than a rare one. Columns of one
+    form share a shuffle, so that numbers are never written as text, and each column is read once. What a value is is asked once a value.
     """
-    by = kinds(df)
-    cells = F.array(*[F.struct(F.lit(i).cast("short").alias("i"), F.when(~absent(col(c), k), (col(c) if k == "string" else F.to_json(F.struct(col(c))) if k.startswith(("array", "map", "struct")) else col(c).cast("string"))).alias("v")) for i, (c, k) in enumerate(by.items())])
-    # the column's number, not its name, goes with each value
-    counts = df.select(F.explode(cells).alias("x")).groupBy("x.i", "x.v").agg(F.count("*").alias("n"))
-    own = F.col("v").isNotNull()
-    out = counts.groupBy("i").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)).alias("non_null"), F.count_if(own).alias("distinct"), F.coalesce(F.max(F.when(own, F.col("n"))), F.lit(0)).alias("top_n"))
+    by, parts = kinds(df), []
+    for form in sorted(set(map(_form, by.values()))):
+        own = {i: (c, k) for i, (c, k) in enumerate(by.items()) if _form(k) == form}
+        # the column's number, not its name, goes with each value
+        cells = F.array(*[F.struct(F.lit(i).cast("short").alias("i"), _cell(c, k).alias("v")) for i, (c, k) in own.items()])
+        counts = df.select(F.explode(cells).alias("x")).select("x.*").groupBy("i", "v").agg(F.count("*").alias("n"))
+        there, v = F.col("v").isNotNull(), F.col("v")
+        of = lambda test, own=own: F.col("i").isin([i for i, (_, k) in own.items() if test(k)])
+        total = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
+        text, whole = of(lambda k: k == "string"), of(lambda k: not k.startswith(("string", "array", "map", "struct", "binary", "timestamp", "date", "boolean")))
+        is_number, late = whole & there, F.lit(False)
+        if form == "string":
+            is_number = F.when(text, number(v).isNotNull()).otherwise(is_number)
+            late = of(lambda k: k == "timestamp_ntz") & ~v.endswith(" 00:00:00")
+        elif form == "long":
+            time = F.timestamp_micros(v)
+            late = of(lambda k: k == "timestamp") & (time != F.date_trunc("day", time))
+        cell = F.nullif(F.trim(v.cast("string")), F.lit(""))
+        loose, filled = (text & loose_number(cell).isNotNull(), text & cell.isNotNull()) if form == "string" else (F.lit(False), F.lit(False))
+        parts.append(counts.groupBy("i").agg(
+            F.sum("n").alias("rows"), total(there).alias("non_null"), F.count_if(there).alias("distinct"), F.coalesce(F.max(F.when(there, F.col("n"))), F.lit(0)).alias("top_n"),
+            total(is_number).alias("numbers"), total(late).alias("times"), total(loose).alias("loose"), total(filled).alias("texts"),
+        ))
+    out = reduce(DataFrame.unionByName, parts)
     share = lambda x: rounded(F.coalesce(F.try_divide(F.col(x), F.col("non_null")), F.lit(0.0)))
     name = F.element_at(F.array(*map(F.lit, by)), F.col("i") + 1).alias("column")
-    return out.select(name, "rows", "non_null", "distinct", share("distinct").alias("ratio"), "top_n", share("top_n").alias("top_ratio"))
+    return out.select(name, "rows", "non_null", "distinct", share("distinct").alias("ratio"), "top_n", share("top_n").alias("top_ratio"), "numbers", "times", "loose", "texts")
 
 
-def numeric_share(df: DataFrame) -> DataFrame:
-    """One row: per column the number of cells that are numbers (n_i), that are there (t_i), and that have a time of day (m_i)."""
-    by = kinds(df)
-    typed = ("array", "map", "struct", "binary", "timestamp", "date", "boolean")
-    numbers = [F.count(F.lit(None) if k.startswith(typed) else number(col(c), k)).alias(f"n{i}") for i, (c, k) in enumerate(by.items())]
-    there = [F.count_if(~absent(col(c), k)).alias(f"t{i}") for i, (c, k) in enumerate(by.items())]
-    times = [F.count_if(col(c) != F.date_trunc("day", col(c)) if k.startswith("timestamp") else F.lit(False)).alias(f"m{i}") for i, (c, k) in enumerate(by.items())]
-    return df.agg(*numbers, *there, *times)
+def profile(df: DataFrame) -> DataFrame:
+    """(column, rows, non_null, distinct, ratio, top_n, top_ratio) of each column."""
+    return facts(df).drop("numbers", "times", "loose", "texts")
 
 
 def heads(df: DataFrame, size: int = SAMPLE) -> dict[str, list[str]]:
@@ -138,18 +168,18 @@ def evidence(name: str, facts: dict, legacy_role: str) -> tuple[float, bool]:
 def classify(df: DataFrame) -> list[dict]:
     """One entry a column: role, legacy role, uniqueness confidence, evidence, expected_unique, and the profile."""
     by, values = kinds(df), heads(df)
-    facts = {r["column"]: r.asDict() for r in profile(df).collect()}  # one row a column
-    shares = numeric_share(df).first()
-    for i, (c, k) in enumerate(by.items()):
-        if k.startswith("timestamp") and not shares[f"m{i}"]:  # timestamps without a time of day read as dates
+    none = {"rows": 0, "non_null": 0, "distinct": 0, "ratio": 0.0, "top_n": 0, "top_ratio": 0.0, "numbers": 0, "times": 0, "loose": 0, "texts": 0}
+    known = {c: {"column": c, **none} for c in by} | {r["column"]: r.asDict() for r in facts(df).collect()}  # one row a column
+    for c, k in by.items():
+        if k.startswith("timestamp") and not known[c]["times"]:  # timestamps without a time of day read as dates
             values[c] = [v[:10] for v in values[c]]
     texts = [c for c, k in by.items() if k == "string"]
     sample = df.sparkSession.createDataFrame([(c, v) for c in texts for v in values[c]], "column string, value string")
     dates = {r["column"]: r["d"] / r["t"] for r in sample.groupBy("column").agg(F.count(moment(F.col("value"))).alias("d"), F.count("*").alias("t")).collect()}
     out = []
-    for i, (c, k) in enumerate(by.items()):
-        f = facts.get(c) or {"column": c, "rows": 0, "non_null": 0, "distinct": 0, "ratio": 0.0, "top_n": 0, "top_ratio": 0.0}
-        own = role(c, k, f, values[c], shares[f"n{i}"] / max(1, shares[f"t{i}"]), dates.get(c, 0.0))
+    for c, k in by.items():
+        f = known[c]
+        own = role(c, k, f, values[c], f["numbers"] / max(1, f["non_null"]), dates.get(c, 0.0))
         legacy = LEGACY.get(own, own)
         score, unique = evidence(c, f, legacy)
         out.append({**f, "role": own, "legacy_role": legacy, "uniqueness_confidence": uniqueness_confidence(c, k, f, own), "evidence": round(score, 4), "expected_unique": unique, "importance": "high" if own in ("primary_key", "business_key", "identifier") else "medium" if own in ("measurement", "financial", "date") else "low", "sensitivity": "high" if own in ("pii", "contact") else "low"})

@@ -30,10 +30,10 @@ def assess(df: DataFrame, as_of: str, rules: Sequence[checks.Rule] = (), keys: l
     role = {r["column"]: r["legacy_role"] for r in found}
     by = checks.kinds(df)
     year = int(as_of[:4])
-    # all tests of single rows, of the kinds of texts and of the newest dates are one aggregate
+    # all tests of single rows and of the newest dates are one aggregate; the kinds of texts are known by value
     tests = checks.missing_tests(df) + checks.typed_tests(df) + checks.validity_tests(df, role, year)
     fresh = checks.freshness_rows(df, [c for c, r in role.items() if r == "date"], as_of)
-    parts = [checks.counted(df, tests, [checks.text_kinds(df), fresh]), checks.skipped(df, role), checks.duplicates(df)]
+    parts = [checks.counted(df, tests, [fresh]), checks.known_text_kinds(df, found), checks.skipped(df, role), checks.duplicates(df)]
     parts += [checks.duplicates(df, k) for k in classify.business_keys(df, found, keys)]
     if numeric := [c for c, r in role.items() if r == "measurement"]:
         parts.append(checks.outliers(df, numeric))

@@ -297,3 +297,50 @@ def test_outliers_read_once_after_the_quartiles(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "ubquery" not in plan and "map_from_entries" not in plan
     assert [(r["column"], r["issues_found"], r["total"], r["reason"]) for r in only(out)] == [("a", 1, 101, None), ("b", 0, 100, None), ("c", 0, 0, "no_numeric_values")]
+
+
+@pytest.mark.parametrize("many", [100_000, 3, 0])
+def test_duplicate_rows_by_hash_codes(spark, monkeypatch, many):
+    """Equal rows are found by hash codes and counted by their keys, whether few or many codes repeat; codes of unlike rows may be equal."""
+    monkeypatch.setattr(checks, "MANY", many)
+    rows = [(i, f"t{i % 7}", None if i % 3 else 0.0) for i in range(40)] + [(1, " t1", None)] * 3 + [(3, "t3", -0.0), (None, " ", None), (None, None, None)]
+    df = spark.createDataFrame(rows, "a long, b string, c double")
+    one = only(checks.duplicates(df))[0]
+    assert (one["issues_found"], one["total"], one["reason"]) == (5, 46, "rows in groups: 8")
+    assert only(checks.duplicates(df.where("a < 1")))[0]["reason"] == "rows in groups: 0"
+    assert only(checks.duplicates(df.where("false")))[0]["total"] == 0
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(1).cast("long") + F.length(F.concat_ws("", *[x.cast("string") for x in c])) * 0)
+    assert only(checks.duplicates(df))[0]["reason"] == "rows in groups: 8"
+
+
+def test_rows_without_repeats_are_not_shuffled_whole(spark):
+    df = spark.range(50).selectExpr("id a", "id % 3 b", "id % 7 c", "cast(id as string) d")
+    plan = checks.duplicates(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and "k3" not in plan
+
+
+def test_profile_counts_cells_in_their_own_type(spark):
+    """Numbers and moments are never written as text, so zeros of both signs are one value; numbers in texts are counted by value."""
+    import datetime as dt
+
+    at = dt.datetime(2024, 1, 1)
+    rows = [(0.0, 1, at, "1,000", True, at.date(), [1], b"1"), (-0.0, 1, at, " ", False, None, [1], b"1"), (float("nan"), 2, at + dt.timedelta(microseconds=1), "x", None, None, None, None), (None, None, None, "7", None, None, [2], None), (2.5, 3, None, None, None, at.date(), None, None)]
+    df = spark.createDataFrame(rows, "a double, b int, c timestamp, d string, e boolean, f date, g array<int>, h binary").withColumn("i", F.col("b").cast("decimal(9,2)"))
+    got = {r["column"]: (r["rows"], r["non_null"], r["distinct"], r["top_n"], r["numbers"], r["times"], r["loose"], r["texts"]) for r in classify.facts(df).collect()}
+    assert got == {"a": (5, 3, 2, 2, 3, 0, 0, 0), "b": (5, 4, 3, 2, 4, 0, 0, 0), "c": (5, 3, 2, 2, 0, 1, 0, 0), "d": (5, 4, 4, 1, 1, 0, 2, 3), "e": (5, 2, 2, 1, 0, 0, 0, 0), "f": (5, 2, 1, 2, 0, 0, 0, 0), "g": (5, 3, 2, 2, 0, 0, 0, 0), "h": (5, 2, 1, 2, 0, 0, 0, 0), "i": (5, 4, 3, 2, 4, 0, 0, 0)}
+    plan = classify.profile(df.select("a", "b", "c", "f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "as string" not in plan
+
+
+def test_known_kinds_of_texts(spark):
+    """What classification knows by value gives the rows that a pass over all cells gives."""
+    df = spark.createDataFrame([("1,5", "a", None, " "), ("2", "b", None, "3"), (" x", "1", None, None)], "a string, b string, c string, d string").withColumn("e", F.lit(1))
+    assert sorted(checks.known_text_kinds(df, classify.classify(df)).collect()) == sorted(checks.counted(df, [], [checks.text_kinds(df)]).collect())
+
+
+def test_spellings_are_normalised_once_a_value(spark):
+    df = spark.createDataFrame([("A b",)] * 3 + [(" a  B",)] * 2 + [("c",), (None,)], "s string")
+    out = checks.consistency(df, ["s"])
+    assert [(r["issues_found"], r["total"]) for r in only(out)] == [(2, 6)]
+    below = out._jdf.queryExecution().optimizedPlan().toString().rsplit("Aggregate", 1)[1].split("\n", 1)[1]
+    assert "lower" not in below
