@@ -299,6 +299,18 @@ def test_outliers_read_once_after_the_quartiles(spark):
     assert [(r["column"], r["issues_found"], r["total"], r["reason"]) for r in only(out)] == [("a", 1, 101, None), ("b", 0, 100, None), ("c", 0, 0, "no_numeric_values")]
 
 
+def test_quantiles_take_one_logarithm_a_number(spark):
+    """Parts of powers of two are whole numbers that never fall when the number rises."""
+    import numpy as np
+
+    own = np.sort(np.concatenate([s * 2.0 ** np.arange(-1070, 1024) for s in (-1.0, -1.3, 1.0, 1.7)] + [[0.0, float("inf"), -float("inf")]]))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(own.tolist())], "i int, x double")
+    out = df.select("i", checks._binade(F.col("x")).alias("b"))
+    assert dict(out.dtypes)["b"] == "int"
+    got = [r["b"] for r in out.orderBy("i").collect()]
+    assert got == sorted(got) and len(set(got)) == len(got)
+
+
 @pytest.mark.parametrize("many", [100_000, 3, 0])
 def test_duplicate_rows_by_hash_codes(spark, monkeypatch, many):
     """Equal rows are found by hash codes and counted by their keys, whether few or many codes repeat; codes of unlike rows may be equal."""
