@@ -168,6 +168,14 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str], order: str, first: bool =
 
 #: Values between two bounds that are counted one by one, at most; parts into which more of them are cut; parts of a power of two.
 HELD, ACCURACY, BINADE = 50_000, 4_096, 256
+#: Parts of the first pass between two neighbouring eighth roots, and their number on a side of zero, at most.
+ROOTS, MOST_ROOTS = 2_048, 1_000_000
+
+
+def _root(x: Column) -> Column:
+    """A whole number that never falls when x rises: parts of the eighth root, which is three quick instructions where a logarithm is a call. The outer parts are open."""
+    size = F.least(F.sqrt(F.sqrt(F.sqrt(F.abs(x)))) * ROOTS, F.lit(float(MOST_ROOTS))).cast("int")
+    return F.when(x < 0, -1 - size).otherwise(size)
 
 
 def _binade(x: Column) -> Column:
@@ -176,26 +184,49 @@ def _binade(x: Column) -> Column:
     return F.when(x == 0, 0).when(x > 0, size).otherwise(-size).cast("int")  # short keys are counted faster than fractions
 
 
-def _parts(cells: DataFrame, ranks: Callable[[Column], list[Column]]) -> list[Row]:
-    """(k, n, lo, hi, before, total) of each part b of a set k of numbers x that holds a wanted rank (from 0) of its set."""
-    parts = cells.groupBy("k", "b").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+def _cut(x: Column, low: float, high: float, n: int, held: int, accuracy: int) -> Column:
+    """The part of a number of n between low and high: itself, if few; else of powers of two, or of even parts where they lie within one."""
+    if n <= held:
+        return x
+    if low > 0 and low >= high / 2 or high < 0 and high <= low / 2:  # halves: doubled, the largest numbers were infinite
+        return F.floor((x - low) / (high - low) * accuracy).cast("double")
+    return _binade(x).cast("double")
+
+
+def _counted(cells: DataFrame, *keys: str) -> DataFrame:
+    return cells.groupBy(*keys).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+
+
+def _wanted(parts: DataFrame, ranks: Callable[[Column], list[Column]]) -> list[Row]:
+    """(k, n, lo, hi, before, total, least, most) of each part b of a set k of numbers that holds a wanted rank (from 0) of its set; the last three are the set's."""
     w = Window.partitionBy("k")
-    parts = parts.withColumns({"before": F.sum("n").over(w.orderBy("b")) - F.col("n"), "total": F.sum("n").over(w)})
+    parts = parts.withColumns({"before": F.sum("n").over(w.orderBy("b")) - F.col("n"), "total": F.sum("n").over(w), "least": F.min("lo").over(w), "most": F.max("hi").over(w)})
     wanted = [(r >= F.col("before")) & (r < F.col("before") + F.col("n")) for r in ranks(F.col("total"))]
     return parts.where(reduce(lambda a, c: a | c, wanted)).collect()  # a part for each rank, at most
 
 
-def quantiles(df: DataFrame, numbers: Sequence[Column], shares: Sequence[float], held: int = HELD, accuracy: int = ACCURACY) -> list[tuple[int, list[float | None]]]:
-    """(count, exact quantiles with linear interpolation) of each column of numbers, in memory that doesn't grow with the table.
+@dataclasses.dataclass
+class _Spread:
+    """Numbers of a column: how many, the least and the largest, and exact quantiles; null without numbers."""
+
+    n: int
+    least: float | None
+    most: float | None
+    quantiles: list[float | None]
+
+
+def _spreads(df: DataFrame, numbers: Sequence[Column], shares: Sequence[float], held: int = HELD, accuracy: int = ACCURACY) -> list[_Spread]:
+    """Exact quantiles with linear interpolation of each column of numbers, in memory that doesn't grow with the table.
 
-    The first pass counts all columns by parts of powers of two, with the least and the largest value of each part. A rank at
+    The first pass counts each column by parts of its eighth root, with the least and the largest value of each part. A rank at
     either end of its part, or in a part of one value, is found, so ties end the search. What is left is cut by each further
-    pass into even parts (`accuracy`), or by value where at most `held` numbers are left. The ends of a part always fall into
-    different parts of the next pass, and four of them separate all doubles of a part.
+    pass into parts of powers of two, where it spans more than one, then into even parts (`accuracy`), or by value where at most
+    `held` numbers are left. The ends of a part always fall into different parts of the next pass, and five passes of even parts
+    separate all doubles within a power of two.
     """
     rows = df.select(*[x.cast("double").alias(f"x{i}") for i, x in enumerate(numbers)])
     xs = [F.col(f"x{i}") for i in range(len(numbers))]
-    counts, found, state = [0] * len(numbers), {}, {}  # state: (column, rank) -> low, high, numbers below, numbers between
+    ends_of, found, state = {}, {}, {}  # ends_of: column -> count, least, largest; state: (column, rank) -> low, high, numbers below, numbers between
 
     def settle(i: int, rank: int, below: int, part: Row) -> None:
         at = rank - below - part["before"]
@@ -208,53 +239,81 @@ def quantiles(df: DataFrame, numbers: Sequence[Column], shares: Sequence[float],
     def ends(share: float, n: int) -> tuple[int, int]:
         return math.floor(share * (n - 1)), math.ceil(share * (n - 1))
 
-    cells = rows.select(F.explode(F.array(*[F.struct(F.lit(i).alias("k"), x.alias("x")) for i, x in enumerate(xs)])).alias("c")).select("c.*").where("x is not null and not isnan(x)")
-    for part in _parts(cells.withColumn("b", _binade(F.col("x"))), lambda n: [f(s * (n - 1)) for s in shares for f in (F.floor, F.ceil)]):
-        counts[part["k"]] = part["total"]
+    each = [_counted(rows.select(x.alias("x")).where("x is not null and not isnan(x)").withColumn("b", _root(F.col("x"))), "b").withColumn("k", F.lit(i)) for i, x in enumerate(xs)]
+    for part in _wanted(reduce(DataFrame.unionByName, each), lambda n: [f(s * (n - 1)) for s in shares for f in (F.floor, F.ceil)]) if each else []:
+        ends_of[part["k"]] = (part["total"], part["least"], part["most"])
         for rank in {r for s in shares for r in ends(s, part["total"])}:
             settle(part["k"], rank, 0, part)
     while state:
         sets = list(dict.fromkeys((i, *s) for (i, _), s in state.items()))
         open_ = [(sets.index((i, *s)), rank) for (i, rank), s in state.items()]
         state, inside = {}, [(xs[i] >= low) & (xs[i] <= high) for i, low, high, _, _ in sets]
-        cut = [xs[i] if n <= held else F.floor((xs[i] - low) / (high - low) * accuracy).cast("double") for i, low, high, _, n in sets]
+        cut = [_cut(xs[i], low, high, n, held, accuracy) for i, low, high, _, n in sets]
         own = [F.when(c, F.struct(F.lit(k).alias("k"), cut[k].alias("b"), xs[sets[k][0]].alias("x"))) for k, c in enumerate(inside)]
         cells = rows.where(reduce(lambda a, c: a | c, inside)).select(F.explode(F.array(*own)).alias("c")).where("c is not null").select("c.*")
-        for part in _parts(cells, lambda _, sets=sets, open_=open_: [F.when(F.col("k") == k, rank - sets[k][3]) for k, rank in open_]):
+        for part in _wanted(_counted(cells, "k", "b"), lambda _, sets=sets, open_=open_: [F.when(F.col("k") == k, rank - sets[k][3]) for k, rank in open_]):
             i, _, _, below, _ = sets[part["k"]]
             for k, rank in open_:
                 if k == part["k"]:
                     settle(i, rank, below, part)
 
-    def value(i: int, share: float) -> float | None:
-        if not counts[i]:
+    def value(i: int, n: int, share: float) -> float | None:
+        if not n:
             return None
-        low, high = (found[i, r] for r in ends(share, counts[i]))
-        part = share * (counts[i] - 1) % 1
+        low, high = (found[i, r] for r in ends(share, n))
+        part = share * (n - 1) % 1
         return low if low == high else low * (1 - part) + high * part
 
-    return [(n, [value(i, s) for s in shares]) for i, n in enumerate(counts)]
+    known = [ends_of.get(i, (0, None, None)) for i in range(len(numbers))]
+    return [_Spread(n, least, most, [value(i, n, s) for s in shares]) for i, (n, least, most) in enumerate(known)]
 
 
-def _fenced(df: DataFrame, columns: Sequence[str], multiplier: float) -> list[tuple]:
-    by = kinds(df)
-    found = quantiles(df, [number(col(c), by[c]) for c in columns], (0.25, 0.75))
-    return [(c, n, q1, q3, *((None, None) if q1 is None else (q1 - multiplier * (q3 - q1), q3 + multiplier * (q3 - q1)))) for c, (n, (q1, q3)) in zip(columns, found, strict=True)]
+def quantiles(df: DataFrame, numbers: Sequence[Column], shares: Sequence[float], held: int = HELD, accuracy: int = ACCURACY) -> list[tuple[int, list[float | None]]]:
+    """(count, exact quantiles with linear interpolation) of each column of numbers."""
+    return [(s.n, s.quantiles) for s in _spreads(df, numbers, shares, held, accuracy)]
+
+
+@dataclasses.dataclass
+class Fence:
+    """Quartiles of a column's numbers and the bounds beyond which a number is an outlier; none: whether no number is, as the least and the largest say."""
+
+    n: int
+    q1: float | None
+    q3: float | None
+    low: float | None
+    high: float | None
+    none: bool
+
+
+def fenced(df: DataFrame, numbers: Sequence[Column], multiplier: float = 1.5) -> list[Fence]:
+    out = []
+    for s in _spreads(df, numbers, (0.25, 0.75)):
+        q1, q3 = s.quantiles
+        low, high = (None, None) if q1 is None else (q1 - multiplier * (q3 - q1), q3 + multiplier * (q3 - q1))
+        out.append(Fence(s.n, q1, q3, low, high, low is None or s.least >= low and s.most <= high))  # a bound that is NaN leaves it open
+    return out
 
 
 def fences(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5) -> DataFrame:
     """(column, n, q1, q3, low, high): exact quartiles with linear interpolation, of all columns together."""
-    return df.sparkSession.createDataFrame(_fenced(df, columns, multiplier), "column string, n long, q1 double, q3 double, low double, high double")
+    by = kinds(df)
+    found = fenced(df, [number(col(c), by[c]) for c in columns], multiplier)
+    return df.sparkSession.createDataFrame([(c, f.n, f.q1, f.q3, f.low, f.high) for c, f in zip(columns, found, strict=True)], "column string, n long, q1 double, q3 double, low double, high double")
 
 
 def outliers(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5) -> DataFrame:
-    """Values beyond the fences, of columns with at least 4 numbers. Quartiles first, then one pass that counts."""
+    """Values beyond the fences, of columns with at least 4 numbers. Quartiles first, then one pass that counts columns of which some number is beyond."""
     by = kinds(df)
-    rows = df.select(*[number(col(c), by[c]).alias(f"x{i}") for i, c in enumerate(columns)])
-    beyond = [F.lit(False) if low is None else (F.col(f"x{i}") < low) | (F.col(f"x{i}") > high) for i, (*_, low, high) in enumerate(_fenced(df, columns, multiplier))]
-    one = rows.agg(*[F.count_if(b).alias(f"b{i}") for i, b in enumerate(beyond)], *[F.count(f"x{i}").alias(f"n{i}") for i in range(len(columns))])
-    few = [F.when(F.col(f"n{i}") == 0, "no_numeric_values").when(F.col(f"n{i}") < 4, "insufficient_numeric_values") for i in range(len(columns))]
-    return one.select(F.inline(F.array(*[_row("outliers_iqr", c, F.when(F.col(f"n{i}") >= 4, F.col(f"b{i}")).otherwise(0), F.col(f"n{i}"), "outlier_risk", reason=few[i]) for i, c in enumerate(columns)])))
+    numbers = [number(col(c), by[c]) for c in columns]
+    found = fenced(df, numbers, multiplier)
+    beyond = {i: F.count_if((numbers[i] < f.low) | (numbers[i] > f.high)).alias(f"b{i}") for i, f in enumerate(found) if not f.none}
+    one = df.agg(*beyond.values()) if beyond else df.sparkSession.range(1)
+    rows = []
+    for i, (c, f) in enumerate(zip(columns, found, strict=True)):
+        bad = F.col(f"b{i}") if i in beyond and f.n >= 4 else F.lit(0)
+        reason = "no_numeric_values" if f.n == 0 else "insufficient_numeric_values" if f.n < 4 else None
+        rows.append(_row("outliers_iqr", c, bad, F.lit(f.n), "outlier_risk", reason=F.lit(reason).cast("string")))
+    return one.select(F.inline(F.array(*rows)))
 
 
 def dominant(df: DataFrame, columns: Sequence[str], share: float = 0.3) -> DataFrame:

@@ -356,3 +356,38 @@ def test_spellings_are_normalised_once_a_value(spark):
     assert [(r["issues_found"], r["total"]) for r in only(out)] == [(2, 6)]
     below = out._jdf.queryExecution().optimizedPlan().toString().rsplit("Aggregate", 1)[1].split("\n", 1)[1]
     assert "lower" not in below
+
+
+def test_parts_of_roots_never_fall():
+    """Bounds of the first pass rise with the number, over all of its range, and both zeros share a part."""
+    import numpy as np
+
+    own = np.sort(np.concatenate([s * 2.0 ** np.arange(-1074, 1024) for s in (-1.0, -1.3, 1.0, 1.7)] + [[0.0, -0.0, float("inf"), -float("inf")]]))
+    size = np.minimum(np.sqrt(np.sqrt(np.sqrt(np.abs(own)))) * checks.ROOTS, checks.MOST_ROOTS).astype(int)
+    want = np.where(own < 0, -1 - size, size)
+    assert (np.diff(want) >= 0).all()
+
+
+def test_first_pass_of_quantiles(spark):
+    """Keys of the first pass are whole numbers without a logarithm; the parts are those of the definition."""
+    own = [-float("inf"), -1e300, -2.0, -1e-300, -0.0, 0.0, 1e-300, 0.03, 7.0, 7.0001, 1e300, float("inf")]
+    out = spark.createDataFrame([(i, v) for i, v in enumerate(own)], "i int, x double").select("i", checks._root(F.col("x")).alias("b"))
+    assert dict(out.dtypes)["b"] == "int" and "LOG" not in out._jdf.queryExecution().optimizedPlan().toString().upper().replace("LOGICALRDD", "")
+    got = [r["b"] for r in out.orderBy("i").collect()]
+    assert got == sorted(got)
+    assert got == [-1 - checks.MOST_ROOTS, -1 - checks.MOST_ROOTS, -1 - int(2.0**0.125 * checks.ROOTS), -1, 0, 0, 0, int(0.03**0.125 * checks.ROOTS), int(7.0**0.125 * checks.ROOTS), int(7.0001**0.125 * checks.ROOTS), checks.MOST_ROOTS, checks.MOST_ROOTS]
+
+
+def test_columns_within_their_fences_are_not_counted_again(spark, tmp_path):
+    """The least and the largest number say that none is beyond; only a column with outliers, or with infinite quartiles, is read again."""
+    inf = float("inf")
+    rows = [(float(i % 10), float(i % 10), inf if i % 2 else -inf, None) for i in range(100)] + [(None, 900.0, 3.0, 1.0)]
+    spark.createDataFrame(rows, "a double, b double, c double, d double").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = lambda *c: checks.outliers(df, list(c))._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan("a", "d")
+    assert "isnan(b#" in plan("a", "b", "d") and "isnan(a#" not in plan("a", "b", "d")
+    got = [(r["column"], r["status"], r["issues_found"], r["total"], r["quality_ratio"], r["reason"]) for r in only(checks.outliers(df, ["a", "b", "d"]))]
+    assert got == [("a", "passed", 0, 100, 1.0, None), ("b", "failed", 1, 101, round(1 - 1 / 101, 6), None), ("d", "passed", 0, 1, 1.0, "insufficient_numeric_values")]
+    low, high = (-inf - 1.5 * inf), inf + 1.5 * inf
+    assert only(checks.outliers(df, ["c"]))[0]["issues_found"] == only(df.where((F.col("c") < low) | (F.col("c") > high)).agg(F.count("*").alias("n")))[0]["n"]
