@@ -86,14 +86,24 @@ def type_kinds(df: DataFrame, column: str) -> DataFrame:
 
 def type_mismatch(df: DataFrame) -> DataFrame:
     """Cells that are not of a column's dominant kind. Typed columns have one kind; text columns where most cells are numbers have two."""
-    return counted(df, typed_tests(df), [text_kinds(df)])
+    texts = [c for c, k in kinds(df).items() if k == "string"]
+    # a text is trimmed once and loses its separators once, below the aggregate
+    own = df.withColumns({f"_t{i}": F.trim(col(c)) for i, c in enumerate(texts)}) if texts else df
+    bare = {f"_x{i}": F.when(F.col(f"_t{i}") != "", F.replace(F.col(f"_t{i}"), F.lit(","), F.lit(""))) for i in range(len(texts))}
+    own = own.withColumns(bare) if texts else own
+    return counted(own, typed_tests(df), [_text_counts(texts, [(number(F.col(x)), F.col(x)) for x in bare])])
 
 
 def text_kinds(df: DataFrame) -> More:
     """The type_mismatch rows of text columns."""
     cells = {c: F.nullif(F.trim(col(c)), F.lit("")) for c, k in kinds(df).items() if k == "string"}
-    aggs = [a for i, x in enumerate(cells.values()) for a in (F.count(loose_number(x)).alias(f"numbers{i}"), F.count(x).alias(f"texts{i}"))]
-    return aggs, [_text_kind(c, F.col(f"numbers{i}"), F.col(f"texts{i}")) for i, c in enumerate(cells)]
+    return _text_counts(list(cells), [(loose_number(x), x) for x in cells.values()])
+
+
+def _text_counts(columns: Sequence[str], cells: Sequence[tuple[Column, Column]]) -> More:
+    """cells: (number, text) of each column, null where it is none."""
+    aggs = [a for i, (n, x) in enumerate(cells) for a in (F.count(n).alias(f"numbers{i}"), F.count(x).alias(f"texts{i}"))]
+    return aggs, [_text_kind(c, F.col(f"numbers{i}"), F.col(f"texts{i}")) for i, c in enumerate(columns)]
 
 
 def _text_kind(column: Column | str, numbers: Column, texts: Column) -> Column:

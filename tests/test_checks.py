@@ -391,3 +391,15 @@ def test_columns_within_their_fences_are_not_counted_again(spark, tmp_path):
     assert got == [("a", "passed", 0, 100, 1.0, None), ("b", "failed", 1, 101, round(1 - 1 / 101, 6), None), ("d", "passed", 0, 1, 1.0, "insufficient_numeric_values")]
     low, high = (-inf - 1.5 * inf), inf + 1.5 * inf
     assert only(checks.outliers(df, ["c"]))[0]["issues_found"] == only(df.where((F.col("c") < low) | (F.col("c") > high)).agg(F.count("*").alias("n")))[0]["n"]
+
+
+def test_texts_are_bared_once_a_cell(spark):
+    """Trimming and separators are done once, below the aggregate; the counts are those of text_kinds(), whatever the cells."""
+    rows = [("1,000", " "), (" 2 ", None), ("x", "1e3"), ("", "NaN"), (",", "1d"), ("-.5", "Infinity"), (None, ", 7"), ("3.", "\t4\n"), ("1,,2", "5,")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "a string, `b.c` string, d int")
+    out = checks.type_mismatch(df)
+    want = checks.counted(df, checks.typed_tests(df), [checks.text_kinds(df)])
+    assert out.columns == want.columns and out.collect() == want.collect()
+    plan = checks.type_mismatch(spark.range(9).select(F.concat(F.col("id").cast("string"), F.lit(" ")).alias("t")))._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[plan.index("Aggregate") :].split("\n", 1)[0]
+    assert "trim" not in top and "replace" not in top
