@@ -413,7 +413,8 @@ def _compare(x: Column, op: str, y: Column) -> Column:
 
 def consistency(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows that are not in the most frequent spelling (least text on ties) of their normalised value, in one aggregate of all columns."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("raw")) for c in columns])).alias("x")).select("x.*").where("raw is not null")
+    cells = [F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("raw")) for c in columns]
+    long = df.select((cells[0] if len(cells) == 1 else F.explode(F.array(*cells))).alias("x")).select("x.*").where("raw is not null")  # the cells of one column are its rows
     raw = long.groupBy("column", "raw").agg(F.count("*").alias("n"))  # normalised once a spelling, not once a row
     groups = raw.groupBy("column", normal(F.col("raw")).alias("norm")).agg(F.sum("n").alias("rows"), F.max("n").alias("best"))
     sums = groups.groupBy("column").agg(F.sum(F.col("rows") - F.col("best")).alias("issues"), F.sum("rows").alias("total"))

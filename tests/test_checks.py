@@ -403,3 +403,11 @@ def test_texts_are_bared_once_a_cell(spark):
     plan = checks.type_mismatch(spark.range(9).select(F.concat(F.col("id").cast("string"), F.lit(" ")).alias("t")))._jdf.queryExecution().optimizedPlan().toString()
     top = plan[plan.index("Aggregate") :].split("\n", 1)[0]
     assert "trim" not in top and "replace" not in top
+
+
+def test_spellings_of_one_column_are_not_exploded(spark):
+    df = spark.createDataFrame([("A b", "x"), (" a  B", "X"), ("A b", None), (None, "x")], "s string, t string")
+    one = checks.consistency(df, ["s"])
+    assert "Generate" not in one._jdf.queryExecution().optimizedPlan().toString()
+    both = {r["column"]: r for r in only(checks.consistency(df, ["s", "t"]))}
+    assert only(one) == [both["s"]] and (both["s"]["issues_found"], both["s"]["total"], both["t"]["issues_found"], both["t"]["total"]) == (1, 3, 1, 3)
