@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabtrust.functions.values import absent, col, frequency, moment, number, rounded
-from tabtrust.operators.checks import kinds, quantiles
+from tabtrust.operators.checks import fenced, kinds
 
 MIN_OBSERVATIONS, MIN_CYCLES, NEAR_ZERO = 30, 2, 1e-9
 MAX_NULLS, MAX_ZEROS, MAX_OUTLIERS = 30.0, 50.0, 30.0
@@ -62,8 +62,8 @@ def target(df: DataFrame, column: str) -> DataFrame:
     infinite = F.abs(n) == float("inf")
     x = F.when(~infinite, n)
     base = df.select(absent(col(column), kind).alias("null"), n.alias("n"), x.alias("x"))
-    (_, (q1, q3)), = quantiles(base, [F.col("x")], (0.25, 0.75))
-    out = F.lit(False) if q1 is None else (F.col("x") < q1 - 1.5 * (q3 - q1)) | (F.col("x") > q3 + 1.5 * (q3 - q1))
+    (fence,) = fenced(base, [F.col("x")])
+    out = F.lit(False) if fence.none else (F.col("x") < fence.low) | (F.col("x") > fence.high)
     one = base.agg(F.count("*").alias("rows"), F.count_if("null").alias("nulls"), F.count("n").alias("numbers"), F.count_if(F.col("x") == 0).alias("zeros"), F.count_if(F.abs("n") == float("inf")).alias("infinite"), F.count_if(out).alias("outliers"), F.min("x").alias("low"), F.max("x").alias("high"), F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("variance"))
     share = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a) * 100.0, F.col(b)), F.lit(0.0)), 2)
     one = one.select("rows", share("nulls", "rows").alias("null_pct"), share("zeros", "numbers").alias("zero_pct"), "infinite", share("outliers", "numbers").alias("outlier_pct"), "low", "high", "variance", share("numbers", "rows").alias("numeric_pct"))

@@ -411,3 +411,13 @@ def test_spellings_of_one_column_are_not_exploded(spark):
     assert "Generate" not in one._jdf.queryExecution().optimizedPlan().toString()
     both = {r["column"]: r for r in only(checks.consistency(df, ["s", "t"]))}
     assert only(one) == [both["s"]] and (both["s"]["issues_found"], both["s"]["total"], both["t"]["issues_found"], both["t"]["total"]) == (1, 3, 1, 3)
+
+
+def test_target_within_its_fences_has_no_comparison(spark):
+    """Outliers are only looked for where the least or the largest number is beyond the fences."""
+    df = spark.range(100).select((F.col("id") % 10).cast("double").alias("y"))
+    plan = lambda d: forecast.target(d, "y")._jdf.queryExecution().optimizedPlan().toString()
+    assert "13.5" not in plan(df) and only(forecast.target(df, "y"))[0]["outlier_pct"] == 0.0
+    more = df.unionByName(spark.createDataFrame([(900.0,), (None,), (float("inf"),)], "y double"))
+    one = only(forecast.target(more, "y"))[0]
+    assert (one["outlier_pct"], one["infinite"], one["high"], one["rows"]) == (round(100 / 102, 2), 1, 900.0, 103)
