@@ -11,10 +11,15 @@ import json
 import math
 import re
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tabtrust.functions.values import absent, col, loose_number, moment, normal, number, range_of
 
@@ -63,6 +68,19 @@ def counted(df: DataFrame, groups: Sequence[Tests], more: Sequence[More] = ()) -
     return df.agg(*bad, *all_, *aggs).select(F.inline(F.array(*rows, *[r for _, own in more for r in own])))
 
 
+def side_by_side(spark: SparkSession, parts: Sequence[Callable[[], DataFrame]]) -> DataFrame:
+    """The RESULT rows of checks that don't need each other, in their order. Each is planned and run in a thread of the driver, so that the passes of one fill the cores
+    while another is planned or waits for its last task. A check has a row a column, so the rows fit the driver."""
+    if not parts:
+        return spark.createDataFrame([], RESULT)
+    keep = inheritable_thread_target(spark)  # a thread has its caller's job group, pool and tags; where threads aren't pinned this is the session
+    runs = [lambda part=part: part().collect() for part in parts]
+    with ThreadPoolExecutor(len(parts)) as pool:
+        found = list(pool.map(lambda run: run(), runs if keep is spark else map(keep, runs)))
+    schema = StructType.fromDDL(RESULT)
+    return spark.createDataFrame(pa.Table.from_pylist([row.asDict() for rows in found for row in rows], to_arrow_schema(schema)), schema)  # a table of Arrow needs no Python workers
+
+
 def missing_tests(df: DataFrame) -> list[Tests]:
     return [("missing_values", "completeness", {c: (absent(col(c), k), F.lit(True)) for c, k in kinds(df).items()})]
 

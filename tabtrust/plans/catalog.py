@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -539,8 +538,7 @@ def _(spark, d):
 
 
 def _results(spark, d):
-    parts = [checks.missing(read(spark, d, "orders")), checks.outliers(read(spark, d, "lineitem"), PRICES), checks.type_mismatch(_mixed(spark, d)), checks.consistency(_spelled(spark, d), ["segment"])]
-    return reduce(DataFrame.unionByName, parts)
+    return checks.side_by_side(spark, [lambda: checks.missing(read(spark, d, "orders")), lambda: checks.outliers(read(spark, d, "lineitem"), PRICES), lambda: checks.type_mismatch(_mixed(spark, d)), lambda: checks.consistency(_spelled(spark, d), ["segment"])])
 
 
 RESULTS = "(" + union([MISSING_ORDERS, OUTLIERS, SQL["ag3_type_mismatch"], SQL["ag14_consistency"]]) + ")"

@@ -421,3 +421,38 @@ def test_target_within_its_fences_has_no_comparison(spark):
     more = df.unionByName(spark.createDataFrame([(900.0,), (None,), (float("inf"),)], "y double"))
     one = only(forecast.target(more, "y"))[0]
     assert (one["outlier_pct"], one["infinite"], one["high"], one["rows"]) == (round(100 / 102, 2), 1, 900.0, 103)
+
+
+def test_checks_run_side_by_side(spark):
+    """Checks that don't need each other run at the same time; their rows are those of a union, in its order, and need no Python worker."""
+    import threading
+
+    a = spark.createDataFrame([(float(i % 10), str(i) if i % 9 else "x\u00e9\"\n") for i in range(100)] + [(900.0, None), (None, " ")], "a double, `b.c` string")
+    met, groups = threading.Barrier(3, timeout=60), []
+
+    def part(check):
+        def run():
+            met.wait()  # breaks unless all three have begun
+            groups.append(spark.sparkContext.getLocalProperty("spark.jobGroup.id"))
+            return check()
+
+        return run
+
+    own = [lambda: checks.missing(a), lambda: checks.outliers(a, ["a"]), lambda: checks.type_mismatch(a)]
+    spark.sparkContext.setJobGroup("own", "checks")
+    out = checks.side_by_side(spark, [part(c) for c in own])
+    want = own[0]().unionByName(own[1]()).unionByName(own[2]())
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert groups == ["own"] * 3 and out.dtypes == want.dtypes and out.collect() == want.collect()
+    assert "LocalRelation" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert checks.side_by_side(spark, []).collect() == []
+    with pytest.raises(Exception, match="nowhere"):
+        checks.side_by_side(spark, [own[0], lambda: a.select("nowhere")])
+
+
+def test_top_issues_are_ranked_after_all_checks(spark):
+    """The checks have been counted, side by side, when the issues are ranked: the ranking reads no table."""
+    from tabtrust.plans import catalog
+
+    plan = catalog.QUERIES["tk5_top_issues"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan and "LocalRelation" in plan
